@@ -26,7 +26,7 @@ _TEXT = re.compile(
     + r"""\.?[-\s](?P<y4>[0-9]{4})
     )(?:t|,?\s+)
     (?P<H>[0-9]{1,2}):(?P<M>[0-9]{2})(?::(?P<S>[0-9]{2})(?:[.,](?P<f>[0-9]+))?)?
-    (?:\s*(?P<half>[ap])\.?m\.?)?
+    (?:\s*(?P<half>[ap])\.?m\.?(?![a-z]))?
     \s*(?P<zone>.*)""",
     re.IGNORECASE | re.VERBOSE | re.DOTALL,
 )
