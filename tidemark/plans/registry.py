@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import preparation
+from tidemark.plans import bars, preparation
 
-QUERIES = {**preparation.QUERIES}
-SQL = {**preparation.SQL}
-FLAGSHIP = "p4_found"
+_MODULES = (preparation, bars)
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
+FLAGSHIP = "cum_vwap"
