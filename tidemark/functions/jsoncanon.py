@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MARK = ""
+_MARK = "\ue000"
 
 
 def canonical_number(text: str) -> str:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 # fixed values: words that don't count as tokens
 IGNORED_TOKENS = ("the", "and", "of", "to", "a", "in", "for", "company", "announces", "said")
-# fixed values: number patterns and scales
-MONEY = r"(?i)\$\s*([0-9]+(?:\.[0-9]+)?|[0-9][0-9,]*)\s*(billion|million|thousand|bn|mm|m|k)?\b"
-PERCENT = r"\b([0-9]+(?:\.[0-9]+)?)\s*%"
-SHARES = r"(?i)\b([0-9]+(?:\.[0-9]+)?|[0-9][0-9,]*)\s*(billion|million|thousand|bn|mm|m|k)?\s+shares\b"
-RATIO = r"(?i)\b([0-9]+)\s*[- ]for[- ]\s*([0-9]+)\b"
-EXPECTED_DATE = r"(?i)\b(?:expected|scheduled|anticipated)\b.{0,40}?\b(20[0-9]{2}-[0-9]{2}-[0-9]{2})\b"
+# fixed values: number patterns and scales; (?U) as word edges and blanks are Unicode's
+MONEY = r"(?iU)\$\s*([0-9]+(?:\.[0-9]+)?|[0-9][0-9,]*)\s*(billion|million|thousand|bn|mm|m|k)?\b"
+PERCENT = r"(?U)\b([0-9]+(?:\.[0-9]+)?)\s*%"
+SHARES = r"(?iU)\b([0-9]+(?:\.[0-9]+)?|[0-9][0-9,]*)\s*(billion|million|thousand|bn|mm|m|k)?\s+shares\b"
+RATIO = r"(?iU)\b([0-9]+)\s*[- ]for[- ]\s*([0-9]+)\b"
+EXPECTED_DATE = r"(?iU)\b(?:expected|scheduled|anticipated)\b.{0,40}?\b(20[0-9]{2}-[0-9]{2}-[0-9]{2})\b"
 SCALES = {"billion": 1e9, "bn": 1e9, "million": 1e6, "mm": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
 
 

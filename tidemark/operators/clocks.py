@@ -17,10 +17,11 @@ MAX_BROADCAST_FEEDS = 10_000
 
 
 def with_zone(rows: DataFrame, feed_zones: DataFrame, feed: str = "feed") -> DataFrame:
-    """Adds ``zone`` of each row's feed; null for an unknown feed. A feed listed twice takes its greatest zone name."""
+    """Adds ``zone`` of each row's feed, in place of a column of that name; null for an unknown feed. A feed listed twice
+    takes its greatest zone name."""
     zones = feed_zones.groupBy(F.col("feed").alias("_feed")).agg(F.max("zone").alias("zone"))
     small = feed_zones.limit(MAX_BROADCAST_FEEDS + 1).count() <= MAX_BROADCAST_FEEDS
-    return rows.join(F.broadcast(zones) if small else zones, F.col(feed) == F.col("_feed"), "left").drop("_feed")
+    return rows.drop("zone", "_feed").join(F.broadcast(zones) if small else zones, F.col(feed) == F.col("_feed"), "left").drop("_feed")
 
 
 def may_denote(text: Column) -> Column:

@@ -18,6 +18,8 @@ DAY_US = 86_400_000_000
 BANDWIDTH = 5
 #: Effective readings a fit needs.
 MIN_SUPPORT = 2.0
+#: Least variance of the readings' offsets, in slots squared, for a slope; below, the fit is the weighted mean.
+MIN_SPREAD = 1e-4
 
 OUT = "entity string, slot long, fit double, last double, volume long, readings long, support double, missing boolean"
 
@@ -79,7 +81,7 @@ def _regress(h: int, min_support: float):
                 support = np.where(square > 1e-12, w0**2 / square, 0.0)
                 det = w0 * w2 - w1**2
                 flat = t0 / w0
-                fit = np.where(det > 1e-9 * np.maximum(w0, 1e-12) ** 2, (w2 * t0 - w1 * t1) / det, flat)
+                fit = np.where(det > MIN_SPREAD * np.maximum(w0, 1e-12) ** 2, (w2 * t0 - w1 * t1) / det, flat)
             cell = np.repeat(base, length) + (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
             of = np.repeat(np.arange(len(head)), length)
             src = np.full(size, -1)

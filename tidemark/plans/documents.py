@@ -120,13 +120,17 @@ _TOK = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(te
 _PRIM = "(" + ", ".join(f"'{k}'" for k in PRIMARY) + ")"
 
 
+# RE2 has ASCII word edges and blanks only: letters of other scripts become x, other blanks a blank
+_ASCII = r"regexp_replace(regexp_replace(coalesce(text, ''), '[\p{Han}\p{Thai}\p{Hiragana}\p{Katakana}\p{Devanagari}\p{Arabic}\p{Cyrillic}\p{Hangul}à-öø-ÿß]', 'x', 'g'), '[\p{Z}]', ' ', 'g')"
+
+
 def _num(pattern: str, group: str) -> str:
-    p = pattern.replace("'", "''")
-    raw = f"regexp_extract_all(coalesce(text, ''), '{p}', 1)"
+    p = pattern.replace("'", "''").replace("U)", ")").replace("(?)", "")
+    raw = f"regexp_extract_all({_ASCII}, '{p}', 1)"
     if not group:
         return f"list_distinct(list_transform({raw}, lambda v: CAST(v AS DOUBLE)))"
     scale = "CASE lower({s}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.SCALES.items()) + " ELSE 1.0 END"
-    suffix = f"regexp_extract_all(coalesce(text, ''), '{p}', 2)"
+    suffix = f"regexp_extract_all({_ASCII}, '{p}', 2)"
     return f"list_distinct(list_transform(list_zip({raw}, {suffix}), lambda z: CAST(replace(z[1], ',', '') AS DOUBLE) * {scale.format(s='z[2]')}))"
 
 
