@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import cut
+from tidemark.session import stored
 
 
 def similar_sets(rows: DataFrame, block: list[str], ident: str, tokens: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -22,7 +22,7 @@ def similar_sets(rows: DataFrame, block: list[str], ident: str, tokens: str, thr
     classes = keyed.groupBy(*block, "t").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
     members = keyed.join(classes, [*block, "t"]).select(*block, "id", "class_id", "size")
     # rarity of tokens over the block's classes
-    reps = cut(classes.select(*block, "class_id", "t"))
+    reps = stored(classes.select(*block, "class_id", "t"), "classes")
     each = reps.select(*block, "class_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     rarity = each.groupBy(*block, "token").agg(F.count("*").alias("df")).filter("df > 1")
     # a token of one class meets nothing but counts first in its class's order
@@ -40,29 +40,34 @@ def similar_sets(rows: DataFrame, block: list[str], ident: str, tokens: str, thr
     full = met.join(t.withColumnsRenamed({"class_id": "a", "t": "ta"}), [*block, "a"]).join(t.withColumnsRenamed({"class_id": "b", "t": "tb"}), [*block, "b"])
     common = F.size(F.array_intersect("ta", "tb"))
     pairs = full.filter(common >= F.lit(threshold) * (F.size("ta") + F.size("tb") - common) - 1e-9).select(*block, "a", "b")
-    return members, pairs
+    return members, stored(pairs, "pairs")
 
 
-def links(rows: DataFrame, block: list[str], ident: str, tokens: str, threshold: float) -> DataFrame:
+def _both_ways(pairs: DataFrame, block: list[str]) -> DataFrame:
+    return pairs.unionByName(pairs.select(*block, F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def links(members: DataFrame, pairs: DataFrame, block: list[str]) -> DataFrame:
     """(block, id, class_id, links): per row its class and the number of other rows that are similar or equal to it."""
-    members, pairs = similar_sets(rows, block, ident, tokens, threshold)
     size = members.select(*block, "class_id", "size").distinct()
-    both = pairs.unionByName(pairs.select(*block, F.col("b").alias("a"), F.col("a").alias("b")))
-    other = both.join(size.withColumnRenamed("class_id", "b"), [*block, "b"]).groupBy(*block, "a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "class_id")
+    other = _both_ways(pairs, block).join(size.withColumnRenamed("class_id", "b"), [*block, "b"]).groupBy(*block, "a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "class_id")
     return members.join(other, [*block, "class_id"], "left").select(*block, "id", "class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
-def latest_similar_before(rows: DataFrame, block: list[str], ident: str, order: list[str], tokens: str, threshold: float) -> DataFrame:
-    """(block, id, prior): the similar or equal row latest before each row in order, in its block.
+def latest_similar_before(members: DataFrame, pairs: DataFrame, times: DataFrame, block: list[str], order: list[str]) -> DataFrame:
+    """(block, id, prior): the similar or equal row latest before each row in order (then id), in its block.
 
-    Every class is taken with its own rows and those of the classes linked to it; a row's prior is the last of these
-    before it. The rows of linked classes are laid beside a class once, and one sort carries the last one forward.
+    times: block, id and the order columns. A class meets the first rows of the linked classes' runs only where they
+    matter: per pair of classes and per run of rows between two own rows the last guest is enough, so guests are reduced
+    to one per own row by an as-of scan over the pair, and a class's priors to the greatest over its pairs.
     """
-    members, pairs = similar_sets(rows, block, ident, tokens, threshold)
-    at = rows.select(*block, F.col(ident).alias("id"), *order)
-    placed = members.drop("size").join(at, [*block, "id"])
-    near = pairs.unionByName(pairs.select(*block, F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "seen_by", "b": "class_id"})
-    guests = placed.join(near, [*block, "class_id"]).select(*block, F.col("seen_by").alias("class_id"), "id", *order, F.lit(False).alias("own"))
-    hosts = placed.select(*block, "class_id", "id", *order, F.lit(True).alias("own"))
-    w = Window.partitionBy(*block, "class_id").orderBy(*order, "id").rowsBetween(Window.unboundedPreceding, -1)
-    return hosts.unionByName(guests).withColumn("prior", F.last("id").over(w)).filter("own").select(*block, "id", "prior")
+    placed = members.drop("size").join(times, [*block, "id"])
+    own = Window.partitionBy(*block, "class_id").orderBy(*order, "id")
+    me = placed.withColumn("prior", F.lag(F.struct(*order, "id")).over(own))
+    near = _both_ways(pairs, block).withColumnsRenamed({"a": "seen_by", "b": "class_id"})
+    guests = placed.join(near, [*block, "class_id"]).select(*block, "seen_by", F.col("class_id").alias("other"), "id", *order, F.lit(False).alias("own"))
+    hosts = placed.join(near.withColumnsRenamed({"class_id": "other", "seen_by": "class_id"}), [*block, "class_id"]).select(*block, F.col("class_id").alias("seen_by"), "other", "id", *order, F.lit(True).alias("own"))
+    w = Window.partitionBy(*block, "seen_by", "other").orderBy(*order, "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = hosts.unionByName(guests).withColumn("p", F.last(F.when(~F.col("own"), F.struct(*order, "id")), ignorenulls=True).over(w)).filter("own")
+    best = last.groupBy(*block, "id").agg(F.max("p").alias("p"))
+    return me.join(best, [*block, "id"], "left").select(*block, "id", F.greatest("prior", "p")["id"].alias("prior"))

@@ -76,8 +76,9 @@ def near_dup_jaccard(spark, d):
     """Per document its class of equal token sets, the number of near duplicates of its ticker and the latest before it."""
     t = table(spark, d, "documents").select("ticker", "doc_id", F.unix_micros("published_at").alias("us"), X.token_set(F.col("text")).alias("t"))
     t = t.filter("ticker is not null and us is not null")
-    n = similarity.links(t, ["ticker"], "doc_id", "t", NEAR)
-    p = similarity.latest_similar_before(t, ["ticker"], "doc_id", ["us"], "t", NEAR)
+    members, pairs = similarity.similar_sets(t, ["ticker"], "doc_id", "t", NEAR)
+    n = similarity.links(members, pairs, ["ticker"])
+    p = similarity.latest_similar_before(members, pairs, t.select("ticker", F.col("doc_id").alias("id"), "us"), ["ticker"], ["us"])
     return n.join(p, ["ticker", "id"]).select(F.col("id").alias("doc_id"), "class_id", "links", "prior")
 
 

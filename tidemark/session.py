@@ -55,3 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later readers see the same rows in the same partitions, whatever is lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df as a written table in the shared folder: columnar, and read again by whoever needs it."""
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
