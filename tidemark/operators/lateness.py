@@ -81,7 +81,7 @@ class PeriodStore:
         raw = f"{self.path}/raw"
         (
             batch.withColumn("batch", F.lit(number).cast("long"))
-            .repartition("period_day", F.pmod(F.xxhash64("document_id"), F.lit(8)))
+            .hint("rebalance", "period_day")
             .select("document_id", "ticker", "published_us", "known_us", "batch", "period_day")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -98,7 +98,7 @@ class PeriodStore:
         fresh = period_counts(retained.join(F.broadcast(days), "period_day", "left_semi"), self.cut_off_hours)
         last, manifest = self._manifest()
         commit = last + 1
-        fresh.withColumn("commit", F.lit(commit).cast("long")).repartition("period_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit", "period_day").parquet(f"{self.path}/agg")
+        fresh.withColumn("commit", F.lit(commit).cast("long")).hint("rebalance", "period_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit", "period_day").parquet(f"{self.path}/agg")
         kept = manifest.join(F.broadcast(days), "period_day", "left_anti")
         named = kept.unionByName(days.withColumn("commit", F.lit(commit).cast("long")))
         named.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{commit}")
