@@ -5,6 +5,8 @@ Model rows come from lineitem and orders: a line is an observation, its order th
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -22,10 +24,17 @@ AS_OF_US, WIDTH_US, BASELINE = 1_706_054_400_000_000, 6 * 3_600_000_000, 8
 NOW_US = 1_772_323_200_000_000
 
 
+def _r(c: str, n: int):
+    """Rounded so that a half goes up whatever the last bits of a sum: the SQL below adds the same."""
+    return F.round(F.col(c) + 10.0 ** -(n + 3), n).alias(c)
+
+
 def _rows(spark, d):
     l = table(spark, d, "lineitem")  # noqa: E741
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     us = F.unix_date(F.to_date("l_shipdate")).cast("long") * DAY_US
+    # whole numbers, so that sums don't depend on their order
+    disc, tax = F.round(F.col("l_discount").cast("double") * 100), F.round(F.col("l_tax").cast("double") * 100)
     x = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return x.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
@@ -35,12 +44,12 @@ def _rows(spark, d):
         (us + 5 * DAY_US).alias("outcome_us"),
         F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"),
         F.least(F.lit(1.0), F.col("l_quantity").cast("double") / 50).alias("p"),
-        F.when(F.col("l_linenumber") % 7 != 0, F.col("l_discount").cast("double") * 100 - F.col("l_tax").cast("double") * 100).alias("net"),
-        (F.col("l_discount").cast("double") * 100).alias("gross"),
-        (F.col("l_tax").cast("double") * 100).alias("cost"),
+        F.when(F.col("l_linenumber") % 7 != 0, disc - tax).alias("net"),
+        disc.alias("gross"),
+        tax.alias("cost"),
         F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity").cast("double")).alias("f_qty"),
-        (F.col("l_discount").cast("double") * 100).alias("f_disc"),
-        (F.col("l_tax").cast("double") * 100).alias("f_tax"),
+        disc.alias("f_disc"),
+        tax.alias("f_tax"),
         F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("line"),
         F.col("o_orderpriority").alias("priority"),
@@ -61,48 +70,48 @@ def walk_forward_folds(spark, d):
 
 def impute_standardise(spark, d):
     s = L.feature_statistics(_rows(spark, d), FEATURES)
-    return s.select("feature", "n", "missing", "median", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+    return s.select("feature", "n", "missing", "median", _r("mean", 6), _r("deviation", 6))
 
 
 def laplace_frequency(spark, d):
     f = L.laplace_frequency(_rows(spark, d), ["priority"])
-    return f.select("priority", F.round("frequency", 8).alias("frequency"))
+    return f.select("priority", _r("frequency", 8))
 
 
 def brier_logloss(spark, d):
     s = M.losses(_rows(spark, d), ["priority"])
-    return s.select("priority", "n", *[F.round(c, 6).alias(c) for c in ("brier", "log_loss", "base_rate")])
+    return s.select("priority", "n", *[_r(c, 6) for c in ("brier", "log_loss", "base_rate")])
 
 
 def regression_metrics(spark, d):
     r = _rows(spark, d).select(F.col("f_disc").alias("p"), F.col("net").alias("y"), "status")
     s = M.regression_losses(r, ["status"])
-    return s.select("status", "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "bias")])
+    return s.select("status", "n", *[_r(c, 6) for c in ("mae", "rmse", "bias")])
 
 
 def calibration_curve(spark, d):
     c = M.calibration_curve(_rows(spark, d))
-    return c.select("bin", "low", "high", "n", F.round("mean_p", 6).alias("mean_p"), F.round("observed", 6).alias("observed"))
+    return c.select("bin", "low", "high", "n", _r("mean_p", 6), _r("observed", 6))
 
 
 def topk_metrics(spark, d):
     s = M.top_k_metrics(_rows(spark, d), ["security"])
-    return s.select("security", "k", "n", *[F.round(c, 6).alias(c) for c in ("precision", "expectancy", "fill_rate")])
+    return s.select("security", "k", "n", *[_r(c, 6) for c in ("precision", "expectancy", "fill_rate")])
 
 
 def breakdowns(spark, d):
     s = M.breakdowns(_rows(spark, d), ["flag", "line", "priority", "status", "security"])
-    return s.select("dimension", "category", "n", F.round("brier", 6).alias("brier"), F.round("expectancy", 6).alias("expectancy"), "small_sample")
+    return s.select("dimension", "category", "n", _r("brier", 6), _r("expectancy", 6), "small_sample")
 
 
 def cost_stress(spark, d):
     s = M.cost_stress(M.top_rows(_rows(spark, d), ["security"], 10))
-    return s.select("factor", F.round("expectancy", 6).alias("expectancy"))
+    return s.select("factor", _r("expectancy", 6))
 
 
 def loo_concentration(spark, d):
     s = M.concentration(_rows(spark, d), "security")
-    return s.select("security", "n", F.round("share", 8).alias("share"), F.round("left_out_brier", 8).alias("left_out_brier"))
+    return s.select("security", "n", _r("share", 8), _r("left_out_brier", 8))
 
 
 def monotonicity(spark, d):
@@ -163,18 +172,18 @@ def mention_buckets(spark, d):
 def baseline_score(spark, d):
     m = _mentions(spark, d)
     s = A.baseline_scores(A.buckets(m, m, AS_OF_US, WIDTH_US, BASELINE), BASELINE, 6.0)
-    return s.select("security_id", "current", "previous", *[F.round(c, 4).alias(c) for c in ("velocity", "acceleration", "mean", "variance", "score")])
+    return s.select("security_id", "current", "previous", *[_r(c, 4) for c in ("velocity", "acceleration", "mean", "variance", "score")])
 
 
 def author_independence(spark, d):
     s = A.author_independence(_mentions(spark, d), F.col("copy"))
-    return s.select("security_id", "mentions", "authors", *[F.round(c, 6).alias(c) for c in ("coverage", "largest_share", "independence")])
+    return s.select("security_id", "mentions", "authors", *[_r(c, 6) for c in ("coverage", "largest_share", "independence")])
 
 
 def hhi_diversity(spark, d):
     s = A.source_diversity(_mentions(spark, d))
     text = F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
-    return s.select("security_id", "sources", text.alias("counts"), F.round("concentration", 6).alias("concentration"), F.round("diversity", 6).alias("diversity"))
+    return s.select("security_id", "sources", text.alias("counts"), _r("concentration", 6), _r("diversity", 6))
 
 
 def _obs(spark, d):
@@ -194,7 +203,7 @@ def halt_enrichment(spark, d):
 
 def gated_features(spark, d):
     g = O.gated_features(_obs(spark, d))
-    return g.select("observation_id", *[F.round(c, n).alias(c) for c, n in (("return_pct", 4), ("dollar_volume", 2), ("spread_pct", 4), ("float_rotation", 8))])
+    return g.select("observation_id", *[_r(c, n) for c, n in (("return_pct", 4), ("dollar_volume", 2), ("spread_pct", 4), ("float_rotation", 8))])
 
 
 def _alerts(spark, d):
@@ -230,8 +239,8 @@ QUERIES = {
 }
 
 _R = f"""r AS (SELECT concat_ws('-', l_orderkey, l_linenumber) id, l_orderkey AS event, l_suppkey AS security, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * {DAY_US} AS as_of_us,
- CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END y, least(1.0::DOUBLE, l_quantity::DOUBLE / 50) p, CASE WHEN l_linenumber % 7 <> 0 THEN l_discount::DOUBLE * 100 - l_tax::DOUBLE * 100 END net, l_discount::DOUBLE * 100 gross, l_tax::DOUBLE * 100 AS cost,
- CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity::DOUBLE END f_qty, l_discount::DOUBLE * 100 f_disc, l_tax::DOUBLE * 100 f_tax, l_returnflag AS flag, l_linestatus AS line, o_orderpriority AS priority, o_orderstatus AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+ CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END y, least(1.0::DOUBLE, l_quantity::DOUBLE / 50) p, CASE WHEN l_linenumber % 7 <> 0 THEN round(l_discount::DOUBLE * 100) - round(l_tax::DOUBLE * 100) END net, round(l_discount::DOUBLE * 100) gross, round(l_tax::DOUBLE * 100) AS cost,
+ CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity::DOUBLE END f_qty, round(l_discount::DOUBLE * 100) f_disc, round(l_tax::DOUBLE * 100) f_tax, l_returnflag AS flag, l_linestatus AS line, o_orderpriority AS priority, o_orderstatus AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 _BRIER = "avg((p - y) * (p - y))"
 _TOP = "t AS (SELECT *, row_number() OVER (PARTITION BY security ORDER BY p DESC, as_of_us, id) rk FROM r)"
 _M = """m AS (SELECT event_type AS security_id, epoch_us(CAST(ts AS TIMESTAMP)) us, CASE WHEN user_id % 11 <> 0 THEN user_id END author, CAST(json_extract_string(props, '$.k') AS INTEGER) k FROM events)"""
@@ -271,3 +280,5 @@ SELECT al.alert_id, h.horizon, count(q.us) AS observations, arg_max(q.close, (q.
     "price_context_asof": f"""WITH e AS (SELECT DISTINCT event_id id, upper(trim(ticker)) ticker, epoch_us(first_public_at) ev, epoch_us(available_at) kn FROM catalyst_events WHERE ticker IS NOT NULL AND first_public_at IS NOT NULL), o AS (SELECT ticker, epoch_us(first_seen_at) ob, epoch_us(processing_timestamp) av, close FROM market_observations WHERE ticker IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)),
 b AS (SELECT e.id, arg_max(close, (ob, close)) v, max(ob) ob FROM e JOIN o ON o.ticker = e.ticker AND ob <= ev AND av <= kn AND ob >= ev - 3600000000 GROUP BY 1) SELECT e.id, b.ob AS observed_us, b.v AS value FROM e LEFT JOIN b USING (id)""",
 }
+
+SQL = {k: re.sub(r", (\d)\) AS ", lambda m: f" + 1e-{int(m[1]) + 3}::DOUBLE, {m[1]}) AS ", q) for k, q in SQL.items()}
