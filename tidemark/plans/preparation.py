@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import clocks, deliveries, grid, intervals, knownat, lateness, nearest
-from tidemark.plans.tables import table
+from tidemark.plans.tables import spread, table
 from tidemark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,7 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     cols = ["ticker", "source_timestamp", "first_seen_at", "feed", "observation_id"]
-    seen = clocks.observation_instants(table(spark, d, "market_observations").select(*cols), table(spark, d, "feed_zones"))
+    seen = clocks.observation_instants(spread(table(spark, d, "market_observations").select(*cols)), table(spark, d, "feed_zones"))
     right = seen.select(nearest.ticker_key(F.col("ticker")).alias("entity"), F.col("utc_us").alias("t"), F.col("observation_id").alias("id"))
     events = table(spark, d, "catalyst_events")
     left = events.select(nearest.ticker_key(F.col("ticker")).alias("entity"), F.unix_micros("first_public_at").alias("t"), F.col("event_id").alias("id"))
@@ -62,7 +62,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     cols = ["security_id", "source_timestamp", "first_seen_at", "feed", "observation_id", "free_float", "halt_status"]
-    seen = clocks.observation_instants(table(spark, d, "market_observations").select(*cols), table(spark, d, "feed_zones"))
+    seen = clocks.observation_instants(spread(table(spark, d, "market_observations").select(*cols)), table(spark, d, "feed_zones"))
     return knownat.stale_attributes(seen, table(spark, d, "instruments"), table(spark, d, "halt_observations"))
 
 

@@ -11,3 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     naive = {c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}
     return df.withColumns(naive) if naive else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster has cores: for work that costs far more than a small scan.
+
+    Tables of many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
