@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, mixing, sentences
-from tidemark.plans.tables import table
+from tidemark.plans.tables import spread, table
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_corpus(table(spark, d, "documents"))
+    return bpe.encode_corpus(spread(table(spark, d, "documents")))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.shares(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, d, "documents"))
+    return sentences.sentence_units(spread(table(spark, d, "documents")))
 
 
 QUERIES = {q.__name__: q for q in (p8_ids, p9_mix, p9_shares, p10_found)}
