@@ -69,7 +69,9 @@ def engagement_velocity(snapshots: str, as_of_us: int) -> Column:
     n = lambda s: F.when(s["likes"].isNotNull() | s["replies"].isNotNull() | s["reposts"].isNotNull(), F.coalesce(s["likes"], F.lit(0)) + F.coalesce(s["replies"], F.lit(0)) + F.coalesce(s["reposts"], F.lit(0)))
     first, last = F.try_element_at(ok, F.lit(1)), F.try_element_at(ok, F.lit(-1))
     hours = (last["observed_us"] - first["observed_us"]) / 3.6e9
-    return F.when((F.size(ok) >= 2) & (hours > 0), F.greatest(F.lit(0.0), (n(last) - n(first)) / F.when(hours > 0, hours)))
+    rate = (n(last) - n(first)) / F.when(hours > 0, hours)
+    # greatest skips nulls, so unknown interactions are told apart first
+    return F.when((F.size(ok) >= 2) & (hours > 0) & rate.isNotNull(), F.greatest(F.lit(0.0), rate))
 
 
 def first_links(mentions: DataFrame, most: int) -> DataFrame:

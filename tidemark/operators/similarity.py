@@ -13,8 +13,8 @@ def similar_sets(rows: DataFrame, block: list[str], ident: str, tokens: str, thr
     """(members, pairs) of rows with equal or similar token sets in one block.
 
     members: block, id, class_id (the smallest id with the same tokens in the block), size (rows of the class).
-    pairs: block, a, b with a < b: representatives of classes whose Jaccard similarity is at least the threshold.
-    Rows of equal sets are one class and never expanded into pairs. Every two sets that similar share a token among the
+    pairs: block, _a, _b with _a < _b: representatives of classes whose Jaccard similarity is at least the threshold.
+    Rows of equal sets are one class and never expanded into pairs. Every two similar sets share a token among the
     first ``n - ceil(threshold * n) + 1`` in order of rarity (prefix filter), so only classes that share such a token
     meet, and only where their sizes allow the threshold; none is lost. Empty and null sets belong to no class.
     """
@@ -35,22 +35,22 @@ def similar_sets(rows: DataFrame, block: list[str], ident: str, tokens: str, thr
     fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
     left = F.least(F.col("a.n") - F.col("a.rank"), F.col("b.n") - F.col("b.rank")) + F.least("a.rank", "b.rank")
     need = left >= (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9
-    met = a.join(b, [*same, F.col("a.class_id") < F.col("b.class_id"), fits, need]).select(*[F.col(f"a.{c}").alias(c) for c in block], F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
+    met = a.join(b, [*same, F.col("a.class_id") < F.col("b.class_id"), fits, need]).select(*[F.col(f"a.{c}").alias(c) for c in block], F.col("a.class_id").alias("_a"), F.col("b.class_id").alias("_b")).distinct()
     t = reps.select(*block, "class_id", "t")
-    full = met.join(t.withColumnsRenamed({"class_id": "a", "t": "ta"}), [*block, "a"]).join(t.withColumnsRenamed({"class_id": "b", "t": "tb"}), [*block, "b"])
-    common = F.size(F.array_intersect("ta", "tb"))
-    pairs = full.filter(common >= F.lit(threshold) * (F.size("ta") + F.size("tb") - common) - 1e-9).select(*block, "a", "b")
+    full = met.join(t.withColumnsRenamed({"class_id": "_a", "t": "_ta"}), [*block, "_a"]).join(t.withColumnsRenamed({"class_id": "_b", "t": "_tb"}), [*block, "_b"])
+    common = F.size(F.array_intersect("_ta", "_tb"))
+    pairs = full.filter(common >= F.lit(threshold) * (F.size("_ta") + F.size("_tb") - common) - 1e-9).select(*block, "_a", "_b")
     return members, stored(pairs, "pairs")
 
 
 def _both_ways(pairs: DataFrame, block: list[str]) -> DataFrame:
-    return pairs.unionByName(pairs.select(*block, F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.unionByName(pairs.select(*block, F.col("_b").alias("_a"), F.col("_a").alias("_b")))
 
 
 def links(members: DataFrame, pairs: DataFrame, block: list[str]) -> DataFrame:
     """(block, id, class_id, links): per row its class and the number of other rows that are similar or equal to it."""
     size = members.select(*block, "class_id", "size").distinct()
-    other = _both_ways(pairs, block).join(size.withColumnRenamed("class_id", "b"), [*block, "b"]).groupBy(*block, "a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "class_id")
+    other = _both_ways(pairs, block).join(size.withColumnRenamed("class_id", "_b"), [*block, "_b"]).groupBy(*block, "_a").agg(F.sum("size").alias("others")).withColumnRenamed("_a", "class_id")
     return members.join(other, [*block, "class_id"], "left").select(*block, "id", "class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
@@ -64,7 +64,7 @@ def latest_similar_before(members: DataFrame, pairs: DataFrame, times: DataFrame
     placed = members.drop("size").join(times, [*block, "id"])
     own = Window.partitionBy(*block, "class_id").orderBy(*order, "id")
     me = placed.withColumn("prior", F.lag(F.struct(*order, "id")).over(own))
-    near = _both_ways(pairs, block).withColumnsRenamed({"a": "seen_by", "b": "class_id"})
+    near = _both_ways(pairs, block).withColumnsRenamed({"_a": "seen_by", "_b": "class_id"})
     guests = placed.join(near, [*block, "class_id"]).select(*block, "seen_by", F.col("class_id").alias("other"), "id", *order, F.lit(False).alias("own"))
     hosts = placed.join(near.withColumnsRenamed({"class_id": "other", "seen_by": "class_id"}), [*block, "class_id"]).select(*block, F.col("class_id").alias("seen_by"), "other", "id", *order, F.lit(True).alias("own"))
     w = Window.partitionBy(*block, "seen_by", "other").orderBy(*order, "id").rowsBetween(Window.unboundedPreceding, -1)
