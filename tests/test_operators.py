@@ -141,6 +141,19 @@ def test_quality_gate_fails_closed(spark):
     assert [r["entity_id"] for r in twice.collect()] == ["x", "x"]
 
 
+def test_split_behaviour_and_coverage(spark):
+    daily = spark.createDataFrame([("r", 1, 10.0, 10.0, "raw"), ("r", 5, 10.0, 10.0, "raw"), ("a", 1, 10.0, 10.0, "split_adjusted"), ("a", 5, 5.0, 5.0, "split_adjusted"), ("o", 1, 10.0, 10.0, "raw"), ("o", 5, 5.0, 5.0, "raw"), ("n", 9, 1.0, 1.0, "raw")], "security_id string, us long, open double, close double, adjustment string")
+    actions = spark.createDataFrame([(s, 3, 2.0) for s in "raon"], "security_id string, effective_us long, ratio double")
+    assert sorted((r["security_id"], r["code"]) for r in quality.split_behaviour(daily, actions).collect()) == [("a", "ADJUSTED_LOOKS_RAW"), ("r", "RAW_LOOKS_ADJUSTED")]
+    spans = spark.createDataFrame([(0, 10), (10, 20), (20, 30)], "start_us long, end_us long")
+    d = spark.createDataFrame([(0, None), (10, 25)], "started_us long, ended_us long")
+    assert [r["complete"] for r in attention.covered(spans, d).orderBy("start_us").collect()] == [False, True, False]
+    assert all(r["complete"] for r in attention.covered(spans, d.limit(0)).collect())
+    m = spark.createDataFrame([("s", ["a", "b"]), ("s", ["b", "c"]), ("t", None)], "security_id string, urls array<string>")
+    c = spark.createDataFrame([("s", "b", True, 1), ("s", "c", False, 1), ("s", "a", True, 9), ("t", "b", True, 1)], "security_id string, url string, is_primary boolean, available_us long")
+    assert [tuple(r) for r in attention.linked_primary(m, c, 5).collect()] == [("s", ["b"])]
+
+
 def test_engagement_and_links(spark):
     snaps = "array<struct<observed_us:long,available_us:long,likes:long,replies:long,reposts:long>>"
     h = 3_600_000_000

@@ -25,6 +25,28 @@ def buckets(mentions: DataFrame, securities: DataFrame, as_of_us: int, width_us:
     return grid.join(counted, ["security_id", "bucket"], "left").select("security_id", "bucket", F.coalesce("n", F.lit(0)).alias("mentions"))
 
 
+def covered(intervals: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """(start_us, end_us, complete): whether every descriptor covers the whole interval; complete without descriptors.
+
+    descriptors: started_us, ended_us (null: still running), a row per source of mentions. All cover an interval if the
+    latest start and the earliest end do, so two numbers are compared, not every pair.
+    """
+    ends = descriptors.agg(F.max("started_us").alias("_a"), F.min(F.coalesce("ended_us", F.lit((1 << 63) - 1))).alias("_z"))
+    x = intervals.crossJoin(F.broadcast(ends))  # one row
+    whole = (F.col("_a") <= F.col("start_us")) & (F.col("_z") >= F.col("end_us"))
+    return x.select("start_us", "end_us", (F.col("_a").isNull() | whole).alias("complete"))
+
+
+def linked_primary(mentions: DataFrame, catalysts: DataFrame, as_of_us: int) -> DataFrame:
+    """(security_id, links): links of mentions that are primary catalyst links known by then, sorted.
+
+    mentions: security_id, urls array; catalysts: security_id, url, is_primary, available_us.
+    """
+    known = catalysts.filter((F.col("available_us") <= as_of_us) & F.col("is_primary")).select("security_id", "url").distinct()
+    said = mentions.select("security_id", F.explode("urls").alias("url")).distinct()
+    return said.join(known, ["security_id", "url"], "left_semi").groupBy("security_id").agg(F.array_sort(F.collect_set("url")).alias("links"))
+
+
 def baseline_scores(counts: DataFrame, baseline: int, hours: float) -> DataFrame:
     """(security_id, current, previous, velocity, acceleration, mean, variance, score) from the buckets of a security.
 

@@ -96,6 +96,40 @@ def document_rules(link_ok: Column) -> list[Rule]:
     ]
 
 
+def model_row_rules(features: list[str], tolerance: float = 1e-8) -> list[Rule]:
+    """Rules on labelled rows: times in order, values in range and finite, costs that add up."""
+    odd = reduce(lambda a, b: a | b, [F.col(f).isNotNull() & ~finite(f) for f in features])
+    return [
+        Rule("OUTCOME_BEFORE_PREDICTION", F.col("outcome_us") < F.col("as_of_us")),
+        Rule("LABEL_NOT_BINARY", F.col("y").isNotNull() & ~F.col("y").isin(0.0, 1.0)),
+        Rule("PROBABILITY_OUT_OF_RANGE", (F.col("p") < 0) | (F.col("p") > 1)),
+        Rule("COSTS_DO_NOT_ADD_UP", F.abs(F.col("net") - F.col("gross") + F.col("cost")) > tolerance),
+        Rule("NEGATIVE_NET", F.col("net") < 0, "warning"),
+        Rule("UNFILLED", F.col("net").isNull(), "warning"),
+        Rule("FEATURE_NOT_FINITE", odd),
+        Rule("FEATURE_MISSING", reduce(lambda a, b: a | b, [F.col(f).isNull() for f in features]), "warning"),
+    ]
+
+
+def split_behaviour(daily: DataFrame, actions: DataFrame, tolerance: float = 0.12) -> DataFrame:
+    """(security_id, effective_us, code) of splits across which prices don't behave as their adjustment says.
+
+    The last close before against the first open from the split on: raw prices jump by 1 / ratio, adjusted ones don't.
+    daily: security_id, us, open, close, adjustment; actions: security_id, effective_us, ratio (few per security).
+    """
+    a = actions.filter("ratio > 0").select("security_id", "effective_us", "ratio").distinct()
+    j = daily.join(a, "security_id")
+    before = F.col("us") < F.col("effective_us")
+    g = j.groupBy("security_id", "effective_us", "ratio").agg(
+        F.max_by(F.when(before, F.col("close")), F.when(before, F.col("us"))).alias("c"),
+        F.min_by(F.when(~before, F.struct("open", "adjustment")), F.when(~before, F.col("us"))).alias("n"),
+    )
+    seen = F.try_divide(F.col("n.open"), F.col("c"))
+    raw, adjusted = F.abs(seen - 1 / F.col("ratio")), F.abs(seen - 1)
+    code = F.when((F.col("n.adjustment") == "raw") & (adjusted + tolerance < raw), "RAW_LOOKS_ADJUSTED").when((F.col("n.adjustment") == "split_adjusted") & (raw + tolerance < adjusted), "ADJUSTED_LOOKS_RAW")
+    return g.select("security_id", "effective_us", code.alias("code")).filter("code is not null")
+
+
 def repeated_key(rows: DataFrame, keys: list[str], code: str, us: Column) -> DataFrame:
     """An issue for every second and later row of a key; the counts come from one aggregate, no group is sorted."""
     n = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(us).alias("_us")).filter("_n > 1")
