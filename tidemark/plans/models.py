@@ -15,8 +15,8 @@ from tidemark.operators import metrics as M
 from tidemark.operators import modelling as L
 from tidemark.operators import monitoring as O
 from tidemark.operators import quality as Q
-from tidemark.operators.clocks import CANONICAL
-from tidemark.plans.tables import table
+from tidemark.operators.clocks import CANONICAL, observation_instants
+from tidemark.plans.tables import spread, table
 
 DAY_US = 86_400_000_000
 FEATURES = ["f_qty", "f_disc", "f_tax"]
@@ -199,9 +199,10 @@ def hhi_diversity(spark, d):
 
 
 def _obs(spark, d):
-    o = table(spark, d, "market_observations").filter(F.col("source_timestamp").rlike(CANONICAL))
-    o = o.withColumn("us", F.expr("unix_micros(try_cast(source_timestamp as timestamp))"))
-    return o.dropDuplicates(["observation_id"])
+    """One row per observation with the instant its clock text denotes, whatever the text's form."""
+    cols = ["observation_id", "security_id", "ticker", "source_timestamp", "first_seen_at", "feed", "close", "volume", "bid", "ask", "free_float", "missing_flags"]
+    o = table(spark, d, "market_observations").select(*cols).dropDuplicates(["observation_id"])
+    return observation_instants(spread(o), table(spark, d, "feed_zones")).withColumnRenamed("utc_us", "us")
 
 
 def stale_sources(spark, d):
