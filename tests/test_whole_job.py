@@ -1,7 +1,9 @@
 """Queries that once did a part of the job, on small tables with results worked out by hand or by brute force."""
 
+import random
 from datetime import UTC, datetime
 
+from tidemark.operators import attention
 from tidemark.plans import models
 
 MIN = 60_000_000
@@ -35,3 +37,17 @@ def test_observations_of_every_clock_text_count(spark, tmp_path):
     assert got == {"o1": 10.0, "o2": 10.0, "o3": 100.0}
     five = models.alert_outcomes(spark, str(tmp_path)).filter("horizon = 5").collect()
     assert [tuple(r[c] for c in ("alert_id", "observations", "last", "highest", "lowest")) for r in five] == [("a", 3, 24.2, 24.2, 11.0)]
+
+
+def test_two_clock_lookup_has_no_lower_bound(spark):
+    rng = random.Random(5)
+    day = 1440 * MIN
+    right = [("k%d" % rng.randrange(3), rng.randrange(40 * day), 0, float(i)) for i in range(120)]
+    right = [(k, o, o + rng.choice([0, MIN, 3 * day, 20 * day]), v) for k, o, _, v in right]
+    left = [("k%d" % rng.randrange(4), i, e := rng.randrange(45 * day), e + rng.choice([-5 * day, 0, MIN, 9 * day])) for i in range(200)]
+    want = {i: max(((o, v) for q, o, a, v in right if q == k and o <= e and a <= n), default=(None, None)) for k, i, e, n in left}
+    got = attention.two_clock_last(
+        spark.createDataFrame(left, "k string, id long, event_us long, known_us long"), spark.createDataFrame(right, "k string, observed_us long, available_us long, value double"), ["k"]
+    )
+    assert {r["id"]: (r["observed_us"], r["value"]) for r in got.collect()} == want
+    assert any(o is not None and e - o > 3_600_000_000 for (_, i, e, _) in left for o in [want[i][0]])

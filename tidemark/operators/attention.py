@@ -104,17 +104,23 @@ def first_links(mentions: DataFrame, most: int) -> DataFrame:
     return top.groupBy("security_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("links"))
 
 
-def two_clock_last(left: DataFrame, right: DataFrame, by: list[str], horizon_us: int) -> DataFrame:
+def two_clock_last(left: DataFrame, right: DataFrame, by: list[str], cell_us: int = 86_400_000_000) -> DataFrame:
     """left with the value of the right row of its key that was observed last, among those observed by left's event_us
-    and available by left's known_us, at most a horizon before the event.
+    and available by left's known_us, however long before.
 
-    left: by, id, event_us, known_us; right: by, observed_us, available_us, value. Rows meet in time cells of a
-    horizon's width (an event looks at its own cell and the one before), so a hot key is spread over its cells and a
-    join meets two cells of rows, not a key's whole history. Of rows observed at one instant the greatest value holds.
+    left: by, id, event_us, known_us; right: by, observed_us, available_us, value. Rows meet in time cells of cell_us,
+    which bound no result: an event looks at its own cell and at the latest earlier cell in which any row was available
+    by its known_us, found from one (cell, first availability) per key and cell. Earlier cells can't hold a later row. A
+    hot key is spread over its cells and a join meets two cells of rows, not a key's whole history. Of rows observed at
+    one instant the greatest value holds.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(horizon_us)).cast("long")
+    cell = lambda c: F.floor(F.col(c) / F.lit(cell_us)).cast("long")
     r = right.dropna(subset=["observed_us", "available_us"]).withColumn("_c", cell("observed_us"))
-    l = left.withColumn("_c", F.explode(F.array(cell("event_us"), cell("event_us") - 1)))  # noqa: E741
-    met = l.join(r, [*by, "_c"]).filter((F.col("observed_us") <= F.col("event_us")) & (F.col("available_us") <= F.col("known_us")) & (F.col("observed_us") >= F.col("event_us") - horizon_us))
+    firsts = r.groupBy(*by, "_c").agg(F.min("available_us").alias("_a")).groupBy(*by).agg(F.collect_list(F.struct("_c", "_a")).alias("_cells"))
+    own = left.withColumn("_own", cell("event_us")).join(firsts, by, "left")
+    known = F.filter("_cells", lambda x: (x["_c"] < F.col("_own")) & (x["_a"] <= F.col("known_us")))
+    before = F.array_max(F.transform(known, lambda x: x["_c"]))
+    l = own.withColumn("_c", F.explode(F.array("_own", before))).drop("_own", "_cells")  # noqa: E741
+    met = l.join(r, [*by, "_c"]).filter((F.col("observed_us") <= F.col("event_us")) & (F.col("available_us") <= F.col("known_us")))
     best = met.groupBy("id").agg(F.max(F.struct("observed_us", "value")).alias("m"))
     return left.join(best, "id", "left").select(*left.columns, F.col("m.observed_us").alias("observed_us"), F.col("m.value").alias("value"))

@@ -239,7 +239,7 @@ def price_context_asof(spark, d):
     left = left.select("ticker", F.col("alert_id").alias("id"), "event_us", F.col("start_us").alias("known_us"))
     o = table(spark, d, "market_observations").filter("ticker is not null and close is not null and not isnan(close)")
     right = o.select("ticker", F.unix_micros("first_seen_at").alias("observed_us"), F.unix_micros("processing_timestamp").alias("available_us"), F.col("close").alias("value"))
-    return A.two_clock_last(left, right, ["ticker"], 3_600_000_000).select("id", "observed_us", "value")
+    return A.two_clock_last(left, right, ["ticker"]).select("id", "observed_us", "value")
 
 
 QUERIES = {
