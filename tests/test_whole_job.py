@@ -1,9 +1,11 @@
 """Queries that once did a part of the job, on small tables with results worked out by hand or by brute force."""
 
 import random
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
+from zoneinfo import ZoneInfo
 
 from tidemark.operators import attention
+from tidemark.operators import bars as B
 from tidemark.plans import models
 
 MIN = 60_000_000
@@ -51,3 +53,24 @@ def test_two_clock_lookup_has_no_lower_bound(spark):
     )
     assert {r["id"]: (r["observed_us"], r["value"]) for r in got.collect()} == want
     assert any(o is not None and e - o > 3_600_000_000 for (_, i, e, _) in left for o in [want[i][0]])
+
+
+def test_grid_holds_whole_sessions_of_all_securities(spark):
+    rng, zone = random.Random(7), ZoneInfo("America/New_York")
+    dates = [date(2026, 3, 6), date(2026, 3, 9), date(2026, 3, 7)]  # clocks change on the 8th; the 7th is a Saturday
+    begin = {(d, s): int(datetime(d.year, d.month, d.day, *hm, tzinfo=zone).timestamp()) // 60 for d in dates for s, hm in (("premarket", (4, 0)), ("regular", (9, 30)))}
+    grid = {(d, s): range(t, t + (330 if s == "premarket" else 390)) for (d, s), t in begin.items() if d.weekday() < 5}
+    rows = [("A", d, s, t * MIN + 7) for (d, s), g in grid.items() for t in g if rng.random() < 0.6] + [("B", dates[2], "regular", begin[dates[2], "regular"] * MIN)]
+    t0 = begin[dates[0], "regular"]
+    halts = [("A", (t0 + 5) * MIN + 1, (t0 + 50) * MIN + 1), ("B", (t0 + 300) * MIN, -1), ("C", (t0 - 10**5) * MIN, (t0 + 20) * MIN)]
+    have = {(k, s, t // MIN) for k, _, s, t in rows}
+    want = []
+    for k in "ABC":
+        for (_, s), g in grid.items():
+            gone = [t for t in g if (k, s, t) not in have and not any(h == k and a <= t * MIN and (z == -1 or t * MIN < z) for h, a, z in halts)]
+            want += [(k, t * MIN) for t in gone]
+    got = B.missing_runs(
+        spark.createDataFrame(rows, "security_id string, local_date date, session string, us long"), spark.createDataFrame(halts, "security_id string, start_us long, end_us long"), spark.createDataFrame([("A",), ("B",), ("C",)], "security_id string")
+    ).collect()
+    assert all(r["last_us"] - r["first_us"] == (r["minutes"] - 1) * MIN for r in got)
+    assert sorted((r["security_id"], r["first_us"] + i * MIN) for r in got for i in range(r["minutes"])) == sorted(want)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.calendar import US_EQUITY, SessionCalendar
-from tidemark.operators.asof import asof_last, islands, latest
+from tidemark.operators.asof import asof_last, latest
 
 MINUTE_US = 60_000_000
 DAY_US = 1440 * MINUTE_US
@@ -174,22 +174,36 @@ def gap_percent(with_prior: DataFrame) -> DataFrame:
     return with_prior.withColumn("gap_percent", (F.try_divide(now, F.when(F.col("prior_close") > 0, F.col("prior_close"))) - 1) * 100)
 
 
-def missing_runs(minute: DataFrame, halts: DataFrame, calendar: SessionCalendar = US_EQUITY) -> DataFrame:
-    """(security_id, first_us, last_us, minutes): runs of regular-session minutes without bar and without halt.
+def missing_runs(minute: DataFrame, halts: DataFrame, securities: DataFrame, calendar: SessionCalendar = US_EQUITY, sessions: tuple[str, ...] = ("premarket", "regular")) -> DataFrame:
+    """(security_id, first_us, last_us, minutes): runs of expected minutes of a session without bar and without halt.
 
-    The expected grid of each security and date runs from its first to its last regular bar. halts: security_id,
-    start_us, end_us (-1: open), disjoint per security, as halt_periods gives them; each missing minute looks up the
-    last period that began by then, an as-of lookup instead of a range join.
+    Expected are all minutes of the given sessions on every date with a minute bar of any security, for every one of
+    securities (security_id), also where it has no bar at all; runs end with their session. A bar counts for the session
+    it is labelled with. halts: security_id, start_us, end_us (-1: open), disjoint per security, as halt_periods gives
+    them; they cover the minutes that begin in them. The grid isn't laid out by minutes: bars and halts are spans within
+    a security's session, and what lies between the spans is missing.
     """
-    r = minute.filter("session = 'regular'").withColumn("slot", F.floor(F.col("us") / MINUTE_US))
-    span = r.groupBy("security_id", "local_date").agg(F.min("slot").alias("a"), F.max("slot").alias("z"))
-    grid = span.select("security_id", F.explode(F.sequence("a", "z")).alias("slot"))
-    gone = grid.join(r.select("security_id", "slot"), ["security_id", "slot"], "left_anti").withColumn("at_us", F.col("slot") * MINUTE_US)
-    per = halts.select("security_id", "start_us", F.col("end_us").alias("halt_end"))
-    seen = asof_last(gone, per, ["security_id"], "at_us", "start_us", ["halt_end"], DAY_US)
-    free = seen.filter("halt_end is null or (halt_end <> -1 and at_us >= halt_end)")
-    runs = islands(free.select("security_id", "slot", F.floor(F.col("slot") / 1440).alias("_d")), ["security_id", "_d"], "slot", 1)
-    return runs.select("security_id", (F.col("first") * MINUTE_US).alias("first_us"), (F.col("last") * MINUTE_US).alias("last_us"), F.col("n").alias("minutes"))
+    slot = lambda c: F.floor(c / MINUTE_US)
+    key = ["security_id", "local_date", "session"]
+    days = minute.select("local_date").distinct().crossJoin(minute.sparkSession.createDataFrame([(x,) for x in sessions], "session string"))
+    bounds = {"a": slot(F.unix_micros(calendar.start(F.col("local_date"), F.col("session")))), "z": slot(F.unix_micros(calendar.end(F.col("local_date"), F.col("session"))))}
+    days = F.broadcast(days.withColumns(bounds).filter("a < z"))
+    cells = securities.select("security_id").filter("security_id is not null").distinct().crossJoin(days)
+    bars = minute.select(*key, slot(F.col("us")).alias("s")).distinct().withColumn("e", F.col("s") + 1)
+    bars = bars.join(days, ["local_date", "session"]).filter("s >= a and s < z").select(*key, "s", "e")
+    on = lambda c: calendar.local_date(F.timestamp_micros(c))
+    ends = minute.agg(F.min("local_date").alias("_lo"), F.max("local_date").alias("_hi"))
+    h = halts.crossJoin(F.broadcast(ends)).withColumn("_from", F.greatest(on(F.col("start_us")), "_lo")).withColumn("_to", F.least(F.when(F.col("end_us") == -1, F.col("_hi")).otherwise(on(F.col("end_us"))), "_hi"))
+    # minutes that begin in the halt: both ends rounded up
+    up = lambda c: F.ceil(F.col(c) / MINUTE_US)
+    h = h.filter("_from <= _to").select("security_id", F.explode(F.sequence("_from", "_to")).alias("local_date"), up("start_us").alias("hs"), F.when(F.col("end_us") != -1, up("end_us")).alias("he"))
+    h = h.join(securities.select("security_id").distinct(), "security_id", "left_semi").join(days, "local_date")
+    h = h.select(*key, F.greatest("hs", "a").alias("s"), F.least("he", "z").alias("e")).filter("s < e")
+    first, last = cells.select(*key, F.col("a").alias("s"), F.col("a").alias("e")), cells.select(*key, F.col("z").alias("s"), F.col("z").alias("e"))
+    known = bars.join(securities.select("security_id").distinct(), "security_id", "left_semi").select(*key, "s", "e")
+    w = Window.partitionBy(*key).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = first.unionByName(known).unionByName(h).unionByName(last).withColumn("_until", F.max("e").over(w)).filter("s > _until")
+    return gaps.select("security_id", (F.col("_until") * MINUTE_US).alias("first_us"), ((F.col("s") - 1) * MINUTE_US).alias("last_us"), (F.col("s") - F.col("_until")).alias("minutes"))
 
 
 def known_attribute(value: str, known: str, at: str = "available_us") -> Column:

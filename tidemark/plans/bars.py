@@ -95,7 +95,10 @@ def split_adjust(spark, d):
 
 
 def expected_grid_gaps(spark, d):
-    return B.missing_runs(_minute(spark, d), intervals.halt_periods(table(spark, d, "halt_observations")).filter("kind = 'period'"))
+    """Expected are the securities of instruments and of bars; the tables hold no list of their own."""
+    minute = _minute(spark, d)
+    securities = table(spark, d, "instruments").select("security_id").unionByName(minute.select("security_id"))
+    return B.missing_runs(minute, intervals.halt_periods(table(spark, d, "halt_observations")).filter("kind = 'period'"), securities)
 
 
 def dup_bars(spark, d):
