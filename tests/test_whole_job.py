@@ -1,7 +1,7 @@
 """Queries that once did a part of the job, on small tables with results worked out by hand or by brute force."""
 
 import random
-from datetime import UTC, date, datetime
+from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 from tidemark.operators import attention
@@ -74,3 +74,18 @@ def test_grid_holds_whole_sessions_of_all_securities(spark):
     ).collect()
     assert all(r["last_us"] - r["first_us"] == (r["minutes"] - 1) * MIN for r in got)
     assert sorted((r["security_id"], r["first_us"] + i * MIN) for r in got for i in range(r["minutes"])) == sorted(want)
+
+
+def test_previous_daily_takes_each_bar_from_its_own_availability(spark):
+    rng = random.Random(9)
+    day = 1440 * MIN
+    first = us("2026-01-05T05:00:00")
+    daily = [("A", first + i * day, first + (i + 1) * day + rng.choice([0, 0, 5 * day, 12 * day]), float(i)) for i in range(30)]
+    minute = [("A", first + i * day + 10 * 60 * MIN, first + i * day + 10 * 60 * MIN + rng.choice([0, 3 * day]), date(2026, 1, 5) + timedelta(i)) for i in range(30)]
+    want = {}
+    for _, t, known, local in minute:
+        want[t] = max(((u, c) for _, u, a, c in daily if date(2026, 1, 5) + timedelta((u - first) // day) < local and a <= known), default=(None, None))
+    got = B.previous_daily(
+        spark.createDataFrame(minute, "security_id string, us long, available_us long, local_date date"), spark.createDataFrame(daily, "security_id string, us long, available_us long, close double")
+    )
+    assert {r["us"]: (r["prior_us"], r["prior_close"]) for r in got.collect()} == want

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.calendar import US_EQUITY, SessionCalendar
 from tidemark.operators.asof import asof_last, latest
+from tidemark.operators.attention import two_clock_last
 
 MINUTE_US = 60_000_000
 DAY_US = 1440 * MINUTE_US
@@ -147,23 +148,19 @@ def atr_known_at(minute: DataFrame, daily: DataFrame, period: int = 14) -> DataF
 
 
 def previous_daily(minute: DataFrame, daily: DataFrame, calendar: SessionCalendar = US_EQUITY) -> DataFrame:
-    """minute with ``prior_close``: close of the latest daily bar of an earlier local date that was available by then.
+    """minute with ``prior_close``, the close of the latest daily bar of an earlier local date that was available by
+    then, and ``prior_us``, that bar's own time; null without one.
 
-    Two clocks: candidates are daily bars by availability; a day's own bar is excluded by its date. As a day has one
-    daily bar and bars become available in order of their dates, the last known of an earlier date is carried; where
-    the last known is of the bar's own date or later, the one before it holds (at most two are carried).
+    Each daily bar counts from its own availability, in whatever order they become available: a lookup by two clocks,
+    the date and the availability, once per distinct security, date and availability.
     """
-    w = Window.partitionBy("security_id").orderBy("us")
-    d = daily.select(
-        "security_id",
-        F.greatest("available_us", F.max("available_us").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("_known"),
-        calendar.local_date(F.timestamp_micros("us")).alias("_date"),
-        F.col("close").alias("_close"),
-        F.lag("close").over(w).alias("_close1"),
-    )
-    m = asof_last(minute, d, ["security_id"], "available_us", "_known", ["_date", "_close", "_close1"], DAY_US)
-    prior = F.when(F.col("_date") < F.col("local_date"), F.col("_close")).otherwise(F.col("_close1"))
-    return m.withColumn("prior_close", prior).drop("_date", "_close", "_close1")
+    day = lambda c: F.unix_date(c).cast("long")
+    key = ["security_id", "local_date", "available_us"]
+    asked = minute.select(*key).distinct().select("security_id", F.struct(*key).alias("id"), (day(F.col("local_date")) - 1).alias("event_us"), F.col("available_us").alias("known_us"))
+    d = daily.select("security_id", day(calendar.local_date(F.timestamp_micros("us"))).alias("observed_us"), "available_us", F.struct("us", "close").alias("value"))
+    # both clocks are only compared: the first counts days here, in cells of a week
+    found = two_clock_last(asked, d, ["security_id"], 7).select(*[F.col(f"id.{c}").alias(c) for c in key], F.col("value.close").alias("prior_close"), F.col("value.us").alias("prior_us"))
+    return minute.join(found, key, "left")
 
 
 def gap_percent(with_prior: DataFrame) -> DataFrame:
