@@ -89,3 +89,13 @@ def test_previous_daily_takes_each_bar_from_its_own_availability(spark):
         spark.createDataFrame(minute, "security_id string, us long, available_us long, local_date date"), spark.createDataFrame(daily, "security_id string, us long, available_us long, close double")
     )
     assert {r["us"]: (r["prior_us"], r["prior_close"]) for r in got.collect()} == want
+
+
+def test_prior_close_is_comparable_over_known_splits(spark):
+    actions = spark.createDataFrame([("A", 15, 12, 2.0), ("A", 25, 40, 5.0), ("A", 10, 0, 7.0), ("B", 15, 0, 3.0)], "security_id string, effective_us long, available_us long, ratio double")
+    daily = spark.createDataFrame([("A", 10, 11, 102.0, 98.0, 100.0), ("A", 20, 21, 51.0, 49.0, 50.0), ("A", 30, 31, 51.0, 50.0, 50.0)], "security_id string, us long, available_us long, high double, low double, close double")
+    assert {r["us"]: r["true_range"] for r in B.true_range(daily, actions).collect()} == {10: 4.0, 20: 2.0, 30: 1.0}
+    schema = "security_id string, local_date date, session string, us long, available_us long, open double, close double, prior_close double, prior_us long"
+    minute = [("A", date(2026, 1, 6), "premarket", 18, 19, 49.0, 55.0, 100.0, 10), ("A", date(2026, 1, 6), "regular", 19, 20, 60.0, 1.0, 100.0, 10), ("A", date(2026, 1, 7), "regular", 28, 45, 11.0, 1.0, 50.0, 20)]
+    got = {r["us"]: (r["prior_close"], round(r["gap_percent"], 6)) for r in B.gap_percent(spark.createDataFrame(minute, schema), actions).collect()}
+    assert got == {18: (100.0, 10.0), 19: (100.0, 20.0), 28: (50.0, 10.0)}

@@ -132,17 +132,27 @@ def realised_volatility(minute: DataFrame, window: int = 30) -> DataFrame:
     return m.withColumn("realised_volatility", F.when(enough, F.sqrt(F.sum(F.col("_ret") * F.col("_ret")).over(w)) * 100)).drop("_break", "_ret", "_run")
 
 
-def true_range(daily: DataFrame) -> DataFrame:
-    """True range of daily bars against the previous close; the first bar's own range."""
+def comparable_prior(bars: DataFrame, actions: DataFrame, prior: str, prior_us: str, name: str) -> DataFrame:
+    """bars with ``name``: the price prior of time prior_us, divided by the ratios of the splits that took effect after
+    it and by the bar (us) and were known by the bar's own availability. A security's splits are one array, as above."""
+    per = actions.filter("ratio > 0").groupBy("security_id").agg(F.array_sort(F.collect_list(F.struct("effective_us", "available_us", "ratio"))).alias("_splits"))
+    between = F.filter("_splits", lambda s: (F.col(prior_us) < s["effective_us"]) & (s["effective_us"] <= F.col("us")) & (s["available_us"] <= F.col("available_us")))
+    factor = F.coalesce(F.aggregate(between, F.lit(1.0), lambda acc, s: acc * s["ratio"]), F.lit(1.0))
+    return bars.join(per, "security_id", "left").withColumn(name, F.col(prior) / factor).drop("_splits")
+
+
+def true_range(daily: DataFrame, actions: DataFrame) -> DataFrame:
+    """True range of daily bars against the previous close, made comparable over splits; the first bar's own range."""
     w = Window.partitionBy("security_id").orderBy("us")
-    prev = F.coalesce(F.lag("close").over(w), F.col("close"))
-    return daily.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
+    d = comparable_prior(daily.withColumns({"_prev": F.lag("close").over(w), "_prev_us": F.lag("us").over(w)}), actions, "_prev", "_prev_us", "_comparable")
+    prev = F.coalesce("_comparable", "close")
+    return d.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))).drop("_prev", "_prev_us", "_comparable")
 
 
-def atr_known_at(minute: DataFrame, daily: DataFrame, period: int = 14) -> DataFrame:
+def atr_known_at(minute: DataFrame, daily: DataFrame, actions: DataFrame, period: int = 14) -> DataFrame:
     """minute with ``atr``: mean true range of the last period daily bars available by the bar's own availability."""
     w = Window.partitionBy("security_id").orderBy("us").rowsBetween(-(period - 1), 0)
-    tr = true_range(daily).withColumns({"_n": F.count("*").over(w), "_atr": F.avg("true_range").over(w)})
+    tr = true_range(daily, actions).withColumns({"_n": F.count("*").over(w), "_atr": F.avg("true_range").over(w)})
     known = tr.select("security_id", F.col("available_us").alias("_known"), F.col("us").alias("_day"), F.when(F.col("_n") >= period, F.col("_atr")).alias("atr"))
     return asof_last(minute, known, ["security_id"], "available_us", "_known", ["_day", "atr"], DAY_US).drop("_day")
 
@@ -163,12 +173,14 @@ def previous_daily(minute: DataFrame, daily: DataFrame, calendar: SessionCalenda
     return minute.join(found, key, "left")
 
 
-def gap_percent(with_prior: DataFrame) -> DataFrame:
-    """Premarket: close against the prior close; later: the day's first regular open against it."""
+def gap_percent(with_prior: DataFrame, actions: DataFrame) -> DataFrame:
+    """Premarket: close against the prior close; later: the day's first regular open against it. The prior close is made
+    comparable over the splits since its day; prior_close itself stays as it was traded."""
     day = Window.partitionBy("security_id", "local_date")
     first = F.min_by(F.when(F.col("session") == "regular", F.col("open")), F.when(F.col("session") == "regular", F.col("us"))).over(day)
     now = F.when(F.col("session") == "premarket", F.col("close")).otherwise(first)
-    return with_prior.withColumn("gap_percent", (F.try_divide(now, F.when(F.col("prior_close") > 0, F.col("prior_close"))) - 1) * 100)
+    p = comparable_prior(with_prior, actions, "prior_close", "prior_us", "_comparable")
+    return p.withColumn("gap_percent", (F.try_divide(now, F.when(F.col("_comparable") > 0, F.col("_comparable"))) - 1) * 100).drop("_comparable")
 
 
 def missing_runs(minute: DataFrame, halts: DataFrame, securities: DataFrame, calendar: SessionCalendar = US_EQUITY, sessions: tuple[str, ...] = ("premarket", "regular")) -> DataFrame:

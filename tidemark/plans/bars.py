@@ -61,11 +61,11 @@ def realised_vol(spark, d):
 
 
 def true_range_atr(spark, d):
-    return B.atr_known_at(_minute(spark, d), _daily(spark, d), 3).select(*KEY, _r("atr"))
+    return B.atr_known_at(_minute(spark, d), _daily(spark, d), _actions(spark, d), 3).select(*KEY, _r("atr"))
 
 
 def prev_daily_asof(spark, d):
-    m = B.gap_percent(B.previous_daily(_minute(spark, d), _daily(spark, d)))
+    m = B.gap_percent(B.previous_daily(_minute(spark, d), _daily(spark, d)), _actions(spark, d))
     return m.select(*KEY, "prior_close", _r("gap_percent"))
 
 
