@@ -6,7 +6,7 @@ from zoneinfo import ZoneInfo
 
 from tidemark.operators import attention
 from tidemark.operators import bars as B
-from tidemark.plans import models
+from tidemark.plans import documents, models
 
 MIN = 60_000_000
 
@@ -99,3 +99,13 @@ def test_prior_close_is_comparable_over_known_splits(spark):
     minute = [("A", date(2026, 1, 6), "premarket", 18, 19, 49.0, 55.0, 100.0, 10), ("A", date(2026, 1, 6), "regular", 19, 20, 60.0, 1.0, 100.0, 10), ("A", date(2026, 1, 7), "regular", 28, 45, 11.0, 1.0, 50.0, 20)]
     got = {r["us"]: (r["prior_close"], round(r["gap_percent"], 6)) for r in B.gap_percent(spark.createDataFrame(minute, schema), actions).collect()}
     assert got == {18: (100.0, 10.0), 19: (100.0, 20.0), 28: (50.0, 10.0)}
+
+
+def test_every_document_has_a_row_and_equal_texts_without_tokens_one_class(spark, tmp_path):
+    t = [at(f"2026-01-0{i}T00:00:00") for i in range(1, 8)]
+    jp, words = "東京 株式", "profit rose sharply in quarter"
+    rows = [(1, "A", jp, t[0]), (2, "A", f" 東京　株式\n", t[1]), (3, "A", "大阪", t[2]), (4, "B", jp, t[3]), (5, "A", None, t[4]), (6, "A", "", t[5]), (7, "A", " \t", t[6]), (8, None, jp, t[0]), (9, "A", words, None), (10, "A", words, t[0]), (11, "A", words, t[1]), (12, "A", "a the", t[1]), (13, "A", "The  a", t[2])]
+    write(spark, str(tmp_path), "documents", rows, "doc_id long, ticker string, text string, published_at timestamp")
+    got = {r["doc_id"]: (r["class_id"], r["links"], r["prior"]) for r in documents.near_dup_jaccard(spark, str(tmp_path)).collect()}
+    alone = {i: (i, 0, None) for i in (3, 4, 5, 6, 7, 8, 12, 13)}
+    assert got == alone | {1: (1, 1, None), 2: (1, 1, 1), 9: (9, 2, None), 10: (9, 2, None), 11: (9, 2, 10)}

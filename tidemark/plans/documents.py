@@ -73,13 +73,25 @@ def recent_same_category(spark, d):
 
 
 def near_dup_jaccard(spark, d):
-    """Per document its class of equal token sets, the number of near duplicates of its ticker and the latest before it."""
-    t = table(spark, d, "documents").select("ticker", "doc_id", F.unix_micros("published_at").alias("us"), X.token_set(F.col("text")).alias("t"))
-    t = t.filter("ticker is not null and us is not null")
-    members, pairs = similarity.similar_sets(t, ["ticker"], "doc_id", "t", NEAR)
+    """Per document its class of equal token sets, the number of near duplicates of its ticker and the latest before it.
+
+    A text without tokens (other scripts, ignored words only) is equal to those of the same text but for case and
+    blanks; null, empty and blank texts and documents without ticker are like no other. A document without time is
+    counted but is neither before nor after another.
+    """
+    t = table(spark, d, "documents").select("ticker", "doc_id", F.unix_micros("published_at").alias("us"), "text", X.token_set(F.col("text")).alias("t"))
+    plain = X.normalised(F.col("text"))
+    # a stand-in that no token can equal: tokens are letters and digits
+    alone = F.when(plain != "", F.concat(F.lit("#"), F.sha2(plain, 256))).otherwise(F.concat(F.lit("##"), F.col("doc_id").cast("string")))
+    t = t.withColumn("t", F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(alone))).drop("text")
+    placed, rest = t.filter("ticker is not null"), t.filter("ticker is null")
+    members, pairs = similarity.similar_sets(placed, ["ticker"], "doc_id", "t", NEAR)
     n = similarity.links(members, pairs, ["ticker"])
-    p = similarity.latest_similar_before(members, pairs, t.select("ticker", F.col("doc_id").alias("id"), "us"), ["ticker"], ["us"])
-    return n.join(p, ["ticker", "id"]).select(F.col("id").alias("doc_id"), "class_id", "links", "prior")
+    timed = placed.filter("us is not null").select("ticker", F.col("doc_id").alias("id"), "us")
+    p = similarity.latest_similar_before(members, pairs, timed, ["ticker"], ["us"])
+    found = n.join(p, ["ticker", "id"], "left").select(F.col("id").alias("doc_id"), "class_id", "links", "prior")
+    none = rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("prior"))
+    return found.unionByName(none)
 
 
 def supporting_links_topn(spark, d):
