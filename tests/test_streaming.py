@@ -49,7 +49,7 @@ def test_first_sight_of_an_issuer_seeds(spark, tmp_path):
 
 def test_outcomes_are_frozen_and_equal_the_batch(spark, tmp_path):
     minute = monitoring.MINUTE_US
-    rows = [("T", "a1", None, 0), *[("T", None, 10.0 + k % 7, k * minute) for k in range(1, 70)], ("T", None, None, 70 * minute)]
+    rows = [("T", "a1", 8.0, 0), ("T", "a2", None, 0), *[("T", None, 10.0 + k % 7, k * minute) for k in range(1, 70)], ("T", None, None, 70 * minute)]
     late = [("T", None, 99.0, 3 * minute), ("T", None, None, 90 * minute)]
     src, schema = tmp_path / "in", "ticker string, alert_id string, close double, us long"
     for part in (rows, late):
@@ -57,10 +57,11 @@ def test_outcomes_are_frozen_and_equal_the_batch(spark, tmp_path):
         q = M.streaming_outcomes(spark.readStream.schema(schema).json(str(src))).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "o"))).trigger(availableNow=True).start()
         q.awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "o")).collect()))
-    alerts = spark.createDataFrame([("a1", "T", 0)], "alert_id string, ticker string, start_us long")
-    seen = spark.createDataFrame([(t, u, c) for t, _, c, u in rows if c], "ticker string, us long, close double")
-    want = sorted(map(tuple, monitoring.outcomes(alerts, seen).select("alert_id", "horizon", "observations", "last", "highest", "lowest").collect()))
-    assert got == want and [g[2] for g in got] == [5, 15, 30, 60]
+    alerts = spark.createDataFrame([("a1", "T", 0, 8.0), ("a2", "T", 0, None)], "alert_id string, ticker string, start_us long, reference double")
+    seen = spark.createDataFrame([(t, u, c) for t, a, c, u in rows if c and not a], "ticker string, us long, close double")
+    want = sorted(map(tuple, monitoring.outcomes(alerts, seen).collect()))
+    assert got == want and [g[2] for g in got] == [5, 15, 30, 60] * 2
+    assert [g[6] for g in got] == [True] * 4 + [False] * 4 and got[0][7:] == (87.5, 87.5, 37.5)
 
 
 def test_restart_delay():

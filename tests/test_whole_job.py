@@ -4,7 +4,7 @@ import random
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from tidemark.operators import attention
+from tidemark.operators import asof, attention
 from tidemark.operators import bars as B
 from tidemark.plans import documents, models
 
@@ -38,7 +38,7 @@ def test_observations_of_every_clock_text_count(spark, tmp_path):
     got = {r["observation_id"]: r["return_pct"] for r in models.gated_features(spark, str(tmp_path)).collect()}
     assert got == {"o1": 10.0, "o2": 10.0, "o3": 100.0}
     five = models.alert_outcomes(spark, str(tmp_path)).filter("horizon = 5").collect()
-    assert [tuple(r[c] for c in ("alert_id", "observations", "last", "highest", "lowest")) for r in five] == [("a", 3, 24.2, 24.2, 11.0)]
+    assert [tuple(r[c] for c in ("alert_id", "observations", "last", "highest", "lowest", "return_pct", "mae_pct")) for r in five] == [("a", 3, 24.2, 24.2, 11.0, 142.0, 10.0)]
 
 
 def test_two_clock_lookup_has_no_lower_bound(spark):
@@ -109,3 +109,25 @@ def test_every_document_has_a_row_and_equal_texts_without_tokens_one_class(spark
     got = {r["doc_id"]: (r["class_id"], r["links"], r["prior"]) for r in documents.near_dup_jaccard(spark, str(tmp_path)).collect()}
     alone = {i: (i, 0, None) for i in (3, 4, 5, 6, 7, 8, 12, 13)}
     assert got == alone | {1: (1, 1, None), 2: (1, 1, 1), 9: (9, 2, None), 10: (9, 2, None), 11: (9, 2, 10)}
+
+
+def test_atr_takes_the_last_days_known_in_whatever_order_they_arrive(spark):
+    rng = random.Random(3)
+    daily = [("AB"[i % 2], i * 100, i * 100 + rng.choice([50, 400, 1700]), 10.0 + rng.random() * 5, 9.0, 9.5) for i in range(60)]
+    minute = [("AB"[i % 2], i * 90 + 7) for i in range(80)]
+    frame = spark.createDataFrame(daily, "security_id string, us long, available_us long, high double, low double, close double")
+    none = spark.createDataFrame([], "security_id string, effective_us long, available_us long, ratio double")
+    ranges = {(r["security_id"], r["us"]): r["true_range"] for r in B.true_range(frame, none).collect()}
+    want = {}
+    for k, t in minute:
+        known = sorted((u, ranges[k, u]) for q, u, a, *_ in daily if q == k and a <= t)[-5:]
+        want[k, t] = round(sum(x for _, x in known) / 5, 9) if len(known) == 5 else None
+    got = B.atr_known_at(spark.createDataFrame(minute, "security_id string, available_us long"), frame, none, 5).collect()
+    assert {(r["security_id"], r["available_us"]): None if r["atr"] is None else round(r["atr"], 9) for r in got} == want
+    assert any(v is None for v in want.values()) and len(set(want.values())) > 20
+
+
+def test_the_row_before_may_be_days_before(spark):
+    rows = [("A", 5, "x", 1.0), ("A", 5, "y", 2.0), ("A", 950, "z", 3.0), ("A", 951, "w", 4.0), ("A", None, "n", 5.0), ("B", 4, "q", 6.0)]
+    got = asof.previous_row(spark.createDataFrame(rows, "k string, us long, id string, v double"), ["k"], "us", "id", ["v"], 100).collect()
+    assert {r["id"]: (r["prev_us"], r["prev_v"]) for r in got} == {"x": (None, None), "y": (5, 1.0), "z": (5, 2.0), "w": (950, 3.0), "n": (None, None), "q": (None, None)}

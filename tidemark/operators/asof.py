@@ -42,6 +42,24 @@ def asof_last(left: DataFrame, right: DataFrame, by: list[str], left_at: str, ri
     return out.select(*left.columns, *[F.col(f"_last.{c}").alias(c) for c in values])
 
 
+def previous_row(df: DataFrame, by: list[str], at: str, tie: str, values: list[str], bucket: int, prefix: str = "prev_") -> DataFrame:
+    """df with the values of the row before each in (at, tie) of its key, as prefix + name; null for a key's first row.
+
+    A key is cut into buckets of time, each begun by the last row of the buckets before it (one row per key and bucket),
+    so a key that holds a third of all rows is many tasks' work. Rows without a time have no row before them and are
+    before none; (at, tie) must be unique per key.
+    """
+    b = df.withColumn("_b", F.floor(F.col(at) / F.lit(bucket)).cast("long"))
+    row = F.struct(at, tie, *values)
+    ends = b.filter(F.col(at).isNotNull()).groupBy(*by, "_b").agg(F.max(row).alias("_m"))
+    over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_c", F.last("_m").over(over)).select(*by, "_b", "_c")
+    w = Window.partitionBy(*by, "_b").orderBy(at, tie)
+    inside = b.withColumn("_p", F.when(F.col(at).isNotNull(), F.lag(row).over(w)))
+    out = inside.join(carried, [*by, "_b"], "left").withColumn("_p", F.coalesce("_p", "_c"))
+    return out.select(*df.columns, *[F.col(f"_p.{c}").alias(prefix + c) for c in dict.fromkeys([at, *values])])
+
+
 def islands(df: DataFrame, by: list[str], at: str, step: int) -> DataFrame:
     """(by..., first, last, n): runs of values that are exactly a step apart. Values must be distinct per key."""
     w = Window.partitionBy(*by).orderBy(at)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections.abc import Iterator
+from math import fsum
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +14,17 @@ from pyspark.sql.window import Window
 from tidemark.functions.calendar import US_EQUITY, SessionCalendar
 from tidemark.operators.asof import asof_last, latest
 from tidemark.operators.attention import two_clock_last
+from tidemark.operators.streams import whole_groups
 
 MINUTE_US = 60_000_000
 DAY_US = 1440 * MINUTE_US
 MOMENTUM_MINUTES = (1, 5, 15, 30, 60)
+#: The calendar of the queries: the exchange's full holidays and early closes over the tables' dates.
+NYSE = SessionCalendar(
+    # fixed values: days without trading and minutes of early closes
+    holidays=("2025-09-01", "2025-11-27", "2025-12-25", "2026-01-01", "2026-01-19", "2026-02-16", "2026-04-03", "2026-05-25"),
+    early_closes={"2025-11-28": 780, "2025-12-24": 780},
+)
 _VALUES = ["open", "high", "low", "close", "volume", "vwap", "bid", "ask", "trade_count", "session"]
 
 
@@ -149,12 +161,39 @@ def true_range(daily: DataFrame, actions: DataFrame) -> DataFrame:
     return d.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))).drop("_prev", "_prev_us", "_comparable")
 
 
-def atr_known_at(minute: DataFrame, daily: DataFrame, actions: DataFrame, period: int = 14) -> DataFrame:
-    """minute with ``atr``: mean true range of the last period daily bars available by the bar's own availability."""
-    w = Window.partitionBy("security_id").orderBy("us").rowsBetween(-(period - 1), 0)
-    tr = true_range(daily, actions).withColumns({"_n": F.count("*").over(w), "_atr": F.avg("true_range").over(w)})
-    known = tr.select("security_id", F.col("available_us").alias("_known"), F.col("us").alias("_day"), F.when(F.col("_n") >= period, F.col("_atr")).alias("atr"))
-    return asof_last(minute, known, ["security_id"], "available_us", "_known", ["_day", "atr"], DAY_US).drop("_day")
+def _last_known(period: int):
+    """Mean true range of the last period days known, at each instant at which a security's daily bars become available."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in whole_groups(batches, ["security_id"]):
+            out: list[tuple] = []
+            owner, days, ranges = None, [], []
+            for security, known, day, tr in zip(g["security_id"], g["available_us"].to_numpy(), g["us"].to_numpy(), g["true_range"].to_numpy()):
+                if security != owner:
+                    owner, days, ranges = security, [], []
+                k = bisect(days, day)
+                days.insert(k, day)
+                ranges.insert(k, tr)
+                if len(days) > period:  # days before these can't come back: what is known stays known
+                    del days[0], ranges[0]
+                if out and out[-1][:2] == (security, known):
+                    out.pop()  # of days that become available together the last step knows them all
+                out.append((security, known, fsum(ranges) / period if len(days) == period else None))
+            yield pd.DataFrame(out, columns=["security_id", "_known", "atr"]).astype({"atr": float})
+
+    return run
+
+
+def atr_known_at(minute: DataFrame, daily: DataFrame, actions: DataFrame, period: int = 14, name: str = "atr") -> DataFrame:
+    """minute with ``atr``: mean true range of the last period daily bars, by day, of those available by the bar's own
+    availability; null with fewer. A daily bar counts from its own availability, in whatever order they arrive.
+
+    The sweep sees a row per security and day, not the minutes; it holds one security's days and passes each once.
+    """
+    tr = true_range(daily, actions).filter("available_us is not null").select("security_id", "available_us", "us", "true_range")
+    swept = tr.repartition("security_id").sortWithinPartitions("security_id", "available_us", "us").mapInPandas(_last_known(period), "security_id string, _known long, atr double")
+    known = swept.select("security_id", "_known", F.nanvl("atr", F.lit(None).cast("double")).alias(name))
+    return asof_last(minute, known, ["security_id"], "available_us", "_known", [name], DAY_US)
 
 
 def previous_daily(minute: DataFrame, daily: DataFrame, calendar: SessionCalendar = US_EQUITY) -> DataFrame:

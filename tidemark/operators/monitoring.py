@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.operators.asof import previous_row
 
 MINUTE_US = 60_000_000
 HORIZONS = (5, 15, 30, 60)
@@ -25,14 +26,16 @@ def current_halts(halts: DataFrame, now_us: int) -> DataFrame:
 
 def gated_features(observations: DataFrame) -> DataFrame:
     """(observation_id, return_pct, dollar_volume, spread_pct, float_rotation) of observations without missing flags that
-    have an earlier one of their security on the same UTC day; values against that earlier one."""
+    have an earlier one of their security, however long before; values against that earlier one.
+
+    observations: one row per observation_id, with us; rows without a time count neither way.
+    """
     o = observations.filter(F.col("us").isNotNull())
-    w = Window.partitionBy("security_id", F.floor(F.col("us") / (1440 * MINUTE_US))).orderBy("us", "observation_id")
-    p = o.withColumn("prev", F.lag("close").over(w)).withColumn("before", F.lag("us").over(w))
-    ok = p.filter((F.size("missing_flags") == 0) & F.col("before").isNotNull())
+    p = previous_row(o, ["security_id"], "us", "observation_id", ["close"], 1440 * MINUTE_US)
+    ok = p.filter((F.size("missing_flags") == 0) & F.col("prev_us").isNotNull())
     return ok.select(
         "observation_id",
-        ((F.try_divide(F.col("close"), F.when(F.col("prev") > 0, F.col("prev"))) - 1) * 100).alias("return_pct"),
+        ((F.try_divide(F.col("close"), F.when(F.col("prev_close") > 0, F.col("prev_close"))) - 1) * 100).alias("return_pct"),
         (F.col("close") * F.col("volume")).alias("dollar_volume"),
         (F.try_divide(F.col("ask") - F.col("bid"), F.col("close")) * 100).alias("spread_pct"),
         F.try_divide(F.col("volume").cast("double"), F.col("free_float").cast("double")).alias("float_rotation"),
@@ -40,9 +43,11 @@ def gated_features(observations: DataFrame) -> DataFrame:
 
 
 def outcomes(alerts: DataFrame, observations: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """(alert_id, horizon, observations, last, highest, lowest): prices of an alert's ticker in (start, start + horizon].
+    """(alert_id, horizon, observations, last, highest, lowest, complete, return_pct, mfe_pct, mae_pct): prices of an
+    alert's ticker in (start, start + horizon], and what they are against its reference price.
 
-    alerts: alert_id, ticker, start_us; observations: ticker, us, close. Both are laid into cells of the longest
+    alerts: alert_id, ticker, start_us, reference (null: unknown); observations: ticker, us, close. An outcome is complete
+    if there are prices and a reference; only then it has percentages (of the last, highest and lowest price). Both are laid into cells of the longest
     horizon's width; an alert looks at its own cell and the next, so a hot ticker is spread over its cells, and the
     prices are added up per alert and cell before anything is joined on. Horizons nest, so each observation is counted
     under every horizon it lies in. Alerts without any observation come with nulls and 0.
@@ -56,8 +61,11 @@ def outcomes(alerts: DataFrame, observations: DataFrame, horizons: tuple[int, ..
     inside = F.filter(hs, lambda h: F.col("us") <= F.col("start_us") + h.cast("long") * MINUTE_US)
     many = met.withColumn("horizon", F.explode(inside))
     s = many.groupBy("alert_id", "horizon").agg(F.count("*").alias("observations"), F.max(F.struct("us", "close"))["close"].alias("last"), F.max("close").alias("highest"), F.min("close").alias("lowest"))
-    grid = a.select("alert_id").distinct().withColumn("horizon", F.explode(hs))
-    return grid.join(s, ["alert_id", "horizon"], "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
+    grid = a.select("alert_id", "reference").distinct().withColumn("horizon", F.explode(hs))
+    out = grid.join(s, ["alert_id", "horizon"], "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
+    complete = (F.col("observations") > 0) & F.coalesce(F.col("reference") != 0, F.lit(False))
+    against = lambda c: F.when(complete, (F.try_divide(F.col(c), F.col("reference")) - 1) * 100)
+    return out.select("alert_id", "horizon", "observations", "last", "highest", "lowest", complete.alias("complete"), against("last").alias("return_pct"), against("highest").alias("mfe_pct"), against("lowest").alias("mae_pct"))
 
 
 def not_invalidated(alerts: DataFrame, manifests: DataFrame, at: Column) -> DataFrame:

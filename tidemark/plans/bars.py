@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import US_EQUITY
 from tidemark.operators import bars as B
 from tidemark.operators import intervals
 from tidemark.plans.tables import table
@@ -37,7 +36,7 @@ def bar_rollup(spark, d):
 
 def session_classify(spark, d):
     b = table(spark, d, "bars").filter("timeframe = '1m'")
-    return b.select("session", US_EQUITY.classify(F.col("timestamp")).alias("computed"), US_EQUITY.minute_of_day(F.col("timestamp")).alias("minute")).groupBy("session", "computed", "minute").agg(F.count("*").alias("n"))
+    return b.select("session", B.NYSE.classify(F.col("timestamp")).alias("computed"), B.NYSE.minute_of_day(F.col("timestamp")).alias("minute")).groupBy("session", "computed", "minute").agg(F.count("*").alias("n"))
 
 
 def cum_vwap(spark, d):
@@ -57,11 +56,15 @@ def volume_accel(spark, d):
 
 
 def realised_vol(spark, d):
-    return B.realised_volatility(_minute(spark, d), 10).select(*KEY, _r("realised_volatility")).filter("realised_volatility is not null")
+    """Over the default window of 30 returns, and over 10, of which there are more rows."""
+    m = B.realised_volatility(B.realised_volatility(_minute(spark, d), 10).withColumnRenamed("realised_volatility", "realised_volatility_10"))
+    return m.select(*KEY, _r("realised_volatility"), _r("realised_volatility_10")).filter("realised_volatility_10 is not null")
 
 
 def true_range_atr(spark, d):
-    return B.atr_known_at(_minute(spark, d), _daily(spark, d), _actions(spark, d), 3).select(*KEY, _r("atr"))
+    """Over the default period of 14 daily bars, and over 3."""
+    m, daily, actions = _minute(spark, d), _daily(spark, d), _actions(spark, d)
+    return B.atr_known_at(B.atr_known_at(m, daily, actions), daily, actions, 3, "atr_3").select(*KEY, _r("atr"), _r("atr_3"))
 
 
 def prev_daily_asof(spark, d):
@@ -98,7 +101,7 @@ def expected_grid_gaps(spark, d):
     """Expected are the securities of instruments and of bars; the tables hold no list of their own."""
     minute = _minute(spark, d)
     securities = table(spark, d, "instruments").select("security_id").unionByName(minute.select("security_id"))
-    return B.missing_runs(minute, intervals.halt_periods(table(spark, d, "halt_observations")).filter("kind = 'period'"), securities)
+    return B.missing_runs(minute, intervals.halt_periods(table(spark, d, "halt_observations")).filter("kind = 'period'"), securities, B.NYSE)
 
 
 def dup_bars(spark, d):
@@ -136,11 +139,15 @@ def _mom(w: int) -> str:
 _HALTS = """o AS (SELECT *, row_number() OVER (PARTITION BY halt_id ORDER BY first_seen_at DESC) rn FROM halt_observations),
 hi AS (SELECT security_id, epoch_us(halt_at) s, coalesce(epoch_us(resumption_trade_at), 9000000000000000000) e FROM o WHERE rn = 1 AND security_id IS NOT NULL AND (resumption_trade_at IS NULL OR resumption_trade_at > halt_at))"""
 
+_HOLIDAYS = ", ".join(f"'{h}'" for h in B.NYSE.holidays)
+_CLOSE = "CASE dt " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in B.NYSE.early_closes.items()) + " ELSE 960 END"
+_SPLITS = "s AS (SELECT security_id, epoch_us(effective_from) e, epoch_us(available_at) k, 1.0::DOUBLE + version_id % 3 AS ratio FROM instruments)"
+
 SQL: dict[str, str] = {
     "bar_rollup": f"""WITH {_CLEAN} SELECT security_id, strftime(local_date, '%Y-%m-%d') AS local_date, arg_min(open, us) AS open, max(high) AS high, min(low) AS low, arg_max(close, us) AS close, CAST(sum(volume) AS BIGINT) AS volume,
  round(sum({_PRICE} * volume) / nullif(sum(volume), 0), 4) AS vwap, max(available_us) AS available_us, CAST(sum(coalesce(trade_count, 0)) AS BIGINT) AS trade_count, count(*) AS minutes FROM m WHERE session = 'regular' GROUP BY security_id, m.local_date""",
-    "session_classify": """WITH l AS (SELECT session, timezone('America/New_York', timestamp) t FROM bars WHERE timeframe = '1m'), x AS (SELECT session, CAST(hour(t) * 60 + minute(t) AS INTEGER) AS minute, isodow(t) w FROM l)
-SELECT session, CASE WHEN w > 5 THEN 'outside' WHEN minute >= 240 AND minute < 570 THEN 'premarket' WHEN minute >= 570 AND minute < 960 THEN 'regular' ELSE 'outside' END AS computed, minute, count(*) AS n FROM x GROUP BY 1, 2, 3""",
+    "session_classify": f"""WITH l AS (SELECT session, timezone('America/New_York', timestamp) t FROM bars WHERE timeframe = '1m'), x AS (SELECT session, CAST(hour(t) * 60 + minute(t) AS INTEGER) AS minute, isodow(t) w, strftime(t, '%Y-%m-%d') dt FROM l)
+SELECT session, CASE WHEN w > 5 OR dt IN ({_HOLIDAYS}) THEN 'outside' WHEN minute >= 240 AND minute < 570 THEN 'premarket' WHEN minute >= 570 AND minute < {_CLOSE} THEN 'regular' ELSE 'outside' END AS computed, minute, count(*) AS n FROM x GROUP BY 1, 2, 3""",
     "cum_vwap": f"WITH {_CLEAN}, {_CUM} SELECT security_id, us, CAST(session_volume AS BIGINT) AS session_volume, round(session_notional, 2) AS session_notional, round(session_vwap, 4) AS session_vwap, CAST(day_volume AS BIGINT) AS day_volume, round(day_notional, 2) AS day_notional, CASE WHEN session_vwap > 0 THEN round((close / session_vwap - 1) * 100, 4) END AS vwap_distance FROM cum",
     "momentum_asof": f"WITH {_CLEAN} SELECT security_id, us, " + ", ".join(f"{_mom(w)} AS momentum_{w}m" for w in B.MOMENTUM_MINUTES) + " FROM m",
     "rvol_tod": f"""WITH {_CLEAN}, {_CUM}, k AS (SELECT *, CAST(floor((us - {_START}) / 60000000) AS BIGINT) AS minute_offset FROM cum WHERE session IN ('premarket', 'regular') AND isodow(local_date) <= 5),
@@ -150,17 +157,21 @@ SELECT k.security_id, k.us, k.minute_offset, CASE WHEN bv > 0 THEN round(session
 SELECT security_id, us, round(a / b - 1, 4) AS volume_acceleration FROM x WHERE g = 540000000 AND b > 0""",
     "realised_vol": f"""WITH {_CLEAN}, x AS (SELECT *, lag(us) OVER w pu, lag(close) OVER w pc FROM m WINDOW w AS (PARTITION BY security_id, local_date ORDER BY us)),
 y AS (SELECT *, CASE WHEN us - pu = 60000000 AND pc > 0 AND close > 0 THEN ln(close / pc) END r FROM x), z AS (SELECT *, sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY security_id, local_date ORDER BY us ROWS UNBOUNDED PRECEDING) run FROM y),
-v AS (SELECT security_id, us, count(r) OVER q n, sum(r * r) OVER q s FROM z WINDOW q AS (PARTITION BY security_id, local_date, run ORDER BY us ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT security_id, us, round(sqrt(s) * 100, 4) AS realised_volatility FROM v WHERE n >= 10""",
-    "true_range_atr": f"""WITH {_CLEAN}, t AS (SELECT *, greatest(high - low, abs(high - coalesce(pc, close)), abs(low - coalesce(pc, close))) tr FROM (SELECT *, lag(close) OVER (PARTITION BY security_id ORDER BY us) pc FROM dly)),
-a AS (SELECT security_id, us, available_us, CASE WHEN count(*) OVER w >= 3 THEN avg(tr) OVER w END atr FROM t WINDOW w AS (PARTITION BY security_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-b AS (SELECT security_id, available_us, arg_max(coalesce(atr, -1), us) atr FROM a GROUP BY 1, 2)
-SELECT m.security_id, m.us, CASE WHEN b.atr >= 0 THEN round(b.atr, 4) END AS atr FROM m ASOF LEFT JOIN b ON m.security_id = b.security_id AND m.available_us >= b.available_us""",
-    "prev_daily_asof": f"""WITH {_CLEAN}, dd AS (SELECT security_id, us, close, local_date ld, max(available_us) OVER (PARTITION BY security_id ORDER BY us ROWS UNBOUNDED PRECEDING) k FROM dly),
-keys AS (SELECT DISTINCT security_id, local_date, available_us FROM m),
-pc AS (SELECT k.security_id, k.local_date, k.available_us, arg_max(dd.close, dd.us) prior_close FROM keys k JOIN dd ON dd.security_id = k.security_id AND dd.ld < k.local_date AND dd.k <= k.available_us GROUP BY ALL),
-f AS (SELECT security_id, local_date, arg_min(open, us) fo FROM m WHERE session = 'regular' GROUP BY ALL)
-SELECT m.security_id, m.us, prior_close, CASE WHEN prior_close > 0 THEN round((CASE WHEN session = 'premarket' THEN close ELSE fo END / prior_close - 1) * 100, 4) END AS gap_percent
-FROM m LEFT JOIN pc ON pc.security_id = m.security_id AND pc.local_date = m.local_date AND pc.available_us = m.available_us LEFT JOIN f ON f.security_id = m.security_id AND f.local_date = m.local_date""",
+v AS (SELECT security_id, us, count(r) OVER q n, sum(r * r) OVER q s, count(r) OVER q3 n3, sum(r * r) OVER q3 s3 FROM z WINDOW q AS (PARTITION BY security_id, local_date, run ORDER BY us ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), q3 AS (PARTITION BY security_id, local_date, run ORDER BY us ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT security_id, us, CASE WHEN n3 >= 30 THEN round(sqrt(s3) * 100, 4) END AS realised_volatility, round(sqrt(s) * 100, 4) AS realised_volatility_10 FROM v WHERE n >= 10""",
+    "true_range_atr": f"""WITH {_CLEAN}, {_SPLITS}, q AS (SELECT *, lag(close) OVER w pc, lag(us) OVER w pu FROM dly WINDOW w AS (PARTITION BY security_id ORDER BY us)),
+f AS (SELECT q.security_id, q.us, product(s.ratio) factor FROM q JOIN s ON s.security_id = q.security_id AND q.pu < s.e AND s.e <= q.us AND s.k <= q.available_us GROUP BY 1, 2),
+t AS (SELECT security_id, us, available_us, greatest(high - low, abs(high - coalesce(pc / coalesce(factor, 1), close)), abs(low - coalesce(pc / coalesce(factor, 1), close))) tr FROM q LEFT JOIN f USING (security_id, us)),
+keys AS (SELECT DISTINCT security_id, available_us FROM m),
+l AS (SELECT k.security_id, k.available_us, tr, row_number() OVER (PARTITION BY k.security_id, k.available_us ORDER BY t.us DESC) rn FROM keys k JOIN t ON t.security_id = k.security_id AND t.available_us <= k.available_us),
+a AS (SELECT security_id, available_us, CASE WHEN count(*) FILTER (rn <= 14) = 14 THEN avg(tr) FILTER (rn <= 14) END atr, CASE WHEN count(*) FILTER (rn <= 3) = 3 THEN avg(tr) FILTER (rn <= 3) END atr_3 FROM l GROUP BY 1, 2)
+SELECT m.security_id, m.us, round(atr, 4) AS atr, round(atr_3, 4) AS atr_3 FROM m LEFT JOIN a ON a.security_id = m.security_id AND a.available_us = m.available_us""",
+    "prev_daily_asof": f"""WITH {_CLEAN}, {_SPLITS}, keys AS (SELECT DISTINCT security_id, local_date, available_us FROM m),
+pc AS (SELECT k.security_id, k.local_date, k.available_us, arg_max(dly.close, dly.us) prior_close, max(dly.us) prior_us FROM keys k JOIN dly ON dly.security_id = k.security_id AND dly.local_date < k.local_date AND dly.available_us <= k.available_us GROUP BY ALL),
+f AS (SELECT security_id, local_date, arg_min(open, us) fo FROM m WHERE session = 'regular' GROUP BY ALL),
+x AS (SELECT m.security_id, m.us, m.session, m.close, fo, prior_close, prior_us, m.available_us FROM m LEFT JOIN pc ON pc.security_id = m.security_id AND pc.local_date = m.local_date AND pc.available_us = m.available_us LEFT JOIN f ON f.security_id = m.security_id AND f.local_date = m.local_date),
+g AS (SELECT x.security_id, x.us, product(s.ratio) factor FROM x JOIN s ON s.security_id = x.security_id AND x.prior_us < s.e AND s.e <= x.us AND s.k <= x.available_us GROUP BY 1, 2)
+SELECT x.security_id, x.us, prior_close, CASE WHEN prior_close > 0 THEN round((CASE WHEN session = 'premarket' THEN close ELSE fo END / (prior_close / coalesce(factor, 1)) - 1) * 100, 4) END AS gap_percent FROM x LEFT JOIN g ON g.security_id = x.security_id AND g.us = x.us""",
     "float_rotation": f"""WITH {_CLEAN}, {_CUM}, i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY version_id DESC) rn FROM instruments) WHERE rn = 1)
 SELECT cum.security_id, us, CASE WHEN free_float > 0 AND epoch_us(free_float_available_at) <= cum.available_us THEN round(day_volume / free_float, 8) END AS float_rotation, CASE WHEN epoch_us(shares_outstanding_available_at) <= cum.available_us THEN round(close * shares_outstanding, 0) END AS market_cap FROM cum JOIN i ON i.security_id = cum.security_id""",
     "relative_return": f"""WITH {_CLEAN}, x AS (SELECT security_id, us, (close / nullif(last_value(close) OVER (PARTITION BY security_id, local_date ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 300000000 PRECEDING), 0) - 1) * 100 q FROM m), b AS (SELECT us, q bq FROM x WHERE security_id = (SELECT min(security_id) FROM m))
@@ -168,10 +179,16 @@ SELECT security_id, us, round(q - bq, 4) AS relative_return FROM x JOIN b USING
     "split_adjust": f"""WITH {_CLEAN}, a AS (SELECT security_id, epoch_us(effective_from) e, 1.0::DOUBLE + version_id % 3 AS ratio FROM instruments WHERE epoch_us(effective_from) <= {KNOWN_US} AND epoch_us(available_at) <= {KNOWN_US}),
 f AS (SELECT m.security_id, m.us, coalesce(product(ratio), 1.0) factor FROM m LEFT JOIN a ON a.security_id = m.security_id AND m.us < a.e GROUP BY ALL)
 SELECT m.security_id, m.us, round(close / factor, 6) AS close, CAST(volume * factor AS BIGINT) AS volume, factor FROM m JOIN f ON f.security_id = m.security_id AND f.us = m.us""",
-    "expected_grid_gaps": f"""WITH {_CLEAN}, {_HALTS}, r AS (SELECT DISTINCT security_id, local_date, us // 60000000 slot FROM m WHERE session = 'regular'), sp AS (SELECT security_id, local_date, min(slot) a, max(slot) z FROM r GROUP BY ALL),
-g AS (SELECT security_id, unnest(generate_series(a, z)) slot FROM sp), q AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.security_id = g.security_id AND r.slot = g.slot) AND NOT EXISTS (SELECT 1 FROM hi WHERE hi.security_id = g.security_id AND g.slot * 60000000 >= s AND g.slot * 60000000 < e)),
-u AS (SELECT security_id, slot, slot - row_number() OVER (PARTITION BY security_id, slot // 1440 ORDER BY slot) k FROM q)
-SELECT security_id, CAST(min(slot) * 60000000 AS BIGINT) AS first_us, CAST(max(slot) * 60000000 AS BIGINT) AS last_us, count(*) AS minutes FROM u GROUP BY security_id, slot // 1440, k""",
+    "expected_grid_gaps": f"""WITH {_CLEAN}, {_HALTS}, sec AS (SELECT security_id FROM instruments WHERE security_id IS NOT NULL UNION SELECT security_id FROM m),
+dd AS (SELECT DISTINCT local_date, strftime(local_date, '%Y-%m-%d') dt FROM m), dy AS (SELECT * FROM dd WHERE isodow(local_date) <= 5 AND dt NOT IN ({_HOLIDAYS})),
+ss AS (SELECT local_date, 'premarket' AS session, 240 a, 570 z FROM dy UNION ALL SELECT local_date, 'regular', 570, {_CLOSE} FROM dy),
+g AS (SELECT security_id, local_date, session, mi, CAST(epoch_us(timezone('America/New_York', CAST(local_date AS TIMESTAMP) + to_minutes(mi))) AS BIGINT) us FROM sec CROSS JOIN (SELECT local_date, session, CAST(unnest(range(a, z)) AS INTEGER) mi FROM ss)),
+r AS (SELECT DISTINCT security_id, session, us // 60000000 * 60000000 us FROM m), hb AS (SELECT security_id, s, e FROM hi),
+q AS (SELECT g.* FROM g ANTI JOIN r ON r.security_id = g.security_id AND r.session = g.session AND r.us = g.us),
+hq AS (SELECT DISTINCT q.security_id, q.us FROM q JOIN hb ON hb.security_id = q.security_id AND q.us >= s AND q.us < e),
+n AS (SELECT q.* FROM q ANTI JOIN hq ON hq.security_id = q.security_id AND hq.us = q.us),
+u AS (SELECT *, mi - row_number() OVER (PARTITION BY security_id, local_date, session ORDER BY mi) k FROM n)
+SELECT security_id, min(us) AS first_us, max(us) AS last_us, count(*) AS minutes FROM u GROUP BY security_id, local_date, session, k""",
     "dup_bars": "SELECT security_id, timeframe, epoch_us(timestamp) AS us, count(*) - 1 AS repeats FROM bars GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "latest_per_security": f"WITH {_CLEAN} SELECT security_id, max(us) AS us, arg_max(close, us) AS close, arg_max(volume, us) AS volume FROM m GROUP BY 1",
 }

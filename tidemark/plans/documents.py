@@ -175,11 +175,12 @@ SELECT document_id, ticker, CAST(row_number() OVER (PARTITION BY ticker ORDER BY
 p AS (SELECT document_id r, min(available_at) pus FROM source_documents WHERE source_kind IN {_PRIM} GROUP BY 1) SELECT document_id, coalesce(pus <= us, false) AS corroborated FROM o LEFT JOIN p USING (r)""",
     "recent_same_category": f"""WITH e AS (SELECT DISTINCT upper(trim(ticker)) t, catalyst_category c, event_id, epoch_us(first_public_at) fp, epoch_us(available_at) av FROM catalyst_events WHERE first_public_at IS NOT NULL)
 SELECT event_id, EXISTS (SELECT 1 FROM e p WHERE p.t = e.t AND p.c = e.c AND p.fp <= e.fp AND p.fp >= e.fp - {WEEK_US} AND (p.av, p.event_id) < (e.av, e.event_id)) AS recent FROM e""",
-    "near_dup_jaccard": f"""WITH x AS (SELECT ticker, doc_id, epoch_us(published_at) us, {_TOK} t FROM documents WHERE ticker IS NOT NULL AND published_at IS NOT NULL), n AS (SELECT * FROM x WHERE len(t) > 0),
+    "near_dup_jaccard": f"""WITH x0 AS (SELECT ticker, doc_id, epoch_us(published_at) us, {_TOK} t, trim(regexp_replace(lower(coalesce(text, '')), '[\\s\\p{{Z}}\\x{{85}}\\x1c-\\x1f]+', ' ', 'g')) pl FROM documents),
+x AS (SELECT ticker, doc_id, us, CASE WHEN len(t) > 0 THEN t WHEN pl <> '' THEN ['#' || pl] ELSE ['##' || doc_id] END t FROM x0), n AS (SELECT * FROM x WHERE ticker IS NOT NULL),
 c AS (SELECT ticker, t, min(doc_id) class_id FROM n GROUP BY ALL),
-pr AS (SELECT a.doc_id a, b.doc_id b, b.us < a.us OR (b.us = a.us AND b.doc_id < a.doc_id) AS before, b.us bus FROM n a JOIN n b ON a.ticker = b.ticker AND a.doc_id <> b.doc_id WHERE len(list_intersect(a.t, b.t)) >= {NEAR} * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9),
+pr AS (SELECT a.doc_id a, b.doc_id b, coalesce(b.us < a.us OR (b.us = a.us AND b.doc_id < a.doc_id), false) AS before, b.us bus FROM n a JOIN n b ON a.ticker = b.ticker AND a.doc_id <> b.doc_id WHERE len(list_intersect(a.t, b.t)) >= {NEAR} * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9),
 g AS (SELECT a, count(*) links, arg_max(b, (bus, b)) FILTER (before) prior FROM pr GROUP BY 1)
-SELECT n.doc_id, c.class_id, coalesce(g.links, 0) AS links, g.prior FROM n JOIN c ON c.ticker = n.ticker AND c.t = n.t LEFT JOIN g ON g.a = n.doc_id""",
+SELECT n.doc_id, c.class_id, coalesce(g.links, 0) AS links, g.prior FROM n JOIN c ON c.ticker = n.ticker AND c.t = n.t LEFT JOIN g ON g.a = n.doc_id UNION ALL SELECT doc_id, doc_id, 0, NULL FROM x WHERE ticker IS NULL""",
     "supporting_links_topn": """WITH s AS (SELECT ticker, concat_ws('#', source_url, document_id) link, min(first_seen_at) us FROM source_documents WHERE first_seen_at IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY us, link) k FROM s) SELECT ticker, CAST(k AS INTEGER) AS rank, link FROM r WHERE k <= 10""",
     "dq_market": "WITH bl AS (SELECT *, timezone('America/New_York', timestamp) lt FROM bars), bb AS (SELECT *, CASE WHEN isodow(lt) > 5 THEN 'outside' WHEN hour(lt) * 60 + minute(lt) >= 240 AND hour(lt) * 60 + minute(lt) < 570 THEN 'premarket' WHEN hour(lt) * 60 + minute(lt) >= 570 AND hour(lt) * 60 + minute(lt) < 960 THEN 'regular' ELSE 'outside' END cs FROM bl), "

@@ -15,7 +15,9 @@ from tidemark.operators import metrics as M
 from tidemark.operators import modelling as L
 from tidemark.operators import monitoring as O
 from tidemark.operators import quality as Q
-from tidemark.operators.clocks import CANONICAL, observation_instants
+from tidemark.operators.asof import asof_last
+from tidemark.operators.clocks import observation_instants
+from tidemark.plans.clocksql import OBSERVATIONS
 from tidemark.plans.tables import spread, table
 
 DAY_US = 86_400_000_000
@@ -225,7 +227,11 @@ def _alerts(spark, d):
 
 
 def alert_outcomes(spark, d):
-    return O.outcomes(_alerts(spark, d), _obs(spark, d).filter("not isnan(close)").select("ticker", "us", "close"))
+    """The reference price of an alert is its ticker's last one at or before the alert."""
+    prices = _obs(spark, d).filter("close is not null and not isnan(close)").select("ticker", "us", "close")
+    alerts = asof_last(_alerts(spark, d), prices.withColumnsRenamed({"us": "_us", "close": "reference"}), ["ticker"], "start_us", "_us", ["reference"], DAY_US)
+    o = O.outcomes(alerts, prices)
+    return o.select("alert_id", "horizon", "observations", "last", "highest", "lowest", "complete", *[_r(c, 4) for c in ("return_pct", "mfe_pct", "mae_pct")])
 
 
 def invalidation_antijoin(spark, d):
@@ -259,7 +265,6 @@ _TOP = "t AS (SELECT *, row_number() OVER (PARTITION BY security ORDER BY p DESC
 _M = """m AS (SELECT event_type AS security_id, epoch_us(CAST(ts AS TIMESTAMP)) us, CASE WHEN user_id % 11 <> 0 THEN user_id END author, CAST(json_extract_string(props, '$.k') AS INTEGER) k FROM events)"""
 _B = f"""b AS (SELECT s.security_id, g.bucket, count(m.us) AS mentions FROM (SELECT DISTINCT security_id FROM m) s CROSS JOIN (SELECT unnest(range({BASELINE + 1})) bucket) g
  LEFT JOIN m ON m.security_id = s.security_id AND m.us >= {AS_OF_US - (BASELINE + 1) * WIDTH_US} AND m.us <= {AS_OF_US} AND least({BASELINE}, (m.us - {AS_OF_US - (BASELINE + 1) * WIDTH_US}) // {WIDTH_US}) = g.bucket GROUP BY 1, 2)"""
-_OBS = f"ob AS (SELECT DISTINCT observation_id, security_id, ticker, close, volume, bid, ask, free_float, missing_flags, epoch_us(TRY_CAST(source_timestamp AS TIMESTAMPTZ)) us FROM market_observations WHERE regexp_matches(source_timestamp, '{CANONICAL}'))"
 _AL = "al AS (SELECT DISTINCT event_id alert_id, upper(trim(ticker)) ticker, epoch_us(available_at) start_us FROM catalyst_events WHERE ticker IS NOT NULL)"
 
 _ISSUES = {
@@ -298,13 +303,16 @@ SELECT security_id, mentions, authors, round(coalesce(kn, 0) / mentions, 6) AS c
     "hhi_diversity": f"WITH {_M}, p AS (SELECT security_id, k % 4 AS source, count(*) n FROM m GROUP BY 1, 2) SELECT security_id, count(*) AS sources, string_agg(source || ':' || n, ',' ORDER BY source) AS counts, round(sum(n * n) / (sum(n) * sum(n)), 6) AS concentration, round(100 * (1 - sum(n * n) / (sum(n) * sum(n))), 6) AS diversity FROM p GROUP BY 1",
     "stale_sources": f"SELECT provider AS family, max(epoch_us(first_seen_at)) AS watermark_us, {NOW_US} - max(epoch_us(first_seen_at)) > 3600000000 AS stale FROM raw_source_items WHERE epoch_us(first_seen_at) <= {NOW_US} GROUP BY 1",
     "halt_enrichment": f"WITH l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY halt_at DESC, first_seen_at DESC, resumption_trade_at DESC NULLS LAST) rn FROM halt_observations WHERE ticker IS NOT NULL AND epoch_us(halt_at) <= {NOW_US}) SELECT ticker, resumption_trade_at IS NULL OR epoch_us(resumption_trade_at) > {NOW_US} AS halted FROM l WHERE rn = 1",
-    "gated_features": f"""WITH {_OBS}, x AS (SELECT *, lag(close) OVER w prev, lag(us) OVER w bf FROM ob WHERE us IS NOT NULL WINDOW w AS (PARTITION BY security_id, us // {DAY_US} ORDER BY us, observation_id))
+    "gated_features": f"""WITH /*OBSERVATIONS*/, x AS (SELECT *, lag(close) OVER w prev, lag(us) OVER w bf FROM ob WHERE us IS NOT NULL WINDOW w AS (PARTITION BY security_id ORDER BY us, observation_id))
 SELECT observation_id, round((close / CASE WHEN prev > 0 THEN prev END - 1) * 100, 4) AS return_pct, round(close * volume, 2) AS dollar_volume, round((ask - bid) / nullif(close, 0) * 100, 4) AS spread_pct, round(volume / nullif(free_float, 0), 8) AS float_rotation FROM x WHERE len(missing_flags) = 0 AND bf IS NOT NULL""",
-    "alert_outcomes": f"""WITH {_OBS}, {_AL}, q AS (SELECT ticker, us, close FROM ob WHERE us IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)), h AS (SELECT CAST(unnest([5, 15, 30, 60]) AS INTEGER) horizon)
-SELECT al.alert_id, h.horizon, count(q.us) AS observations, arg_max(q.close, (q.us, q.close)) AS last, max(q.close) AS highest, min(q.close) AS lowest FROM al CROSS JOIN h LEFT JOIN q ON q.ticker = al.ticker AND q.us > start_us AND q.us <= start_us + horizon::BIGINT * 60000000 GROUP BY 1, 2""",
+    "alert_outcomes": f"""WITH /*OBSERVATIONS*/, {_AL}, q AS (SELECT ticker, us, close FROM ob WHERE us IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)), h AS (SELECT CAST(unnest([5, 15, 30, 60]) AS INTEGER) horizon),
+f AS (SELECT al.alert_id, arg_max(q.close, (q.us, q.close)) ref FROM al JOIN q ON q.ticker = al.ticker AND q.us <= start_us GROUP BY 1),
+o AS (SELECT al.alert_id, h.horizon, count(q.us) AS observations, arg_max(q.close, (q.us, q.close)) AS last, max(q.close) AS highest, min(q.close) AS lowest FROM al CROSS JOIN h LEFT JOIN q ON q.ticker = al.ticker AND q.us > start_us AND q.us <= start_us + horizon::BIGINT * 60000000 WHERE start_us IS NOT NULL GROUP BY 1, 2),
+z AS (SELECT o.*, ref, observations > 0 AND coalesce(ref <> 0, false) AS complete FROM o LEFT JOIN f USING (alert_id))
+SELECT alert_id, horizon, observations, last, highest, lowest, complete, round(CASE WHEN complete THEN (last / ref - 1) * 100 END, 4) AS return_pct, round(CASE WHEN complete THEN (highest / ref - 1) * 100 END, 4) AS mfe_pct, round(CASE WHEN complete THEN (lowest / ref - 1) * 100 END, 4) AS mae_pct FROM z""",
     "invalidation_antijoin": f"WITH {_AL} SELECT alert_id FROM al WHERE alert_id NOT IN ('cev-00-000001', 'cev-00-000007') AND NOT (start_us BETWEEN 1764547200000000 AND 1767225600000000)",
     "price_context_asof": f"""WITH e AS (SELECT DISTINCT event_id id, upper(trim(ticker)) ticker, epoch_us(first_public_at) ev, epoch_us(available_at) kn FROM catalyst_events WHERE ticker IS NOT NULL AND first_public_at IS NOT NULL), o AS (SELECT ticker, epoch_us(first_seen_at) ob, epoch_us(processing_timestamp) av, close FROM market_observations WHERE ticker IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)),
-b AS (SELECT e.id, arg_max(close, (ob, close)) v, max(ob) ob FROM e JOIN o ON o.ticker = e.ticker AND ob <= ev AND av <= kn AND ob >= ev - 3600000000 GROUP BY 1) SELECT e.id, b.ob AS observed_us, b.v AS value FROM e LEFT JOIN b USING (id)""",
+b AS (SELECT e.id, arg_max(close, (ob, close)) v, max(ob) ob FROM e JOIN o ON o.ticker = e.ticker AND ob <= ev AND av <= kn GROUP BY 1) SELECT e.id, b.ob AS observed_us, b.v AS value FROM e LEFT JOIN b USING (id)""",
 }
 
-SQL = {k: re.sub(r", (\d)\) AS ", lambda m: f" + 1e-{int(m[1]) + 3}::DOUBLE, {m[1]}) AS ", q) for k, q in SQL.items()}
+SQL = {k: re.sub(r", (\d)\) AS ", lambda m: f" + 1e-{int(m[1]) + 3}::DOUBLE, {m[1]}) AS ", q).replace("/*OBSERVATIONS*/", OBSERVATIONS) for k, q in SQL.items()}

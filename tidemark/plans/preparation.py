@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import clocks, deliveries, grid, intervals, knownat, lateness, nearest
+from tidemark.plans import clocksql
 from tidemark.plans.tables import spread, table
 from tidemark.session import scratch_path
 
@@ -69,6 +70,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p2_found, p3_found, p4_found, p4_grid, p5_found, p6_found, p7_found)}
 
 SQL: dict[str, str] = {
+    "p1_found": clocksql.P1,
+    "p3_found": clocksql.P3,
+    "p5_found": clocksql.P5,
+    "p7_found": clocksql.P7,
     "p2_found": """
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY halt_id ORDER BY first_seen_at DESC NULLS LAST, security_id DESC NULLS LAST, halt_at DESC NULLS LAST, resumption_trade_at DESC NULLS LAST) rn FROM halt_observations WHERE halt_id IS NOT NULL),
 i AS (SELECT security_id, epoch_us(halt_at) s, coalesce(epoch_us(resumption_trade_at), 9000000000000000000) e FROM o WHERE rn = 1 AND security_id IS NOT NULL AND halt_at IS NOT NULL),

@@ -74,15 +74,15 @@ def new_filings(filings: DataFrame) -> DataFrame:
     return filings.groupBy("issuer_id").applyInPandasWithState(unseen_filings, SEEN_OUT, SEEN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-OUTCOME_OUT = "alert_id string, horizon int, observations long, last double, highest double, lowest double"
+OUTCOME_OUT = "alert_id string, horizon int, observations long, last double, highest double, lowest double, complete boolean, return_pct double, mfe_pct double, mae_pct double"
 OUTCOME_STATE = "alerts string, prices string, clock_us long"
 
 
 def frozen_outcomes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per ticker: outcomes of its alerts at each horizon, written once when the stream's clock has passed it.
 
-    Rows are alerts (alert_id), prices (close) or clock ticks (neither), with us. Later arrivals don't revise what is
-    written. Prices no open alert can need are dropped from the state.
+    Rows are alerts (alert_id, with their reference price or null in close), prices (close) or clock ticks (neither), with
+    us. Later arrivals don't revise what is written. Prices no open alert can need are dropped from the state.
     """
     alerts, prices, clock = {}, [], 0
     if state.exists:
@@ -92,24 +92,28 @@ def frozen_outcomes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
         for alert, close, us in zip(b["alert_id"], b["close"], b["us"]):
             clock = max(clock, int(us))
             if alert is not None and alert == alert:
-                alerts.setdefault(alert, [int(us), list(monitoring.HORIZONS)])
+                alerts.setdefault(alert, [int(us), list(monitoring.HORIZONS), float(close) if close is not None and close == close else None])
             elif close is not None and close == close:
                 prices.append([int(us), float(close)])
     prices.sort()
     out = []
-    for alert, (start, waiting) in list(alerts.items()):
+    for alert, (start, waiting, reference) in list(alerts.items()):
         due = [h for h in waiting if start + h * monitoring.MINUTE_US <= clock]
         for h in due:
             inside = [c for t, c in prices if start < t <= start + h * monitoring.MINUTE_US]
-            out.append((alert, h, len(inside), inside[-1] if inside else None, max(inside, default=None), min(inside, default=None)))
-        alerts[alert] = [start, [h for h in waiting if h not in due]]
+            found = (inside[-1], max(inside), min(inside)) if inside else (None,) * 3
+            complete = bool(inside and reference)
+            out.append((alert, h, len(inside), *found, complete, *[(x / reference - 1) * 100 if complete else None for x in found]))
+        alerts[alert] = [start, [h for h in waiting if h not in due], reference]
         if not alerts[alert][1]:
             del alerts[alert]
-    since = min([s for s, _ in alerts.values()], default=clock - max(monitoring.HORIZONS) * monitoring.MINUTE_US)
+    since = min([s for s, *_ in alerts.values()], default=clock - max(monitoring.HORIZONS) * monitoring.MINUTE_US)
     prices = [p for p in prices if p[0] > since]
     state.update((json.dumps(alerts), json.dumps(prices), clock))
     if out:
-        yield pd.DataFrame(out, columns=["alert_id", "horizon", "observations", "last", "highest", "lowest"]).astype({"last": float, "highest": float, "lowest": float})
+        numbers = ["last", "highest", "lowest", "return_pct", "mfe_pct", "mae_pct"]
+        names = ["alert_id", "horizon", "observations", "last", "highest", "lowest", "complete", "return_pct", "mfe_pct", "mae_pct"]
+        yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(numbers, float))
 
 
 def streaming_outcomes(events: DataFrame) -> DataFrame:
