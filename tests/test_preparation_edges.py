@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clocktext import choose, read_clock
 from tidemark.functions.jsoncanon import canonical_json
-from tidemark.operators import clocks, deliveries, grid, intervals, knownat, lateness, nearest
+from tidemark.operators import clocks, deliveries, grid, intervals, knownat, lateness
 
 T0 = 1_760_000_000_000_000
 
@@ -76,16 +76,32 @@ def test_deliveries_nulls_ties_and_copies(spark):
     assert deliveries.repeated_deliveries(df.limit(0)).collect() == []
 
 
-def test_ledger_accepts_a_message_once(spark, tmp_path):
+def test_ledger_keeps_the_earliest_whatever_batch_it_came_in(spark, tmp_path):
     ledger = deliveries.DeliveryLedger(spark, str(tmp_path / "ledger"))
-    a = spark.createDataFrame([(1, "f", "x", at(T0), "[1]"), (2, "f", "x", at(T0), "[1.0]"), (3, None, "x", at(T0), "[1]")], "delivery_id long, source_family string, source_id string, first_seen_at timestamp, payload string")
-    b = spark.createDataFrame([(4, "f", "x", at(T0 - 5), "[ 1 ]"), (5, "f", "y", at(T0), "[1]"), (6, None, "x", at(T0), "[1]")], a.schema)
+    a = spark.createDataFrame([(1, "f", "x", at(T0), "[1]"), (2, "f", "x", at(T0), "[1.0]"), (3, None, "x", at(T0), None)], "delivery_id long, source_family string, source_id string, first_seen_at timestamp, payload string")
+    b = spark.createDataFrame([(4, "f", "x", at(T0 - 5), "[ 1 ]"), (5, "f", "y", at(T0), "[1]"), (6, None, "x", at(T0), None), (4, "f", "x", at(T0 - 5), "[ 1 ]")], a.schema)
     ids = lambda df: sorted(r["delivery_id"] for r in df.collect())
-    assert ids(ledger.accept(a, 1)) == [1, 3]
-    assert ids(ledger.accept(b, 2)) == [5]
-    assert ids(ledger.accept(b, 2)) == [5]  # replayed
-    assert ids(ledger.accept(a, 3)) == []
-    assert ids(ledger.accept(a.limit(0), 4)) == []
+    assert ids(ledger.accept(a, 1)) == [2]
+    assert ids(ledger.accept(b, 2)) == [1, 6]  # 4 came later but arrived before 1
+    assert ids(ledger.accept(b, 2)) == [1, 6]  # replayed
+    assert ids(ledger.accept(a.limit(0), 3)) == []
+    kept = ids(ledger.kept())
+    ledger.compact(9)
+    assert kept == ids(ledger.kept()) == [3, 4, 5] and [p.name for p in (tmp_path / "ledger").iterdir() if p.is_dir()] == ["batch=9"]
+    assert ids(ledger.accept(a, 4)) == [1, 2]  # 3 is the one kept
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_waves_find_each_repeat_once(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, "f", f"s{rng.randrange(20)}", at(T0 + rng.randrange(9)) if rng.random() < 0.9 else None, f"[{rng.randrange(2)}]") for i in range(150)]
+    df = spark.createDataFrame(rows, "delivery_id long, source_family string, source_id string, first_seen_at timestamp, payload string")
+    best = {}
+    for i, _, s, t, p in rows:
+        best[s, p] = min(best.get((s, p), (True,)), (t is None, t or at(0), i)) if (s, p) in best else (t is None, t or at(0), i)
+    want = sorted({r[0] for r in rows} - {x[2] for x in best.values()})
+    waves = [df.filter(F.col("delivery_id") % 3 == k) for k in range(3)]
+    assert sorted(r[0] for r in deliveries.repeated_deliveries(df, waves).collect()) == want
 
 
 # --- 2: intervals
@@ -180,6 +196,10 @@ def test_dictionary_is_incremental_and_rows_keep_their_own_reading(spark, tmp_pa
     assert got == [("a", 1_762_061_400_000_000), ("b", 1_762_065_000_000_000), ("c", 1_762_047_000_000_000), ("g", 1_762_065_000_000_000)]
     n = d.table().count()
     assert sorted(map(tuple, clocks.normalise(df, d, ["k"]).collect())) == got and d.table().count() == n
+    d.extend(df.filter("k in ('a', 'g')"), 1)
+    assert d._entries().filter("batch = 1").count() == 0  # nothing new
+    d._entries().filter("text = '1762065000'").drop("batch").write.parquet(f"{d.path}/batch=7")  # as by another writer
+    assert d._entries().count() == n + 1 and sorted(map(tuple, clocks.normalise(df, d, ["k"]).collect())) == got
     assert clocks.normalise(df.limit(0), d, ["k"]).collect() == []
 
 
@@ -200,12 +220,15 @@ def test_grid_against_direct_regression(spark):
             rows.append((ent, T0 // 60_000_000 * 60_000_000 + rng.randrange(90) * 60_000_000 + rng.choice([0, rng.randrange(60_000_000)]), rng.uniform(9, 11), rng.choice([None, 5]), 0))
     rows += rows[:7]
     late = (*rows[0][:2], 10.5, 9, 4)  # a later revision of the first reading
-    df = spark.createDataFrame([*rows, late, ("a", None, 1.0, 1, 0), (None, T0, 1.0, 1, 0), ("a", T0, None, 1, 0), ("c", T0, float("nan"), 1, 0)], "entity string, us long, y double, volume long, revised_us long")
+    df = spark.createDataFrame([*rows, late, ("a", None, 1.0, 1, 0), (None, T0, 1.0, 1, 0), ("a", T0, None, 1, 0), ("c", T0, float("nan"), 1, 0), ("d", T0, float("inf"), 1, 0), ("d", T0 + 240_000_000, 2.0, None, 0), ("d", T0 + 300_000_000, 3.0, 4, 0)], "entity string, us long, y double, volume long, revised_us long")
     best = {}
     for r in sorted([*rows, late], key=lambda r: (r[4], r[2])):
         best[r[0], r[1]] = r
     got = grid.regular_grid(df.withColumn("slot", F.lit(1)).withColumn("day", F.lit(2))).collect()
-    assert {r["entity"] for r in got} == {"a", "b"}
+    assert {r["entity"] for r in got} == {"a", "b", "d"}
+    d = sorted((r["slot"], r["missing"], r["last"], r["volume"]) for r in got if r["entity"] == "d")
+    assert [x[1:] for x in d] == [(False, float("inf"), 1), *[(True, None, None)] * 3, (False, 2.0, None), (False, 3.0, 4)]
+    assert all(r["fit"] is None or 1 < r["fit"] < 4 for r in got if r["entity"] == "d")
     for ent in ("a", "b"):
         pts = [(u, y) for (e, u), (_, _, y, *_) in best.items() if e == ent]
         slots = {u // 60_000_000 for u, _ in pts}
@@ -227,26 +250,6 @@ def test_grid_against_direct_regression(spark):
     assert grid.regular_grid(df.limit(0)).collect() == []
 
 
-# --- 5: nearest
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_nearest_over_partition_edges(many_parts, seed):
-    rng = random.Random(seed)
-    side = lambda n, p: [(rng.choice(["hot"] * 6 + ["a", "b", None]), T0 + rng.randrange(4000) if rng.random() > 0.02 else None, f"{p}{rng.randrange(n)}") for _ in range(n)]
-    left, right = side(500, "l"), side(900, "r")
-    l = many_parts.createDataFrame([(*r, 1, "x") for r in left], "entity string, t long, id string, left int, partner string")  # noqa: E741
-    r = many_parts.createDataFrame([(*r, 1, "x") for r in right], "entity string, t long, id string, left int, partner string")
-    want = {}
-    for e, t, i in left:
-        near = [(abs(u - t), u, o) for x, u, o in right if x == e and x is not None and t is not None and u is not None and abs(u - t) <= 3]
-        if near:
-            want[i] = min([min(near), *([want[i]] if i in want else [])])
-    got = {x["id"]: (x["distance"], x["t"], x["partner"]) for x in nearest.nearest_in_time(l, r, 3).collect()}
-    assert got == want
-    assert nearest.nearest_in_time(l.limit(0), r, 3).collect() == [] == nearest.nearest_in_time(l, r.limit(0), 3).collect()
-
-
 # --- 6: lateness
 
 DAY = 86_400_000_000
@@ -274,6 +277,40 @@ def test_periods_are_corrected_batch_by_batch(spark, tmp_path):
     assert [(r["ticker"], r["docs_final"], r["period_day"]) for r in found] == [("T", 4, "2025-11-08")]
 
 
+@pytest.mark.parametrize("parts, seed", [(1, 0), (2, 1), (2, 2), (7, 3), (7, 4)])
+def test_counts_are_the_same_in_whatever_batches_and_order(spark, tmp_path, parts, seed):
+    rng = random.Random(seed)
+    schema = "document_id string, ticker string, published_at timestamp, available_at timestamp, first_seen_at timestamp, period_day string"
+    rows = []
+    for i in range(60):
+        day = 20_400 + rng.randrange(4)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            rows.append(doc(f"d{i}", rng.choice("TU"), day if rng.random() < 0.8 else 20_400 + rng.randrange(4), rng.randrange(24), rng.randrange(10, 120)))
+    whole = sorted(map(tuple, lateness.period_counts(lateness.arrivals(spark.createDataFrame(rows, schema))).collect()))
+    rng.shuffle(rows)
+    store = lateness.PeriodStore(spark, str(tmp_path / "p"))
+    for k in range(parts):
+        store.apply(lateness.arrivals(spark.createDataFrame(rows[k::parts], schema)), k)
+    assert sorted(map(tuple, store.counts().collect())) == whole
+    store.compact()
+    assert sorted(map(tuple, store.counts().collect())) == whole
+
+
+def test_replay_replaces_and_late_rows_leave_final_files_alone(spark, tmp_path):
+    schema = "document_id string, ticker string, published_at timestamp, available_at timestamp, first_seen_at timestamp, period_day string"
+    store = lateness.PeriodStore(spark, str(tmp_path / "p"))
+    put = lambda k, *rows: store.apply(lateness.arrivals(spark.createDataFrame(rows, schema)), k)
+    got = lambda: sorted((r["ticker"], str(r["period_day"]), r["docs_at_close"], r["docs_final"], r["docs_dropped"]) for r in store.counts().collect())
+    put(1, doc("x", "T", 20_400, 9, 10), doc("y", "T", 20_401, 9, 10))
+    put(2, doc("z", "U", 20_400, 9, 10))
+    put(1, doc("x", "T", 20_400, 9, 10))  # y is gone
+    assert got() == [("T", "2025-11-08", 1, 1, 0), ("U", "2025-11-08", 1, 1, 0)]
+    before = {k: v for k, v in store._manifest()[1].items() if k[0] == "final"}
+    put(3, doc("w", "T", 20_400, 9, 24 * 365), doc("x", "T", 20_400, 9, 24 * 365))  # a year late: one new, one known before
+    assert got() == [("T", "2025-11-08", 1, 1, 1), ("U", "2025-11-08", 1, 1, 0)]
+    assert {k: v for k, v in store._manifest()[1].items() if k[0] == "final"} == before
+
+
 # --- 7: known at
 
 

@@ -117,22 +117,6 @@ def test_p3(spark, data, zones):
     assert found(spark, data, "p3_found") == sorted(want)
 
 
-def test_p5(spark, data, zones):
-    seen = defaultdict(list)
-    for r in rows(data, "market_observations"):
-        at = None if r["source_timestamp"] is None else read(r["source_timestamp"], zones.get(r["feed"]), r["first_seen_at"])
-        if at is not None and r["ticker"]:
-            seen[r["ticker"].strip().upper()].append((us(at), r["observation_id"]))
-    want = set()
-    for e in rows(data, "catalyst_events"):
-        t = us(e["first_public_at"])
-        if t is not None:
-            near = [(abs(u - t), u, o) for u, o in seen[e["ticker"].strip().upper()] if abs(u - t) <= 120_000_000]
-            if near:
-                want.add((e["event_id"], min(near)[2]))
-    assert want and found(spark, data, "p5_found") == sorted(want)
-
-
 def test_p7(spark, data, zones):
     versions, halts = defaultdict(list), defaultdict(lambda: defaultdict(list))
     for v in rows(data, "instruments"):

@@ -204,8 +204,9 @@ def _instants(text: pd.Series, zone: pd.Series) -> pd.DataFrame:
 
 
 def clock_instants(text: Column, zone: Column) -> Column:
-    """struct(early, late) of clock texts; see read_clock."""
-    return _instants(text, zone)
+    """struct(early, late) of clock texts; see read_clock. A filter on the result isn't pushed below it, so that each
+    text is read once."""
+    return _instants.asNondeterministic()(text, zone)
 
 
 @F.pandas_udf(T.LongType())
@@ -220,5 +221,6 @@ def _instant(text: pd.Series, zone: pd.Series, seen: pd.Series) -> pd.Series:
 
 
 def clock_instant(text: Column, zone: Column, seen_us: Column) -> Column:
-    """The row's instant in microseconds, read without a dictionary (for tables whose texts hardly repeat)."""
-    return _instant(text, zone, seen_us)
+    """The row's instant in microseconds, read without a dictionary (for tables whose texts hardly repeat), once a row as
+    above."""
+    return _instant.asNondeterministic()(text, zone, seen_us)

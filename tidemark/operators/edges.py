@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +23,10 @@ BLOCK = 256
 
 
 def sorted_partitions(df: DataFrame, by: list[str], within: list[str]) -> DataFrame:
-    """Range-partitions by ``by``, sorts within partitions and cuts the lineage, so that later passes see the same cut."""
+    """Range-partitions by ``by``, sorts within partitions and cuts the lineage, so that later passes see the same cut.
+
+    Range partitioning runs df twice, once to sample it: give a df that is cheap to read (a written table).
+    """
     return cut(df.repartitionByRange(*by).sortWithinPartitions(*within))
 
 
@@ -58,6 +61,8 @@ def prefix_scan(reports: DataFrame, columns: list[str], backward: bool = False)
     return both.select("pid", "slot", F.coalesce("mine", "outer").alias("c")).filter("c is not null").select("pid", "slot", "c.*")
 
 
-def collect_carries(scanned: DataFrame) -> dict[tuple[int, str], dict]:
-    """The carries by (pid, slot): at most one row per partition and slot, whatever the number of records."""
-    return {(r["pid"], r["slot"]): r.asDict() for r in scanned.collect()}
+def share_carries(scanned: DataFrame) -> Broadcast:
+    """The carries by (pid, slot), sent to each executor once: at most one row per partition and slot, whatever the number
+    of records (at 100,000 partitions some tens of MB)."""
+    carries = {(r["pid"], r["slot"]): r.asDict() for r in scanned.collect()}
+    return scanned.sparkSession.sparkContext.broadcast(carries)

@@ -22,24 +22,37 @@ MIN_SUPPORT = 2.0
 MIN_SPREAD = 1e-4
 
 OUT = "entity string, slot long, fit double, last double, volume long, readings long, support double, missing boolean"
+MOMENTS = [*[f"m{k}" for k in range(5)], *[f"y{k}" for k in range(4)]]
 
 
-def slot_moments(readings: DataFrame) -> DataFrame:
+def slot_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Power sums per (entity, slot) of the readings' offsets d within their slot (in slots, 0 <= d < 1).
 
-    readings: entity, us, y, volume, revised_us. Of several readings of one entity and instant the latest revision
-    holds (then the greatest value); exact copies count once. m0..m4 are sums of d**k, y0..y3 of y * d**k: with a
-    kernel that is a polynomial on whole slots, they are all the regression needs. Both aggregates share one shuffle
-    on (entity, slot), so a hot entity is spread over its slots.
+    batches: entity, slot, us, revised_us, y, volume, sorted so. Of several readings of one entity and instant the last
+    holds (the latest revision, then the greatest value); exact copies count once. Infinite readings are there (n, last)
+    but fit nothing. m0..m4 are sums of d**k, y0..y3 of
+    y * d**k: with a kernel that is a polynomial on whole slots, they are all the regression needs. Holds a batch and a
+    slot's readings at a time, so a day of very many readings is no more than its slots.
     """
-    slot = F.floor(F.col("us") / SLOT_US).cast("long")
-    r = readings.withColumn("slot", slot).repartition("entity", "slot")
-    one = r.groupBy("entity", "slot", "us").agg(F.max(F.struct("revised_us", "y", "volume")).alias("m"))
-    d = (F.col("us") - F.col("slot") * SLOT_US) / F.lit(float(SLOT_US))
-    one = one.select("entity", "slot", "us", d.alias("d"), "m.y", "m.volume")
-    sums = [F.sum(F.pow("d", F.lit(k))).alias(f"m{k}") for k in range(5)]
-    sums += [F.sum(F.col("y") * F.pow("d", F.lit(k))).alias(f"y{k}") for k in range(4)]
-    return one.groupBy("entity", "slot").agg(F.count("*").alias("n"), F.max_by("y", "us").alias("last"), F.sum("volume").alias("volume"), *sums)
+    for g in whole_groups(batches, ["entity", "slot"]):
+        last = np.append(change_flags(g, ["entity", "us"])[1:], True)
+        g = g[last]
+        head = np.flatnonzero(change_flags(g, ["entity", "slot"]))
+        slot = g["slot"].to_numpy(np.int64)
+        d = (g["us"].to_numpy(np.int64) - slot * SLOT_US) / SLOT_US
+        y = g["y"].to_numpy(float)
+        fits = np.isfinite(y)
+        used, y0 = fits.astype(float), np.where(fits, y, 0.0)
+        tail = np.append(head[1:], len(g)) - 1
+        volume = g["volume"].to_numpy(float)
+        some = ~np.isnan(volume)
+        whole = g["volume"].fillna(0).astype(np.int64).to_numpy()
+        out = {"entity": g["entity"].to_numpy()[head], "slot": slot[head], "n": tail - head + 1, "last": y[tail]}
+        out["volume"] = pd.array(np.add.reduceat(whole, head), dtype="Int64")
+        out["volume"][~np.logical_or.reduceat(some, head)] = pd.NA
+        out |= {f"m{k}": np.add.reduceat(used * d**k, head) for k in range(5)} | {f"y{k}": np.add.reduceat(y0 * d**k, head) for k in range(4)}
+        out["day"] = slot[head] // (DAY_US // SLOT_US)
+        yield pd.DataFrame(out)
 
 
 def _regress(h: int, min_support: float):
@@ -55,7 +68,7 @@ def _regress(h: int, min_support: float):
         return total
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in whole_groups(batches, ["entity", "day"]):
+        for g in whole_groups(slot_moments(batches), ["entity", "day"]):
             head = np.flatnonzero(change_flags(g, ["entity", "day"]))
             slot = g["slot"].to_numpy(np.int64)
             tail = np.append(head[1:], len(g)) - 1
@@ -66,9 +79,8 @@ def _regress(h: int, min_support: float):
             group = np.repeat(np.arange(len(head)), np.append(head[1:], len(g)) - head)
             at = base[group] + slot - slot[head][group]
             n = g["n"].to_numpy(float)
-            y = g[[f"y{k}" for k in range(4)]].to_numpy(float).T
-            m = g[[f"m{k}" for k in range(5)]].to_numpy(float).T
-            centre = np.bincount(group, y[0]) / np.bincount(group, n)
+            m, y = np.split(g[MOMENTS].to_numpy(float).T, [5])
+            centre = np.bincount(group, y[0]) / np.maximum(np.bincount(group, m[0]), 1)
             y = y - centre[group] * m[:4]
             dm, dy = np.zeros((5, size)), np.zeros((4, size))
             dm[:, at], dy[:, at] = m, y
@@ -109,15 +121,19 @@ def _regress(h: int, min_support: float):
 def regular_grid(readings: DataFrame, bandwidth: int = BANDWIDTH, min_support: float = MIN_SUPPORT) -> DataFrame:
     """One row per entity, UTC day and slot from the day's first to its last slot with a reading.
 
-    fit is the local linear regression at the slot's start over the readings less than bandwidth slots away on the same
-    day (null where the effective number of readings, (sum w)**2 / sum w**2, is below min_support); last and volume are
-    the slot's own last reading and summed volume; missing marks slots without reading. Readings with a null or
-    non-finite y or a null entity or time are none; an entity and day without reading has no grid.
+    readings: entity, us, y, volume, revised_us. fit is the local linear regression at the slot's start over the readings
+    less than bandwidth slots away on the same day (null where the effective number of readings, (sum w)**2 / sum w**2,
+    is below min_support); last and volume are the slot's own last reading and summed volume (null where none is known);
+    missing marks slots whose own support, that of readings within the slot, is none. Readings with a null or NaN y or a
+    null entity or time are none; infinite ones are there but take no part in fits. An entity and day without reading has
+    no grid. Volumes are exact up to 2**53.
+
+    One exchange by (entity, day), the shard within which readings see each other; a hot entity is spread over its days.
     """
     r = readings.filter("entity is not null and us is not null and y is not null and not isnan(y)")
-    cells = slot_moments(r).withColumn("day", F.floor(F.col("slot") / (DAY_US // SLOT_US)))
-    # at most a day's slots per (entity, day), whatever the number of readings
-    runs = cells.repartition("entity", "day").sortWithinPartitions("entity", "day", "slot")
+    r = r.select("entity", F.floor(F.col("us") / SLOT_US).cast("long").alias("slot"), "us", "revised_us", F.col("y").cast("double").alias("y"), F.col("volume").cast("long").alias("volume"))
+    day = F.floor(F.col("slot") / (DAY_US // SLOT_US))
+    runs = r.repartition("entity", day).sortWithinPartitions("entity", "slot", "us", "revised_us", "y", "volume")
     out = runs.mapInPandas(_regress(bandwidth, min_support), OUT)
     return out.withColumn("fit", F.nanvl("fit", F.lit(None).cast("double"))).withColumn("last", F.nanvl("last", F.lit(None).cast("double")))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.streams import change_flags, running_max, whole_groups
+from tidemark.session import stored
 
 SHARD_BITS = 36  # 2**36 us are 19 hours
 OPEN = 1 << 61  # the end of an interval without end; a multiple of every shard's width
@@ -131,6 +132,7 @@ def merge_intervals(intervals: DataFrame, entity: str, start_us: Column, end_us:
         .sortWithinPartitions("entity", "shard")
         .mapInPandas(_unite, "entity string, shard long, part string, s long, e long, inner boolean")
     )
+    parts = stored(parts, "runs")  # five branches below read them
     # the scan over shard edges: at most a first run, a last run and a fill per (entity, shard)
     edge = parts.filter(F.col("part").isin("F", "L", "X"))
     order = Window.partitionBy("entity").orderBy("s", F.desc("e"), "part")

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.edges import collect_carries, partition_reports, prefix_scan, sorted_partitions
+from tidemark.operators.edges import partition_reports, prefix_scan, share_carries, sorted_partitions
 from tidemark.operators.intervals import OPEN, merge_intervals
 
 #: Order of rows of one entity and instant: attribute changes come before the events they apply to.
@@ -124,9 +124,9 @@ def _typed(df: pd.DataFrame) -> pd.DataFrame:
     return df.assign(t=df["t"].astype("Int64"), kind=df["kind"].astype("Int8"), num=df["num"].astype("Int64"), flag=df["flag"].astype("Int8"))
 
 
-def _carry(carries: dict[tuple[int, str], dict]):
+def _carry(shared: Broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
+        pid, carries = TaskContext.get().partitionId(), shared.value
         start = [carries[pid, s] for s in (str(VERSION), str(STATUS)) if (pid, s) in carries]
         tail = _typed(pd.DataFrame([{c: r[c] for c in _COLS} for r in start], columns=_COLS)) if start else None
         for b in batches:
@@ -179,7 +179,7 @@ def attributes_known_at(events: DataFrame, versions: DataFrame, status: DataFram
     s = status.select("entity", "t", F.lit(STATUS).cast("byte").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("num"), F.col("flag"))
     rows = sorted_partitions(e.unionByName(v).unionByName(s), ["entity", "t"], ["entity", "t", "kind", "id"])
     reports = partition_reports(rows, _report, "entity string, t long, kind byte, id string, num long, flag byte, there boolean, slot string")
-    carries = collect_carries(prefix_scan(reports, _COLS))
+    carries = share_carries(prefix_scan(reports, _COLS))
     out = "id string, t long, own_num long, own_flag byte, version_id long, num long, halted boolean"
     return rows.mapInPandas(_carry(carries), out)
 

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.edges import collect_carries, partition_reports, prefix_scan, sorted_partitions
+from tidemark.operators.edges import partition_reports, prefix_scan, share_carries, sorted_partitions
 
 _COLS = ["entity", "t", "left", "id"]
 
@@ -65,9 +65,9 @@ def _pair(work: pd.DataFrame, tolerance: int) -> tuple[pd.DataFrame, np.ndarray,
     return out[found & ~open_], at[open_], int(head[-1]) if n else -1
 
 
-def _scan(carries: dict[tuple[int, str], dict], tolerance: int):
+def _scan(shared: Broadcast, tolerance: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
+        pid, carries = TaskContext.get().partitionId(), shared.value
         row = lambda c: pd.DataFrame([(c["entity"], c["t"], False, c["id"])], columns=_COLS)
         before, after = carries.get((pid, "last")), carries.get((pid, "first"))
         tail = row(before) if before else None
@@ -103,7 +103,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int) -> Dat
     reports = partition_reports(both, _report, "entity string, t long, id string, there boolean, slot string")
     forward = prefix_scan(reports.filter("slot = 'last'"), ["entity", "t", "id"])
     back = prefix_scan(reports.filter("slot = 'first'"), ["entity", "t", "id"], backward=True)
-    carries = collect_carries(forward.unionByName(back))
+    carries = share_carries(forward.unionByName(back))
     pairs = both.mapInPandas(_scan(carries, tolerance_us), "id string, partner string, t long, distance long")
     best = pairs.groupBy("id").agg(F.min(F.struct("distance", "t", "partner")).alias("b"))
     return best.select("id", "b.partner", "b.t", "b.distance")

@@ -4,24 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import clocks, deliveries, grid, intervals, knownat, lateness, nearest
 from tidemark.plans import clocksql
 from tidemark.plans.tables import spread, table
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: A catalyst's observation lies at most this far from it.
 TOLERANCE_US = 120_000_000
-#: Batches in which p6 applies the table to its store.
-ARRIVAL_BATCHES = 2
+#: Batches in which p1 and p6 apply their tables to their stores.
+DELIVERY_WAVES, ARRIVAL_BATCHES = 2, 2
+
+
+def _parts(rows: DataFrame, at: Column, n: int) -> list[DataFrame]:
+    """rows in n parts of equal ranges of a whole number, the parts in order; rows without it are in the last."""
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    if lo is None or n < 2:
+        return [rows]
+    step = (hi - lo) // n + 1
+    part = F.coalesce(F.floor((at - lo) / step), F.lit(n - 1))
+    return [rows.filter(part == k) for k in range(n)]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return deliveries.repeated_deliveries(table(spark, d, "raw_source_items"))
+    """The deliveries come in waves of consecutive batches."""
+    rows = table(spark, d, "raw_source_items")
+    return deliveries.repeated_deliveries(rows, _parts(rows, F.col("batch_id"), DELIVERY_WAVES))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,33 +49,32 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
-    return grid.minute_grid(table(spark, d, "bars"))
+    g = grid.minute_grid(table(spark, d, "bars"))
+    return g.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("close_fit", "support")})
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     cols = ["ticker", "source_timestamp", "first_seen_at", "feed", "observation_id"]
     seen = clocks.observation_instants(spread(table(spark, d, "market_observations").select(*cols)), table(spark, d, "feed_zones"))
-    right = seen.select(nearest.ticker_key(F.col("ticker")).alias("entity"), F.col("utc_us").alias("t"), F.col("observation_id").alias("id"))
+    right = stored(seen.select(nearest.ticker_key(F.col("ticker")).alias("entity"), F.col("utc_us").alias("t"), F.col("observation_id").alias("id")), "instants")
     events = table(spark, d, "catalyst_events")
     left = events.select(nearest.ticker_key(F.col("ticker")).alias("entity"), F.unix_micros("first_public_at").alias("t"), F.col("event_id").alias("id"))
     return nearest.nearest_in_time(left, right, TOLERANCE_US).select(F.col("id").alias("event_id"), F.col("partner").alias("observation_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = lateness.arrivals(table(spark, d, "source_documents"))
+    """The rows are applied in the order in which they were ingested: later batches hold rows known before earlier ones'."""
+    docs = table(spark, d, "source_documents")
     store = lateness.PeriodStore(spark, scratch_path(spark, "periods"))
-    lo, hi = rows.agg(F.min("known_us"), F.max("known_us")).first()
-    if lo is None:
-        return lateness.corrected_periods(store.counts())
-    step = (hi - lo) // ARRIVAL_BATCHES + 1
-    for k in range(ARRIVAL_BATCHES):
-        store.apply(rows.filter((F.col("known_us") >= lo + k * step) & (F.col("known_us") < lo + (k + 1) * step)), k + 1)
+    for k, part in enumerate(_parts(docs, F.unix_micros("ingested_at"), ARRIVAL_BATCHES), 1):
+        store.apply(lateness.arrivals(part), k)
     return lateness.corrected_periods(store.counts())
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     cols = ["security_id", "source_timestamp", "first_seen_at", "feed", "observation_id", "free_float", "halt_status"]
     seen = clocks.observation_instants(spread(table(spark, d, "market_observations").select(*cols)), table(spark, d, "feed_zones"))
+    seen = stored(seen.select("security_id", "utc_us", "observation_id", "free_float", "halt_status"), "instants")
     return knownat.stale_attributes(seen, table(spark, d, "instruments"), table(spark, d, "halt_observations"))
 
 
@@ -87,6 +98,17 @@ UNION ALL SELECT security_id, 'gap', e, ns FROM n WHERE ns IS NOT NULL""",
 WITH r AS (SELECT DISTINCT security_id, epoch_us(timestamp) // 60000000 AS slot FROM bars WHERE timeframe = '1m' AND security_id IS NOT NULL AND timestamp IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)),
 n AS (SELECT security_id, slot, lead(slot) OVER (PARTITION BY security_id, slot // 1440 ORDER BY slot) nx FROM r)
 SELECT security_id, CAST(unnest(range(slot + 1, nx)) * 60000000 AS BIGINT) AS slot_us FROM n WHERE nx > slot + 1""",
+    "p4_grid": f"""
+WITH r AS (SELECT security_id, epoch_us(timestamp) us, max((epoch_us(available_at), close, volume)) m FROM bars WHERE timeframe = '1m' AND security_id IS NOT NULL AND timestamp IS NOT NULL AND close IS NOT NULL AND NOT isnan(close) GROUP BY 1, 2),
+x AS (SELECT security_id, us, us // 60000000 slot, us // 86400000000 dy, m[2] y, m[3] v FROM r),
+o AS (SELECT security_id, slot, count(*) n, arg_max(y, us) AS last, CAST(sum(v) AS BIGINT) v FROM x GROUP BY 1, 2),
+g AS (SELECT security_id, dy, unnest(range(min(slot), max(slot) + 1)) slot FROM x GROUP BY 1, 2),
+k AS (SELECT g.security_id, g.slot, (us - g.slot * 60000000) / 60000000.0::DOUBLE d, y FROM g JOIN x ON x.security_id = g.security_id AND x.dy = g.dy AND x.slot >= g.slot - {grid.BANDWIDTH} AND x.slot < g.slot + {grid.BANDWIDTH} AND NOT isinf(y)),
+w AS (SELECT *, 1 - (d / {grid.BANDWIDTH}) * (d / {grid.BANDWIDTH}) w FROM k),
+f AS (SELECT security_id, slot, sum(w) a, sum(w * d) b, sum(w * d * d) c, sum(w * y) t, sum(w * d * y) u, sum(w * w) q FROM w GROUP BY 1, 2),
+h AS (SELECT *, CASE WHEN q > 1e-12 THEN a * a / q ELSE 0 END sup, a * c - b * b det FROM f)
+SELECT g.security_id, g.slot * 60000000 AS slot_us, CASE WHEN sup >= {grid.MIN_SUPPORT} - 1e-9 THEN round(CASE WHEN det > {grid.MIN_SPREAD} * a * a THEN (c * t - b * u) / det ELSE t / a END + 1e-7::DOUBLE, 4) END AS close_fit, o.last AS close, o.v AS volume, coalesce(o.n, 0) AS readings, round(coalesce(sup, 0) + 1e-7::DOUBLE, 4) AS support, o.n IS NULL AS missing
+FROM g LEFT JOIN h ON h.security_id = g.security_id AND h.slot = g.slot LEFT JOIN o ON o.security_id = g.security_id AND o.slot = g.slot""",
     "p6_found": """
 WITH k AS (SELECT document_id, ticker, CAST(timezone('UTC', published_at) AS DATE) AS day, epoch_us(published_at) pus, epoch_us(coalesce(available_at, first_seen_at)) us FROM source_documents WHERE document_id IS NOT NULL AND published_at IS NOT NULL AND coalesce(available_at, first_seen_at) IS NOT NULL),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY us, pus, ticker) rn FROM k) WHERE rn = 1),

@@ -14,9 +14,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as the cluster has cores: for work that costs far more than a small scan.
-
-    Tables of many files are left as they are.
-    """
+    """A table that is one scan partition (at most spark.sql.files.maxPartitionBytes, or one row group) in as many as the
+    cluster has cores, for work that costs far more than moving so little. Any larger table is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= 1 < cores else df
