@@ -1,4 +1,4 @@
-"""Operators of problems 1 to 7 on small fixtures: random cases against brute force, nulls, ties, copies, empty tables."""
+"""Operators of problems 1 to 4, 6 and 7 on small fixtures: random cases against brute force, nulls, ties, copies, empty tables."""
 
 import random
 from datetime import datetime, timezone

@@ -1,4 +1,4 @@
-"""The queries of problems 1 to 7 against brute force in plain Python on whole small tables."""
+"""The queries of problems 1 to 4, 6 and 7 against brute force in plain Python on whole small tables."""
 
 import json
 from collections import defaultdict

@@ -1,4 +1,4 @@
-"""DuckDB SQL that reads clock texts on its own, from the statement of the readings: the check of problems 3, 5 and 7."""
+"""DuckDB SQL that reads clock texts on its own, from the statement of the readings: the check of problems 3 and 7."""
 
 from __future__ import annotations
 
@@ -61,10 +61,6 @@ UNION ALL SELECT 'market_observations', observation_id, feed, source_timestamp,
 {clock_ctes(f"SELECT record_table || '|' || record_key AS k, text, zone, epoch_us(first_seen_at) seen FROM src LEFT JOIN zz ON zz.feed = src.feed WHERE text IS NOT NULL AND NOT regexp_matches(text, '{CANONICAL}')")}
 SELECT split_part(k, '|', 1) AS record_table, split_part(k, '|', 2) AS record_key, min(utc_us) AS utc_us FROM clocks WHERE utc_us IS NOT NULL GROUP BY 1, 2"""
 
-P5 = f"""WITH {OBSERVATIONS}, o AS (SELECT upper(trim(ticker)) tk, us, observation_id FROM ob WHERE us IS NOT NULL AND nullif(trim(ticker), '') IS NOT NULL),
-e AS (SELECT DISTINCT event_id, upper(trim(ticker)) tk, epoch_us(first_public_at) t FROM catalyst_events WHERE first_public_at IS NOT NULL AND nullif(trim(ticker), '') IS NOT NULL)
-SELECT event_id, arg_min(observation_id, (abs(us - t), us, observation_id)) AS observation_id FROM e JOIN o ON o.tk = e.tk AND us BETWEEN t - 120000000 AND t + 120000000 GROUP BY 1"""
-
 P7 = f"""WITH {OBSERVATIONS}, v AS (SELECT security_id, version_id, free_float, epoch_us(effective_from) a, epoch_us(effective_to) z, epoch_us(free_float_available_at) kn FROM instruments),
 b AS (SELECT ob.observation_id, arg_max(v.version_id, (a, kn, version_id)) version_id FROM ob JOIN v ON v.security_id = ob.security_id AND a <= us AND (z IS NULL OR us < z) AND kn <= us GROUP BY 1),
 vf AS (SELECT b.observation_id, b.version_id, v.free_float FROM b JOIN v ON v.version_id = b.version_id),

@@ -1,4 +1,4 @@
-"""Queries of the data-preparation problems 1 to 7 and the SQL that checks them."""
+"""Queries of the data-preparation problems 1 to 4, 6 and 7 and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -7,15 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import clocks, deliveries, grid, intervals, knownat, lateness, nearest
+from tidemark.operators import clocks, deliveries, grid, intervals, knownat, lateness
 from tidemark.plans import clocksql
 from tidemark.plans.tables import spread, table
 from tidemark.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: A catalyst's observation lies at most this far from it.
-TOLERANCE_US = 120_000_000
 #: Batches in which p1 and p6 apply their tables to their stores.
 DELIVERY_WAVES, ARRIVAL_BATCHES = 2, 2
 
@@ -53,15 +51,6 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("close_fit", "support")})
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["ticker", "source_timestamp", "first_seen_at", "feed", "observation_id"]
-    seen = clocks.observation_instants(spread(table(spark, d, "market_observations").select(*cols)), table(spark, d, "feed_zones"))
-    right = stored(seen.select(nearest.ticker_key(F.col("ticker")).alias("entity"), F.col("utc_us").alias("t"), F.col("observation_id").alias("id")), "instants")
-    events = table(spark, d, "catalyst_events")
-    left = events.select(nearest.ticker_key(F.col("ticker")).alias("entity"), F.unix_micros("first_public_at").alias("t"), F.col("event_id").alias("id"))
-    return nearest.nearest_in_time(left, right, TOLERANCE_US).select(F.col("id").alias("event_id"), F.col("partner").alias("observation_id"))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The rows are applied in the order in which they were ingested: later batches hold rows known before earlier ones'."""
     docs = table(spark, d, "source_documents")
@@ -78,12 +67,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return knownat.stale_attributes(seen, table(spark, d, "instruments"), table(spark, d, "halt_observations"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p2_found, p3_found, p4_found, p4_grid, p5_found, p6_found, p7_found)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p2_found, p3_found, p4_found, p4_grid, p6_found, p7_found)}
 
 SQL: dict[str, str] = {
     "p1_found": clocksql.P1,
     "p3_found": clocksql.P3,
-    "p5_found": clocksql.P5,
     "p7_found": clocksql.P7,
     "p2_found": """
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY halt_id ORDER BY first_seen_at DESC NULLS LAST, security_id DESC NULLS LAST, halt_at DESC NULLS LAST, resumption_trade_at DESC NULLS LAST) rn FROM halt_observations WHERE halt_id IS NOT NULL),
