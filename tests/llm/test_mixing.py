@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import product
 
 from tidemark.llm import mixing
@@ -32,6 +33,31 @@ def test_subset_is_exact_on_long_tails():
         assert all(0 <= take[n] <= counts[n] for n in take)
 
 
+def test_subset_of_few_long_documents_against_brute_force():
+    assert mixing.sum_of(mixing.subset({300_000: 1, 200_000: 1, 400_000: 1}, 500_000)) == 500_000
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = {rng.choice([rng.randrange(1, 30), rng.randrange(100_000, 400_000)]): rng.randrange(1, 4) for _ in range(rng.randrange(1, 5))}
+        budget = rng.randrange(mixing.sum_of(counts) + 2)
+        best = max(s for c in product(*(range(k + 1) for k in counts.values())) if (s := sum(n * x for n, x in zip(counts, c))) <= budget)
+        take = mixing.subset(counts, budget)
+        assert mixing.sum_of(take) == best and all(take[n] <= counts[n] for n in take)
+
+
+def test_many_long_lengths_are_planned_quickly():
+    counts = {131_072 + i: 2 for i in range(8_000)}
+    began = time.process_time()
+    assert mixing.sum_of(mixing.subset(counts, mixing.sum_of(counts) // 3)) == mixing.sum_of(counts) // 3
+    assert time.process_time() - began < 10
+
+
+def test_a_given_total_lets_a_scarce_source_miss_its_share():
+    counts = {"a": {10: 100}, "b": {10: 2}}
+    targets = {"a": (0.5, 1), "b": (0.5, 1)}
+    assert [p.budget for p in mixing.plan(counts, targets)] == [20, 20]
+    assert [p.budget for p in mixing.plan(counts, targets, 600)] == [300, 20]
+
+
 def test_whole_tables(spark, data):
     targets = {r["source"]: r for r in table(spark, data, "mix_targets").collect()}
     rows = QUERIES["p9_mix"](spark, data).collect()

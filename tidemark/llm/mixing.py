@@ -2,24 +2,27 @@
 
 Per source the documents are counted by exact token length. A budget within what the repeats allow is met by whole
 passes over the source and, for the rest, by a subset whose lengths sum to it: a proportional draw over all lengths
-fixes most of it, a bounded knapsack over the remaining counts closes it. Only these counts (one per source and distinct
-length) come to the driver. Which documents of a length are taken is decided by a seeded hash.
+fixes most of it, a bounded knapsack over the remaining counts closes it, with a wider window where a narrow one can't.
+Only these counts (one per source and distinct length) come to the driver. Which documents of a length are taken is
+decided by a seeded hash.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import gcd
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.bpe import TOKENIZER_DIR, token_count
-from tidemark.session import cut
+from tidemark.session import stored
 
 SEED = 20_240_607
-#: The knapsack closes at most this many tokens (bits of one integer per item).
-KNAPSACK_TOKENS = 1 << 17
+#: Tokens that the knapsack closes at first, and at most (five bytes of the driver's memory each).
+WINDOW, WIDEST = 1 << 17, 1 << 25
 #: Documents of one source and length are ranked in hash ranges of about this many.
 RANK_ROWS = 50_000
 
@@ -38,30 +41,52 @@ class Plan:
 def subset(counts: dict[int, int], budget: int) -> dict[int, int]:
     """Counts by length, at most those given, whose lengths sum to budget or as closely below it as they can.
 
-    A draw in proportion, rounded down, leaves a rest; longer lengths first fill it while they fit, until the knapsack
-    can hold it; the knapsack finds the largest sum up to it.
+    A draw in proportion, rounded down, leaves a rest that the knapsack closes. Where it can't reach the rest exactly,
+    documents are given back and a window four times as wide is tried, up to the whole budget: then the sum found is the
+    largest there is. (A budget of more than WIDEST tokens, in units of the lengths' common divisor, that no window
+    reaches keeps the best sum found.)
     """
     total = sum(n * k for n, k in counts.items())
     if budget >= total:
         return dict(counts)
+    unit = gcd(*counts) or 1
+    # wide enough for some documents of the length that holds most tokens
+    typical = sum(n * n * k for n, k in counts.items()) // (total * unit)
+    window, best = min(max(WINDOW, 64 * typical), WIDEST), None
+    while True:
+        take, rest = _draw(counts, budget, total, min(budget, window * unit))
+        found = knapsack([(n // unit, counts[n] - take[n]) for n in counts], rest // unit)
+        left = rest - unit * sum(n * k for n, k in found.items())
+        if best is None or left < best[0]:
+            best = left, {n: k + found.get(n // unit, 0) for n, k in take.items()}
+        if left < unit or window * unit >= budget or window >= WIDEST:
+            return best[1]
+        window = min(4 * window, WIDEST)
+
+
+def _scattered(n: int) -> tuple[int, int]:
+    """An order of lengths in which neighbours differ much."""
+    return n * 2_654_435_761 % (1 << 32), n
+
+
+def _draw(counts: dict[int, int], budget: int, total: int, window: int) -> tuple[dict[int, int], int]:
+    """A draw in proportion that leaves at least window tokens of the budget open, and not many more."""
     take = {n: k * budget // total for n, k in counts.items()}
-    # leave the knapsack something to choose from: give back a few documents of each length class
-    for n in sorted(counts, reverse=True):
-        if budget - sum_of(take) >= KNAPSACK_TOKENS // 2:
-            break
-        back = min(take[n], 2, max(0, (KNAPSACK_TOKENS // 2 - (budget - sum_of(take))) // n))
-        take[n] -= back
-    rest = budget - sum_of(take)
-    for n in sorted(counts, reverse=True):
-        if rest < KNAPSACK_TOKENS:
-            break
-        k = min(counts[n] - take[n], (rest - KNAPSACK_TOKENS) // n + 1, rest // n)
+    rest = budget - sum(n * k for n, k in take.items())
+    order = sorted(counts, key=_scattered)
+    for most in (2, budget):  # a few documents of each length first
+        for n in order:
+            if rest >= window:
+                break
+            back = min(take[n], most, -(-(window - rest) // n))
+            take[n] -= back
+            rest += back * n
+    for n in order:
+        k = min(counts[n] - take[n], (rest - window) // n)
         if k > 0:
             take[n] += k
             rest -= k * n
-    for n, k in knapsack([(n, counts[n] - take[n]) for n in counts], rest).items():
-        take[n] += k
-    return take
+    return take, rest
 
 
 def sum_of(take: dict[int, int]) -> int:
@@ -69,39 +94,45 @@ def sum_of(take: dict[int, int]) -> int:
 
 
 def knapsack(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
-    """Bounded knapsack on lengths: counts whose sum is the largest up to budget. Reachable sums are bits of an integer."""
-    steps: list[tuple[int, int, int]] = []
-    reach, full = 1, (1 << (budget + 1)) - 1
-    for n, most in sorted(items, reverse=True):
-        if n > budget:
-            continue
+    """Bounded knapsack on lengths: counts whose sum is the largest up to budget. Each reachable sum remembers the part
+    that reached it first; all parts before that one reach what is left without it."""
+    reach, by = np.zeros(budget + 1, bool), np.zeros(budget + 1, np.int32)
+    reach[0] = True
+    parts: list[tuple[int, int]] = []
+    # few lengths in scattered order already reach all sums near the budget, and the walk over them ends there
+    for n, most in sorted(items, key=lambda x: _scattered(x[0])):
         most, part = min(most, budget // n), 1
-        while most > 0:  # binary parts of the count
+        while most > 0 and not reach[budget]:  # binary parts of the count
             k = min(part, most)
-            steps.append((n, k, reach))
-            reach = (reach | reach << (n * k)) & full
+            new = reach[: budget + 1 - n * k] & ~reach[n * k :]
+            by[n * k :][new] = len(parts)
+            reach[n * k :][new] = True
+            parts.append((n, k))
             most -= k
             part *= 2
-        if reach >> budget & 1:
-            break
-    at = reach.bit_length() - 1
+    at = int(np.flatnonzero(reach)[-1])
     out: dict[int, int] = {}
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            at -= n * k
-            out[n] = out.get(n, 0) + k
+    while at:
+        n, k = parts[by[at]]
+        out[n] = out.get(n, 0) + k
+        at -= n * k
     return out
 
 
-def plan(counts: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]]) -> list[Plan]:
-    """Budgets and draws of all sources. The total is the largest at which no source needs more than its repeats allow;
-    a source with a target but no tokens leaves its share empty and doesn't bind the rest."""
+def plan(counts: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]], total: int | None = None) -> list[Plan]:
+    """Budgets and draws of all sources.
+
+    total: tokens of the mix. By default it is the largest at which no source needs more than its repeats allow, so that
+    all shares are met; given, a source that is too small gives all its repeats allow and misses its share, and the others
+    keep theirs of the total. A source with a target but no tokens leaves its share empty and doesn't bind the rest.
+    """
     tokens = {s: sum_of(counts.get(s, {})) for s in targets}
     live = {s: (share, most) for s, (share, most) in targets.items() if tokens[s] and share > 0 and most > 0}
     if not live:
         return [Plan(s, 0, 0, {}, tokens[s]) for s in sorted(targets)]
     scale = sum(share for share, _ in live.values())
-    total = min(most * tokens[s] * scale / share for s, (share, most) in live.items())
+    if total is None:
+        total = min(most * tokens[s] * scale / share for s, (share, most) in live.items())
     out = []
     for s in sorted(targets):
         if s not in live:
@@ -115,29 +146,30 @@ def plan(counts: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]
 
 
 def token_lengths(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """(doc_id, source, tokens) of documents with a source and at least one token; checkpointed, as it is read twice."""
+    """(doc_id, source, tokens) of documents with a source and at least one token; a written table, as it is read often.
+    Each text is encoded once: the filter on its length is on the table."""
     sized = documents.filter("source is not null and doc_id is not null").select("doc_id", "source", token_count("text", tokenizer_dir).alias("tokens"))
-    return cut(sized.filter("tokens > 0"))
+    return stored(sized, "lengths").filter("tokens > 0")
 
 
-def _plans(lengths: DataFrame, targets: DataFrame) -> list[Plan]:
+def _plans(lengths: DataFrame, targets: DataFrame, total: int | None) -> list[Plan]:
     # one row per source and distinct length: with N tokens a source has at most sqrt(2 N) lengths
     rows = lengths.groupBy("source", "tokens").count().collect()
     counts: dict[str, dict[int, int]] = {}
     for r in rows:
         counts.setdefault(r["source"], {})[r["tokens"]] = r["count"]
     goal = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.dropna(subset=["source"]).collect()}
-    return plan(counts, goal)
+    return plan(counts, goal, total)
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, tokens, times) of every document used.
+def mix(documents: DataFrame, targets: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, seed: int = SEED, total_tokens: int | None = None) -> DataFrame:
+    """(doc_id, source, tokens, times) of every document used. total_tokens: see plan.
 
     Sources without a target, null sources, and documents without tokens aren't used; times is at most the source's
     max_repeats. The same seed and documents give the same choice, however they are partitioned.
     """
     lengths = token_lengths(documents, tokenizer_dir)
-    return _choose(lengths, _plans(lengths, targets), seed)
+    return _choose(lengths, _plans(lengths, targets, total_tokens), seed)
 
 
 def _choose(lengths: DataFrame, plans: list[Plan], seed: int) -> DataFrame:
@@ -161,10 +193,10 @@ def _choose(lengths: DataFrame, plans: list[Plan], seed: int) -> DataFrame:
     return both.agg(F.sum("times").cast("int").alias("times"))
 
 
-def shares(documents: DataFrame, targets: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, seed: int = SEED) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, seed: int = SEED, total_tokens: int | None = None) -> DataFrame:
     """(source, target_share, budget_tokens, used_tokens, actual_share, documents, uses, most_repeats) per target."""
     lengths = token_lengths(documents, tokenizer_dir)
-    plans = _plans(lengths, targets)
+    plans = _plans(lengths, targets, total_tokens)
     used = (
         _choose(lengths, plans, seed)
         .groupBy("source")
