@@ -1,3 +1,7 @@
+import math
+import random
+from itertools import product
+
 import pytest
 
 from tidemark.llm import sentences
@@ -7,13 +11,8 @@ DATA_LARGE = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
-def tables(spark):
-    return sentences.train(table(spark, DATA_LARGE, "documents"))
-
-
-@pytest.fixture(scope="module")
-def model(tables):
-    return sentences.Model(*tables)
+def model(spark):
+    return sentences.train(sentences.gap_table(table(spark, DATA_LARGE, "documents")))
 
 
 CASES = [
@@ -40,11 +39,39 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("case", CASES, ids=lambda c: c[:18])
-def test_known_boundaries(model, case):
-    text = case.replace("|", "")
-    got = [text[s:e] for s, e in sentences.split(text, model)]
-    assert got == [p.strip() for p in case.split("|")]
+@pytest.fixture(scope="module")
+def split(spark, model):
+    df = spark.createDataFrame([(i, c.replace("|", "")) for i, c in enumerate(CASES)], "doc_id long, text string")
+    got = {}
+    for d, s, e in sorted(sentences.sentence_units(df, model).collect()):
+        got.setdefault(d, []).append(CASES[d].replace("|", "")[s:e])
+    return got
+
+
+@pytest.mark.parametrize("i", range(len(CASES)), ids=lambda i: CASES[i][:18])
+def test_known_boundaries(split, i):
+    assert split[i] == [p.strip() for p in CASES[i].split("|")]
+
+
+def test_an_event_may_hide_where_no_mark_is(spark):
+    """Words that only ever begin paragraphs, behind words that only ever end them."""
+    text = "\n\n".join(["Alpha did run far", "Beta was not there again", "they saw it"] * 400)
+    df = spark.createDataFrame([(1, text), (2, "Alpha did run far Beta was not there again")], "doc_id long, text string")
+    got = sorted((s, e) for d, s, e in sentences.sentence_units(df).collect() if d == 2)
+    assert got == [(0, 17), (18, 42)]
+
+
+def test_posteriors_against_all_paths():
+    rng = random.Random(2)
+    for _ in range(30):
+        n = rng.randrange(1, 8)
+        score, pair = [rng.uniform(-3, 3) for _ in range(n)], [rng.choice([0.0, -2.0]) for _ in range(n)]
+        total, event = 0.0, [0.0] * n
+        for path in product((0, 1), repeat=n):
+            w = math.exp(sum(score[i] + (pair[i] if i == 0 or path[i - 1] else 0) for i in range(n) if path[i]))
+            total += w
+            event = [x + w * y for x, y in zip(event, path)]
+        assert all(abs(x / total - y) < 1e-9 for x, y in zip(event, sentences.posteriors(score, pair)))
 
 
 def test_every_character_once_on_the_whole_table(spark, data):
@@ -63,8 +90,8 @@ def test_every_character_once_on_the_whole_table(spark, data):
         assert not t[max(at, 0) :].strip()
 
 
-def test_nulls_blanks_long_texts_and_empty_tables(spark, tables):
+def test_nulls_blanks_long_texts_and_empty_tables(spark, model):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n\n\t "), (4, "One two. Three four! " * 20_000), (None, "x.")], "doc_id long, text string")
-    got = sentences.sentence_units(df, tables).collect()
+    got = sentences.sentence_units(df, model).collect()
     assert {r["doc_id"] for r in got} == {4} and len(got) == 40_000
     assert sentences.sentence_units(df.limit(0)).collect() == []

@@ -1,16 +1,20 @@
 """Sentence boundaries by a hidden-event n-gram language model.
 
-Between any two words a text may hide an event, the sentence boundary. It can be only where a text leaves it open: after
-an end mark with its closing quotes and brackets. A blank line always is one; so is a blank between two Thai letters,
-which have no end mark. The model holds, over all documents,
+Between any two words a text may hide an event, the sentence boundary. Candidates are the gaps behind end marks (with
+their closing quotes and brackets), blanks between Thai letters, and, in paragraphs that have neither, every blank. A
+blank line always is a boundary. The model holds exact counts over all documents:
 
-* how often words begin a paragraph (an event seen for certain) against how often they follow an open gap, as n-grams
-  (word, next word) that back off to the word and to its class: the probability of an event before these words;
-* how often open gaps after a word are events, which follows from the words behind them (one step of EM);
+* how often words begin a paragraph (an event seen for certain) against how often they follow a candidate gap, as
+  n-grams (word, next word) that back off to the word and to its class: the probability of an event before these words;
+* how often gaps after a word are events, which follows from the words behind them (one step of EM); for words without
+  a mark, how often they end a paragraph;
 
-and forward-backward over the open gaps of a paragraph combines both with a prior on classes and on one-word sentences
-into posteriors. Counts are kept by hashed n-gram in tables of fixed size, whatever the vocabulary, and count every
-document. Nothing is learned from labels.
+and forward-backward over the gaps of a paragraph combines both with priors on classes and on one-word sentences into
+posteriors. Nothing is learned from labels.
+
+The texts are read once, into a table of gaps with hashed keys; everything after that is aggregates and joins of that
+table, so the model's size follows the corpus and no part of it has to fit anywhere. Frequent words meet their counts
+through the table of distinct n-grams.
 """
 
 from __future__ import annotations
@@ -19,18 +23,18 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from math import exp, log
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed counts: rows of a count-min sketch and their width. The tables that go to the driver and to every worker have
-#: ROWS * BUCKETS entries at most.
-ROWS, BUCKETS = 3, 1 << 20
+from tidemark.operators.streams import whole_groups
+from tidemark.session import stored
 
 MARKS = ".!?…。！？｡।؟۔"
 #: Marks that need no blank behind them.
@@ -47,7 +51,7 @@ _SPECIAL = re.compile(f"[{WIDE}]|[?!»”’)\\]」』）؟](?<=\\s.)|[“„«
 #: A mark inside a word, with its closing quotes and brackets.
 _JOINT = re.compile(f"([.!?…।؟]+)([{re.escape(CLOSERS)}]*)(?=[{re.escape(OPENERS)}]*[^\\W_]|[\U0001F000-\U0001FAFF])")
 _LAST = frozenset(MARKS + CLOSERS)
-_THAI = re.compile(r"(?<=[ก-๎])\s+(?=[ก-๎])")
+_THAI = re.compile(r"[ก-๎]")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿가-힯]")
@@ -58,12 +62,14 @@ _VOWEL = re.compile(r"[aeiouyáéíóúäöüàèâêîôûëïаеёиоуыэ
 BACK_OFF = 2.0
 #: No single n-gram weighs more than this, in log odds.
 WEIGHT = 4.0
-#: Prior log odds. A full lower-case word with a full stop and a capital behind it is an event wherever capitals exist.
-PRIOR_WORD_CAPITAL = 6.0
-PRIOR_IN_BRACKETS = -5.0
+#: Prior log odds; two n-grams against them outvote all but that of Thai, whose blank is an event by definition.
+PRIOR_WORD_CAPITAL = 2.0
+PRIOR_IN_BRACKETS = -3.0
 PRIOR_ONE_WORD = -2.0
-#: Least probability of an event before a capitalised word that is written small elsewhere in the middle of sentences.
-RAISED_CAPITAL = 0.97
+PRIOR_NO_MARK = -6.0
+PRIOR_THAI = 12.0
+#: A capitalised word is of its own class if it is written small in the middle of sentences, and hardly ever large there.
+RARELY_LARGE = 0.01
 
 
 def mask(word: str) -> str:
@@ -71,7 +77,7 @@ def mask(word: str) -> str:
 
 
 class Gap:
-    """An open gap: the word before it, its mark, and the two words behind it."""
+    """A candidate: the word before it with its mark, and the two words behind it."""
 
     __slots__ = ("at", "left", "left_class", "right", "right_class", "pair", "word", "words", "inside", "strong")
 
@@ -101,9 +107,9 @@ def _left(word: str) -> tuple[str, str, bool]:
         kind = "short"
     else:
         kind = "long"
-    if len(body) > 24 or _CJK.search(body):
-        body = "~"
-    return f"{body}{marks[:3]}{closed}", kind + ("c" if closed else ""), strong
+    if _CJK.search(body):
+        body = "~"  # scripts without blanks: what stands before the mark is no word
+    return f"{body}{marks}{closed}", kind + ("c" if closed else ""), strong
 
 
 @lru_cache(maxsize=100_000)
@@ -125,8 +131,8 @@ def _right(word: str, after: str) -> tuple[str, str, str, str]:
         kind = "letter"
     else:
         kind = "sign"
-    key = front + mask(body)[:24]
-    return key, kind + ("o" if front else ""), f"{key} {mask(after)[:24]}", body
+    key = front + mask(body)
+    return key, kind + ("o" if front else ""), f"{key} {mask(after)}", body
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -217,8 +223,17 @@ def words(text: str, begin: int, stop: int) -> list[tuple[int, int]]:
     return out
 
 
+def bare_word(word: str) -> str:
+    return word.strip(OPENERS + CLOSERS + ",;:.")
+
+
+def _small(word: str) -> str | None:
+    """How a word is written small; none for single letters, whose case says little."""
+    return word.lower() if len(word) > 1 else None
+
+
 def open_gaps(text: str, span: list[tuple[int, int]]) -> list[Gap]:
-    """The open gaps between the words of a paragraph."""
+    """The candidates between the words of a paragraph."""
     gaps, depth, since = [], 0, 0
     last = len(span) - 1
     bracketed = bool(span) and _BRACKET.search(text, span[0][0], span[-1][1]) is not None
@@ -227,130 +242,200 @@ def open_gaps(text: str, span: list[tuple[int, int]]) -> list[Gap]:
         if bracketed:
             word = text[s:e]
             depth = max(0, depth + word.count("(") + word.count("（") - word.count(")") - word.count("）"))
-        if i < last and text[e - 1] in _LAST and _OPEN_GAP.search(word := text[s:e]):
-            g = Gap()
-            nxt = text[span[i + 1][0] : span[i + 1][1]]
-            after = text[span[i + 2][0] : span[i + 2][1]] if i + 2 <= last else ""
-            if since == 1 and _CJK.search(word):
+        if i == last:
+            break
+        mark = text[e - 1] in _LAST and _OPEN_GAP.search(text[s:e])
+        if mark or (_THAI.match(text[e - 1]) and _THAI.match(text[span[i + 1][0]])):
+            g = _gap(text, span, i)
+            if since == 1 and _CJK.search(text, s, e):
                 since = max(1, (e - s) // 2)  # scripts without blanks
-            g.at, g.words, g.inside = i, since, depth > 0
-            g.left, g.left_class, g.strong = _left(word)
-            g.right, g.right_class, g.pair, g.word = _right(nxt, after)
+            g.words, g.inside = since, depth > 0
+            g.left, g.left_class, g.strong = _left(text[s:e]) if mark else (text[max(s, e - 4) : e], "thai", False)
             gaps.append(g)
             since = 0
+    if not gaps and last > 0:
+        for i in range(last):  # no mark anywhere: an event may hide in every gap
+            g = _gap(text, span, i)
+            g.left, g.left_class, g.strong, g.words, g.inside = bare_word(text[span[i][0] : span[i][1]]), "none", False, 2, False
+            g.pair = g.right = g.word
+            gaps.append(g)
     return gaps
 
 
-def buckets(table: str, key: str) -> list[int]:
-    """A place in each row of the sketch."""
-    b = f"{table}\t{key}".encode("utf-8", "surrogatepass")
-    return [r * BUCKETS + (crc32(b, 0x9E3779B1 * r & 0xFFFFFFFF) & (BUCKETS - 1)) for r in range(ROWS)]
-
-
-def count_in(sketch: np.ndarray, table: str, key: str) -> float:
-    return min(float(sketch[k]) for k in buckets(table, key))
-
-
-def first_counts(text: str, add, plain: Counter) -> None:
-    """Events seen for certain, words behind open gaps, and (in plain) words in the middle of sentences."""
-    for begin, stop in paragraphs(text):
-        span = words(text, begin, stop)
-        gaps = open_gaps(text, span)
-        after = text[span[1][0] : span[1][1]] if len(span) > 1 else ""
-        key, kind, pair, _ = _right(text[span[0][0] : span[0][1]], after)
-        add("S1", key)
-        add("S2", pair)
-        add("SC", kind)
-        for g in gaps:
-            add("A1", g.right)
-            add("A2", g.pair)
-            add("AC", g.right_class)
-            add("AL", g.left)
-            if g.strong:
-                add("strong", "open")
-        end = text[span[-1][0] : span[-1][1]]
-        if _OPEN_GAP.search(end) and _left(end)[2]:
-            add("strong", "end")
-        behind = {g.at + 1 for g in gaps}
-        behind.add(0)
-        plain.update([text[x:y] for i, (x, y) in enumerate(span) if i not in behind])
+def _gap(text: str, span: list[tuple[int, int]], i: int) -> Gap:
+    g = Gap()
+    g.at = i
+    after = text[span[i + 2][0] : span[i + 2][1]] if i + 2 < len(span) else ""
+    g.right, g.right_class, g.pair, g.word = _right(text[span[i + 1][0] : span[i + 1][1]], after)
+    return g
+
+
+#: Kinds of rows: a candidate, the start of a paragraph (with its first words and last word), counts of words.
+GAP, START, WORD = 0, 1, 2
+_TEXT_KEYS = ["left", "right", "pair", "word", "low"]
+_ROW = "kind byte, rid long, doc_id long, para int, idx int, e int, s int, left string, lc string, right string, rc string, pair string, word string, low string, words int, inside boolean, strong boolean, n long"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of _ROW for each document: a START per paragraph, its GAPs in order, and WORDs per batch."""
+    rid = TaskContext.get().partitionId() << 33  # names a row of the input, also where doc_id repeats
+    for b in batches:
+        rows: list[tuple] = []
+        plain: Counter = Counter()
+        for doc, text in zip(b["doc_id"], b["text"]):
+            rid += 1
+            for para, (begin, stop) in enumerate(paragraphs(text or "")):
+                span = words(text, begin, stop)
+                gaps = open_gaps(text, span)
+                after = text[span[1][0] : span[1][1]] if len(span) > 1 else ""
+                right, rc, pair, word = _right(text[span[0][0] : span[0][1]], after)
+                end = text[span[-1][0] : span[-1][1]]
+                marked = _OPEN_GAP.search(end) is not None
+                rows.append((START, rid, doc, para, -1, stop, begin, None if marked else bare_word(end), None, right, rc, pair, word, _small(word), 0, False, marked and _left(end)[2], 1))
+                behind = {0}
+                for k, g in enumerate(gaps):
+                    rows.append((GAP, rid, doc, para, k, span[g.at][1], span[g.at + 1][0], g.left, g.left_class, g.right, g.right_class, g.pair, g.word, _small(g.word), g.words, g.inside, g.strong, 1))
+                    if g.left_class != "none":
+                        behind.add(g.at + 1)
+                plain.update([text[x:y] for i, (x, y) in enumerate(span) if i not in behind])
+        total: Counter = Counter()
+        for w, n in plain.items():
+            bare = bare_word(w)
+            if bare.isalpha():
+                total[bare] += n
+        rows += [(WORD, 0, None, 0, 0, 0, 0, None, None, None, None, None, w, None, 0, False, False, n) for w, n in total.items()]
+        yield pd.DataFrame(rows, columns=_NAMES)
+
+
+def gap_table(documents: DataFrame) -> DataFrame:
+    """What the model needs of the texts, as a written table; words and n-grams are 64-bit hashes in it."""
+    rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(_read, _ROW)
+    return stored(rows.withColumns({c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in _TEXT_KEYS}), "gaps")
+
+
+@dataclass(frozen=True)
+class Model:
+    """Counts of a corpus: words in the middle of sentences, first words, n-grams, and the words before candidates.
 
+    scale: candidates that are events per event seen for certain; before, after: classes with (events, candidates).
+    """
 
-class Model:
-    """Event probabilities from the hashed counts."""
-
-    def __init__(self, counts: np.ndarray, soft: np.ndarray | None = None):
-        self.counts, self.soft = counts, soft
-        ends = self._n("strong", "end")
-        #: open events per event seen for certain
-        self.scale = (self._n("strong", "open") + 1) / (ends + 1) if ends else 2.0
-        self.known: dict[tuple, float] = {}
-        self.known_left: dict[tuple, float] = {}
-
-    def _n(self, table: str, key: str) -> float:
-        return count_in(self.counts, table, key)
-
-    def before(self, g: Gap) -> float:
-        """Probability of an event before the words behind the gap."""
-        known = self.known.get((g.right, g.pair))
-        if known is not None:
-            return known
-        p = (self._n("SC", g.right_class) * self.scale + 1) / (self._n("AC", g.right_class) + 2)
-        p, k = min(p, 0.98), BACK_OFF * self.scale  # an event seen for certain stands for scale open ones
-        for s, a, key in (("S1", "A1", g.right), ("S2", "A2", g.pair)):
-            p = min(1.0, (self._n(s, key) * self.scale + k * p) / (self._n(a, key) + k))
-        if len(g.word) > 1 and g.right_class.startswith("Capital"):
-            small, large, here = self._n("M", g.word.lower()), self._n("M", g.word), self._n("A1", g.right)
-            if small > 0 and large <= 0.01 * (small + here):
-                p = max(p, RAISED_CAPITAL)
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[g.right, g.pair] = p
-        return p
-
-    def after(self, g: Gap) -> float:
-        """Probability of an event after the word before the gap."""
-        known = self.known_left.get((g.left, g.left_class))
-        if known is None:
-            p = (count_in(self.soft, "PC", g.left_class) + 1) / (count_in(self.soft, "NC", g.left_class) + 2)
-            known = (count_in(self.soft, "PL", g.left) + BACK_OFF * p) / (self._n("AL", g.left) + BACK_OFF)
-            if len(self.known_left) > 200_000:
-                self.known_left.clear()
-            self.known_left[g.left, g.left_class] = known
-        return known
-
-    def posteriors(self, gaps: list[Gap]) -> list[float]:
-        """Forward-backward over the gaps of a paragraph; the states are event and none."""
-        if not gaps:
-            return []
-        score = []
-        for g in gaps:
-            x = _logit(self.before(g)) + _logit(self.after(g))
-            if g.left_class in ("word", "wordc") and g.right_class in ("Capital", "Capitalo", "Uppero"):
-                x += PRIOR_WORD_CAPITAL
-            if g.inside:
-                x += PRIOR_IN_BRACKETS
-            score.append(x)
-        pair = [PRIOR_ONE_WORD if g.words <= 1 else 0.0 for g in gaps]
-        n = len(gaps)
-        f0, f1 = [0.0] * n, [0.0] * n
-        f1[0] = score[0] + pair[0]
-        for i in range(1, n):
-            f0[i] = _add(f0[i - 1], f1[i - 1])
-            f1[i] = score[i] + _add(f0[i - 1], f1[i - 1] + pair[i])
-        b0, b1 = 0.0, 0.0
-        out = [0.0] * n
-        for i in range(n - 1, -1, -1):
-            up, down = f1[i] + b1, f0[i] + b0
-            out[i] = 1 / (1 + exp(min(700.0, down - up)))
-            if i:
-                b0, b1 = _add(b0, score[i] + b1), _add(b0, score[i] + pair[i] + b1)
-        return out
-
-
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-9), 1 - 1e-9)
-    return max(-WEIGHT, min(WEIGHT, log(p / (1 - p))))
+    scale: float
+    middle: DataFrame
+    rights: DataFrame
+    pairs: DataFrame
+    lefts: DataFrame
+    before: dict[str, tuple[float, float]]
+    after: dict[str, tuple[float, float]]
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """Distinct words behind candidates and at starts, with counts of both; those without a mark (none) only ask."""
+    ask = rows.filter(F.col("kind") != WORD).withColumn("none", F.coalesce(F.col("lc") == "none", F.lit(False)))
+    start, gap = F.sum(F.when(F.col("kind") == START, 1).otherwise(0)), F.sum(F.when((F.col("kind") == GAP) & ~F.col("none"), 1).otherwise(0))
+    return ask.groupBy("none", "pair", "right", "word", "low", "rc").agg(start.alias("s"), gap.alias("a"))
+
+
+def _classed(keys: DataFrame, middle: DataFrame, rights: DataFrame) -> DataFrame:
+    """keys with the counts of their words and with the class of capitals that are written small elsewhere."""
+    k = keys.join(rights.withColumnsRenamed({"s": "s1", "a": "a1"}), "right", "left")
+    k = k.join(middle.withColumnsRenamed({"n": "large"}), "word", "left").join(middle.withColumnsRenamed({"word": "low", "n": "small"}), "low", "left")
+    k = k.fillna(0, ["s1", "a1", "large", "small"])
+    lowered = F.col("rc").startswith("Capital") & (F.col("small") > 0) & (F.col("word") != F.col("low")) & (F.col("large") <= RARELY_LARGE * (F.col("small") + F.col("a1")))
+    return k.withColumn("rc", F.when(lowered, F.concat("rc", F.lit("+"))).otherwise(F.col("rc")))
+
+
+def _of(classes: dict[str, tuple[float, float]], key: Column, at: int) -> Column:
+    """A number of a class: some tens of literals."""
+    if not classes:
+        return F.lit(0.0)
+    pairs = [F.lit(x) for k, v in sorted(classes.items()) for x in (k, float(v[at]))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(0.0))
+
+
+def _before(keys: DataFrame, m: Model) -> DataFrame:
+    """(none, pair, word, rc, p): the probability of an event before the words of each key."""
+    k = _classed(keys.drop("s", "a"), m.middle, m.rights).join(m.pairs.withColumnsRenamed({"s": "s2", "a": "a2"}), "pair", "left").fillna(0, ["s2", "a2"])
+    strength = BACK_OFF * m.scale  # an event seen for certain stands for scale open ones
+    whole = p = F.least(F.lit(0.98), (_of(m.before, F.col("rc"), 0) * m.scale + 1) / (_of(m.before, F.col("rc"), 1) + 2))
+    for s, a in (("s1", "a1"), ("s2", "a2")):
+        p = F.least(F.lit(1.0), (F.col(s) * m.scale + strength * p) / (F.col(a) + strength))
+    # only an event explains why a word is large that hardly ever is elsewhere, though it may begin no paragraph
+    p = F.when(F.col("rc").endswith("+"), F.greatest(p, whole)).otherwise(p)
+    # without a mark: paragraphs that begin so against the word in the middle of sentences
+    few = _of(m.before, F.lit("none"), 0) / F.greatest(_of(m.before, F.lit("none"), 1), F.lit(1.0))
+    bare = (F.col("s1") + BACK_OFF * few) / (F.col("s1") + F.col("large") + BACK_OFF)  # first words aren't in the middle
+    return k.select("none", "pair", "word", "rc", F.when(F.col("none"), bare).otherwise(p).alias("p"))
+
+
+def _with_before(rows: DataFrame, before: DataFrame) -> DataFrame:
+    gaps = rows.filter(F.col("kind") == GAP).withColumn("none", F.col("lc") == "none").drop("rc")
+    return gaps.join(before, ["none", "pair", "word"], "left").select("rid", "doc_id", "para", "idx", "e", "s", "left", "lc", "rc", "words", "inside", "none", "p")
+
+
+def train(rows: DataFrame) -> Model:
+    """The model of a corpus, from its gap_table."""
+    keys = stored(_keys(rows), "grams")
+    seen = keys.filter("not none")
+    middle = rows.filter(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("n"))
+    counted = lambda by: seen.groupBy(by).agg(F.sum("s").alias("s"), F.sum("a").alias("a"))
+    rights, pairs = counted("right"), counted("pair")
+    t = rows.agg(
+        F.count_if((F.col("kind") == GAP) & F.col("strong")).alias("open"), F.count_if((F.col("kind") == START) & F.col("strong")).alias("end"),
+        F.count_if(F.col("kind") == START).alias("starts"), F.sum(F.when(F.col("kind") == WORD, F.col("n"))).alias("words"), F.count_if(F.col("left").isNotNull() & (F.col("kind") == START)).alias("ends"),
+    ).first()
+    scale = (t["open"] + 1) / (t["end"] + 1) if t["end"] else 2.0
+    # classes are some tens
+    classes = {r["rc"]: (r["s"], r["a"]) for r in _classed(seen, middle, rights).groupBy("rc").agg(F.sum("s").alias("s"), F.sum("a").alias("a")).collect()}
+    classes["none"] = t["starts"], t["starts"] + (t["words"] or 0)
+    m = Model(scale, middle, rights, pairs, None, classes, {})
+    # one step of EM for the words before marks; words without one: how often they end a paragraph
+    soft = _with_before(rows, stored(_before(keys.filter("a > 0"), m), "before")).filter("not none").groupBy("left", "lc")
+    soft = stored(soft.agg(F.round(F.sum("p"), 6).alias("event"), F.count("*").cast("double").alias("gap")), "lefts")
+    ends = rows.filter((F.col("kind") == START) & F.col("left").isNotNull()).groupBy("left").agg(F.count("*").cast("double").alias("event"))
+    ends = ends.join(middle.withColumnRenamed("word", "left"), "left", "left").select("left", F.lit("none").alias("lc"), "event", F.greatest(F.col("event"), F.coalesce("n", F.lit(0))).cast("double").alias("gap"))
+    after = {r["lc"]: (r["event"], r["gap"]) for r in soft.groupBy("lc").agg(F.sum("event").alias("event"), F.sum("gap").alias("gap")).collect()}
+    after["none"] = t["ends"], t["ends"] + (t["words"] or 0)
+    return Model(scale, middle, rights, pairs, soft.unionByName(ends), classes, after)
+
+
+def _log_odds(p: Column) -> Column:
+    q = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+    return F.greatest(F.lit(-WEIGHT), F.least(F.lit(WEIGHT), F.log(q / (1 - q))))
+
+
+def _scores(gaps: DataFrame, m: Model) -> DataFrame:
+    """(rid, doc_id, para, idx, e, s, words, x): log odds of an event in each gap, from both sides and the priors."""
+    g = gaps.join(m.lefts, ["left", "lc"], "left").fillna(0.0, ["event", "gap"])
+    of = (_of(m.after, F.col("lc"), 0) + 1) / (_of(m.after, F.col("lc"), 1) + 2)
+    # a word that never ended a paragraph, and isn't known in the middle either, says what its class says
+    after = (F.col("event") + BACK_OFF * of) / (F.col("gap") + BACK_OFF)
+    prior = F.when(F.col("lc").isin("word", "wordc") & F.col("rc").isin("Capital", "Capitalo", "Uppero", "Capital+", "Capitalo+"), PRIOR_WORD_CAPITAL).otherwise(0.0)
+    prior = prior + F.when(F.col("inside"), PRIOR_IN_BRACKETS).otherwise(0.0)
+    prior = prior + F.when(F.col("lc") == "none", PRIOR_NO_MARK).when(F.col("lc") == "thai", PRIOR_THAI).otherwise(0.0)
+    return g.select("rid", "doc_id", "para", "idx", "e", "s", "words", (_log_odds(F.col("p")) + _log_odds(after) + prior).alias("x"))
+
+
+def posteriors(score: list[float], pair: list[float]) -> list[float]:
+    """Forward-backward over the gaps of a paragraph; the states are event and none. score: log odds of an event; pair:
+    what an event weighs more where the one before it was an event too."""
+    n = len(score)
+    if not n:
+        return []
+    f0, f1 = [0.0] * n, [0.0] * n
+    f1[0] = score[0] + pair[0]
+    for i in range(1, n):
+        f0[i] = _add(f0[i - 1], f1[i - 1])
+        f1[i] = score[i] + _add(f0[i - 1], f1[i - 1] + pair[i])
+    b0, b1 = 0.0, 0.0
+    out = [0.0] * n
+    for i in range(n - 1, -1, -1):
+        up, down = f1[i] + b1, f0[i] + b0
+        out[i] = 1 / (1 + exp(min(700.0, down - up)))
+        if i:
+            b0, b1 = _add(b0, score[i] + b1), _add(b0, score[i] + pair[i] + b1)
+    return out
 
 
 def _add(a: float, b: float) -> float:
@@ -358,106 +443,37 @@ def _add(a: float, b: float) -> float:
     return m + log(exp(a - m) + exp(b - m))
 
 
-def add_plain(plain: Counter, add) -> None:
-    """Counts the words of plain without the marks around them."""
-    for w, n in plain.items():
-        bare = w.strip(OPENERS + CLOSERS + ",;:.")
-        if bare.isalpha():
-            add("M", bare, n)
-
-
-def second_counts(text: str, model: Model, add) -> None:
-    """Expected events after each word before an open gap."""
-    for begin, stop in paragraphs(text):
-        for g in open_gaps(text, words(text, begin, stop)):
-            p = model.before(g)
-            add("PL", g.left, p)
-            add("PC", g.left_class, p)
-            add("NC", g.left_class, 1.0)
-
-
-def split(text: str | None, model: Model) -> list[tuple[int, int]]:
-    """Spans of the sentences of a text, in code points; none for null, empty and blank texts."""
-    out: list[tuple[int, int]] = []
-    for begin, stop in paragraphs(text or ""):
-        span = words(text, begin, stop)
-        gaps = open_gaps(text, span)
-        cuts = {span[g.at][1] for g, p in zip(gaps, model.posteriors(gaps)) if p > 0.5}
-        cuts |= {m.start() for m in _THAI.finditer(text, begin, stop)}
-        s = begin
-        for c in [*sorted(cuts), stop]:
-            part = text[s:c]
-            kept = part.strip()
-            if kept:
-                a = s + len(part) - len(part.lstrip())
-                out.append((a, a + len(kept)))
-            s = c
-    return out
-
-
-def _table(documents: DataFrame, count) -> np.ndarray:
-    """Hashed counts of all documents: added up in each batch, then over the batches; at most ROWS * BUCKETS rows come back."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            total: Counter = Counter()
-            plain: Counter = Counter()
-
-            def add(table: str, key: str, n: float = 1.0) -> None:
-                total[table, key] += n
-
-            for t in b["text"]:
-                if t:
-                    count(t, add, plain)
-            add_plain(plain, add)
-            hashed: Counter = Counter()
-            for (table, key), n in total.items():
-                for k in buckets(table, key):
-                    hashed[k] += n
-            yield pd.DataFrame({"k": np.fromiter(hashed.keys(), np.int32, len(hashed)), "n": np.fromiter(hashed.values(), float, len(hashed))})
-
-    # rounded, so that the order in which tasks end can't tip a decision
-    sums = documents.select("text").mapInPandas(run, "k int, n double").groupBy("k").agg(F.round(F.sum("n"), 6).alias("n"))
-    rows = sums.toPandas()
-    out = np.zeros(ROWS * BUCKETS, np.float32)
-    out[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    return out
-
-
-def train(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Both count tables of the model, over all documents."""
-    sc = documents.sparkSession.sparkContext
-    counts = _table(documents, first_counts)
-    sent = sc.broadcast(counts)  # ROWS * BUCKETS floats
-    held: list[Model] = []
-
-    def second(text: str, add, plain: Counter) -> None:
-        if not held:
-            held.append(Model(sent.value))
-        second_counts(text, held[0], add)
-
-    return counts, _table(documents, second)
-
-
-def sentence_units(documents: DataFrame, tables: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sentences from rows sorted by (rid, para, idx), each paragraph begun by its START (idx -1)."""
+    for b in whole_groups(batches, ["rid"]):
+        doc, begin, end, idx = b["doc_id"].to_numpy(), b["s"].to_numpy(), b["e"].to_numpy(), b["idx"].to_numpy()
+        x, few = b["x"].to_numpy(), b["words"].to_numpy() <= 1
+        docs, starts, ends = [], [], []
+        heads = np.flatnonzero(idx < 0)
+        for h, t in zip(heads, np.append(heads[1:], len(b))):
+            at = begin[h]
+            if t > h + 1:
+                p = posteriors(x[h + 1 : t].tolist(), np.where(few[h + 1 : t], PRIOR_ONE_WORD, 0.0).tolist())
+                for k in [h + 1 + i for i, v in enumerate(p) if v > 0.5]:
+                    docs.append(doc[h])
+                    starts.append(at)
+                    ends.append(end[k])
+                    at = begin[k]
+            docs.append(doc[h])
+            starts.append(at)
+            ends.append(end[h])
+        yield pd.DataFrame({"doc_id": np.array(docs, np.int64), "start_char": np.array(starts, np.int64), "end_char": np.array(ends, np.int64)})
+
+
+def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, start_char, end_char) of every sentence, from its first to after its last non-blank character.
 
     Code points count from 0, the end is exclusive; every non-blank character is in exactly one sentence. Null, empty
-    and blank texts have none; a repeated row gives its sentences again. tables: of train(); by default of documents.
+    and blank texts have none; a repeated row gives its sentences again. model: of train(); by default of documents.
     """
-    sc = documents.sparkSession.sparkContext
-    sent = sc.broadcast(tables or train(documents))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*sent.value)
-        for b in batches:
-            ids, starts, ends = [], [], []
-            for i, t in zip(b["doc_id"], b["text"]):
-                for s, e in split(t, model):
-                    ids.append(i)
-                    starts.append(s)
-                    ends.append(e)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "start_char": np.array(starts, np.int64), "end_char": np.array(ends, np.int64)})
-
-    rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return rows.mapInPandas(run, "doc_id long, start_char long, end_char long")
+    rows = gap_table(documents)
+    m = model or train(rows)
+    before = _before(_keys(rows.filter(F.col("kind") == GAP)), m)
+    scored = _scores(_with_before(rows, before), m)
+    starts = rows.filter(F.col("kind") == START).select("rid", "doc_id", "para", "idx", "e", "s", "words", F.lit(0.0).alias("x"))
+    return starts.unionByName(scored).repartition("rid").sortWithinPartitions("rid", "para", "idx").mapInPandas(_units, "doc_id long, start_char long, end_char long")
