@@ -57,8 +57,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """df as a written table in the shared folder: columnar, and read again by whoever needs it."""
+def stored(df: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
+    """df as a written table in the shared folder: columnar, and read again by whoever needs it. by: partition columns."""
     path = scratch_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
