@@ -311,7 +311,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def gap_table(documents: DataFrame) -> DataFrame:
     """What the model needs of the texts, as a written table; words and n-grams are 64-bit hashes in it."""
     rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(_read, _ROW)
-    return stored(rows.withColumns({c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in _TEXT_KEYS}), "gaps")
+    hashed = rows.withColumns({c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in _TEXT_KEYS})
+    return stored(hashed, "gaps", ["kind"])  # most readers need one kind
 
 
 @dataclass(frozen=True)
@@ -376,6 +377,11 @@ def _with_before(rows: DataFrame, before: DataFrame) -> DataFrame:
 
 def train(rows: DataFrame) -> Model:
     """The model of a corpus, from its gap_table."""
+    return _fit(rows)[0]
+
+
+def _fit(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the corpus' own gaps with the probabilities from the words behind them."""
     keys = stored(_keys(rows), "grams")
     seen = keys.filter("not none")
     middle = rows.filter(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("n"))
@@ -391,13 +397,14 @@ def train(rows: DataFrame) -> Model:
     classes["none"] = t["starts"], t["starts"] + (t["words"] or 0)
     m = Model(scale, middle, rights, pairs, None, classes, {})
     # one step of EM for the words before marks; words without one: how often they end a paragraph
-    soft = _with_before(rows, stored(_before(keys.filter("a > 0"), m), "before")).filter("not none").groupBy("left", "lc")
+    gaps = stored(_with_before(rows, _before(keys.filter("a > 0 or none"), m)), "candidates")
+    soft = gaps.filter("not none").groupBy("left", "lc")
     soft = stored(soft.agg(F.round(F.sum("p"), 6).alias("event"), F.count("*").cast("double").alias("gap")), "lefts")
     ends = rows.filter((F.col("kind") == START) & F.col("left").isNotNull()).groupBy("left").agg(F.count("*").cast("double").alias("event"))
     ends = ends.join(middle.withColumnRenamed("word", "left"), "left", "left").select("left", F.lit("none").alias("lc"), "event", F.greatest(F.col("event"), F.coalesce("n", F.lit(0))).cast("double").alias("gap"))
     after = {r["lc"]: (r["event"], r["gap"]) for r in soft.groupBy("lc").agg(F.sum("event").alias("event"), F.sum("gap").alias("gap")).collect()}
     after["none"] = t["ends"], t["ends"] + (t["words"] or 0)
-    return Model(scale, middle, rights, pairs, soft.unionByName(ends), classes, after)
+    return Model(scale, middle, rights, pairs, soft.unionByName(ends), classes, after), gaps
 
 
 def _log_odds(p: Column) -> Column:
@@ -472,8 +479,10 @@ def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFram
     and blank texts have none; a repeated row gives its sentences again. model: of train(); by default of documents.
     """
     rows = gap_table(documents)
-    m = model or train(rows)
-    before = _before(_keys(rows.filter(F.col("kind") == GAP)), m)
-    scored = _scores(_with_before(rows, before), m)
+    if model is None:
+        m, gaps = _fit(rows)
+    else:
+        m, gaps = model, _with_before(rows, _before(_keys(rows.filter(F.col("kind") == GAP)), model))
+    scored = _scores(gaps, m)
     starts = rows.filter(F.col("kind") == START).select("rid", "doc_id", "para", "idx", "e", "s", "words", F.lit(0.0).alias("x"))
     return starts.unionByName(scored).repartition("rid").sortWithinPartitions("rid", "para", "idx").mapInPandas(_units, "doc_id long, start_char long, end_char long")
