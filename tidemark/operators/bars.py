@@ -25,7 +25,7 @@ NYSE = SessionCalendar(
     holidays=("2025-09-01", "2025-11-27", "2025-12-25", "2026-01-01", "2026-01-19", "2026-02-16", "2026-04-03", "2026-05-25"),
     early_closes={"2025-11-28": 780, "2025-12-24": 780},
 )
-_VALUES = ["open", "high", "low", "close", "volume", "vwap", "bid", "ask", "trade_count", "session"]
+_VALUES = ["open", "high", "low", "close", "volume", "vwap", "bid", "ask", "trade_count", "session", "source", "source_url", "feed", "adjustment"]
 
 
 def clean_bars(bars: DataFrame, timeframe: str, calendar: SessionCalendar = US_EQUITY) -> DataFrame:
@@ -36,12 +36,13 @@ def clean_bars(bars: DataFrame, timeframe: str, calendar: SessionCalendar = US_E
     """
     b = bars.filter(F.col("timeframe") == timeframe).filter("security_id is not null and timestamp is not null and close is not null and not isnan(close) and volume is not null and volume >= 0")
     b = b.withColumns({"us": F.unix_micros("timestamp"), "available_us": F.unix_micros("available_at")})
-    one = latest(b, ["security_id", "us"], ["available_us"], _VALUES)
+    one = latest(b, ["security_id", "us"], ["available_us"], [c for c in _VALUES if c in b.columns])
     return one.withColumn("local_date", calendar.local_date(F.timestamp_micros("us")))
 
 
 def daily_rollup(minute: DataFrame) -> DataFrame:
-    """Regular-session minutes to a row per security and local date, with the volume-weighted price of bar vwaps."""
+    """Regular-session minutes to a row per security and local date, with the volume-weighted price of bar vwaps, the
+    first bar's source and the last bar's quotes, as far as minute has them."""
     r = minute.filter("session = 'regular'")
     price = F.coalesce("vwap", (F.col("high") + F.col("low") + F.col("close")) / 3)
     return r.groupBy("security_id", "local_date").agg(
@@ -54,6 +55,8 @@ def daily_rollup(minute: DataFrame) -> DataFrame:
         F.max("available_us").alias("available_us"),
         F.sum(F.coalesce("trade_count", F.lit(0))).alias("trade_count"),
         F.count("*").alias("minutes"),
+        *[F.min_by(c, "us").alias(c) for c in ("source_url", "feed", "adjustment") if c in minute.columns],
+        *[F.max_by(c, "us").alias(c) for c in ("bid", "ask") if c in minute.columns],
     )
 
 
@@ -76,6 +79,11 @@ def split_adjusted(bars: DataFrame, actions: DataFrame, known_us: int) -> DataFr
     return f.withColumns(prices | {"volume": F.bround(F.col("volume") * F.col("factor"), 0).cast("long"), "adjustment": F.lit("split_adjusted")})
 
 
+def day_window():
+    """All bars of a security and local date."""
+    return Window.partitionBy("security_id", "local_date")
+
+
 def _day(*more: str):
     return Window.partitionBy("security_id", "local_date", *more).orderBy("us")
 
@@ -184,15 +192,21 @@ def _last_known(period: int):
     return run
 
 
-def atr_known_at(minute: DataFrame, daily: DataFrame, actions: DataFrame, period: int = 14, name: str = "atr") -> DataFrame:
-    """minute with ``atr``: mean true range of the last period daily bars, by day, of those available by the bar's own
-    availability; null with fewer. A daily bar counts from its own availability, in whatever order they arrive.
+def atr_events(daily: DataFrame, actions: DataFrame, period: int = 14) -> DataFrame:
+    """(security_id, _known, atr): mean true range of the last period daily bars, by day, of those available by then, at
+    each instant at which daily bars become available; null with fewer. A daily bar counts from its own availability, in
+    whatever order they arrive.
 
     The sweep sees a row per security and day, not the minutes; it holds one security's days and passes each once.
     """
     tr = true_range(daily, actions).filter("available_us is not null").select("security_id", "available_us", "us", "true_range")
     swept = tr.repartition("security_id").sortWithinPartitions("security_id", "available_us", "us").mapInPandas(_last_known(period), "security_id string, _known long, atr double")
-    known = swept.select("security_id", "_known", F.nanvl("atr", F.lit(None).cast("double")).alias(name))
+    return swept.withColumn("atr", F.nanvl("atr", F.lit(None).cast("double")))
+
+
+def atr_known_at(minute: DataFrame, daily: DataFrame, actions: DataFrame, period: int = 14, name: str = "atr") -> DataFrame:
+    """minute with ``atr`` as known by each bar's own availability; see atr_events."""
+    known = atr_events(daily, actions, period).withColumnRenamed("atr", name)
     return asof_last(minute, known, ["security_id"], "available_us", "_known", [name], DAY_US)
 
 
