@@ -1,11 +1,14 @@
-"""Data quality as queries: row rules that give issue rows, and a gate that fails closed."""
+"""Data quality as queries: row rules that give issue rows, and a gate that fails closed.
+
+The codes are fixed values: whoever reads the issues knows them by these names.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ISSUE = "code string, severity string, entity_id string, us long"
@@ -13,11 +16,12 @@ ISSUE = "code string, severity string, entity_id string, us long"
 
 @dataclass(frozen=True)
 class Rule:
-    """A condition that makes a row an issue; a null condition doesn't."""
+    """A condition that makes a row an issue; a null condition doesn't. A number instead gives so many issues."""
 
     code: str
     broken: Column
     severity: str = "error"
+    counts: bool = False
 
 
 def finite(c: str) -> Column:
@@ -26,8 +30,9 @@ def finite(c: str) -> Column:
 
 def row_issues(rows: DataFrame, rules: list[Rule], entity: Column, us: Column) -> DataFrame:
     """(code, severity, entity_id, us) of all broken rules, in one scan of the rows."""
-    found = [F.when(r.broken, F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"))) for r in rules]
-    x = F.explode(F.filter(F.array(*found), lambda i: i.isNotNull()))
+    issue = lambda r: F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"))
+    found = [F.array_repeat(issue(r), F.coalesce(r.broken.cast("int"), F.lit(0))) for r in rules]
+    x = F.explode(F.flatten(F.array(*found)))
     return rows.select(x.alias("i"), entity.cast("string").alias("entity_id"), us.alias("us")).select("i.*", "entity_id", "us")
 
 
@@ -48,6 +53,16 @@ def gate(issues: list[DataFrame]) -> DataFrame:
     return every
 
 
+def batch_issues(spark: SparkSession, broken: dict[str, bool], warnings: tuple[str, ...] = ()) -> DataFrame:
+    """Issues of a batch as a whole, from its description: a row per code that is broken."""
+    return spark.createDataFrame([(c, "warning" if c in warnings else "error", None, None) for c, b in broken.items() if b], ISSUE)
+
+
+def not_utc(text: str) -> Column:
+    """Whether a timestamp's text lacks a UTC designator; only texts can, typed timestamps are instants."""
+    return F.col(text).isNotNull() & ~F.trim(text).rlike(r"(?i)(Z|[+-]00:?00|\bUTC|\bGMT)$")
+
+
 def bar_rules(computed_session: Column) -> list[Rule]:
     """Rules on single bars."""
     prices = [finite(c) & (F.col(c) > 0) for c in ("open", "high", "low", "close")]
@@ -77,10 +92,25 @@ def instrument_rules(as_of_us: int, stale_days: int = 120) -> list[Rule]:
         Rule("FLOAT_DATE_MISSING", stock & F.col("free_float").isNotNull() & (F.col("free_float_as_of").isNull() | F.col("free_float_available_at").isNull())),
         Rule("STALE_FLOAT", stock & F.col("free_float").isNotNull() & (age > stale_days * 86_400_000_000), "warning"),
         Rule("FLOAT_EXCEEDS_SHARES", F.col("free_float") > F.col("shares_outstanding")),
+        Rule("MISSING_SOURCE_URL", F.trim(F.coalesce("source_url", F.lit(""))) == ""),
     ]
 
 
-def document_rules(link_ok: Column) -> list[Rule]:
+def missing_bar_issues(runs: DataFrame, trades_only: bool = False) -> DataFrame:
+    """Issues of the runs of bars.missing_runs: MISSING_BARS, or for a feed that only reports trades
+    UNOBSERVED_TRADE_BAR_INTERVALS."""
+    code = "UNOBSERVED_TRADE_BAR_INTERVALS" if trades_only else "MISSING_BARS"
+    return runs.select(F.lit(code).alias("code"), F.lit("error").alias("severity"), F.col("security_id").alias("entity_id"), F.col("first_us").alias("us"))
+
+
+def missing_daily_issues(securities: DataFrame, daily: DataFrame) -> DataFrame:
+    """An issue for every expected security without any daily bar."""
+    lost = securities.select("security_id").filter("security_id is not null").distinct().join(daily.select("security_id").distinct(), "security_id", "left_anti")
+    return lost.select(F.lit("MISSING_DAILY_BARS").alias("code"), F.lit("error").alias("severity"), F.col("security_id").alias("entity_id"), F.lit(None).cast("long").alias("us"))
+
+
+def document_rules(link_ok: Column, regulator_host: Column, fetched_us: int, text: Column) -> list[Rule]:
+    """regulator_host: whether the link is the regulator's own; text: the document's text, null or blank without one."""
     t = {c: F.unix_micros(c) for c in ("published_at", "first_public_at", "first_seen_at", "ingested_at", "available_at")}
     return [
         Rule("PUBLIC_TIME_AFTER_DISCOVERY", t["first_public_at"] > t["first_seen_at"]),
@@ -91,26 +121,14 @@ def document_rules(link_ok: Column) -> list[Rule]:
         Rule("INVALID_TICKER", ~F.coalesce(F.col("ticker"), F.lit("")).rlike("^[A-Z][A-Z0-9.]{0,9}$")),
         Rule("MISSING_TITLE", F.trim(F.coalesce("title", F.lit(""))) == ""),
         Rule("INVALID_SOURCE_URL", ~link_ok),
+        Rule("DOCUMENT_AFTER_BATCH_FETCH", t["ingested_at"] > fetched_us),
+        Rule("SEC_SOURCE_DOMAIN_MISMATCH", (F.col("source_kind") == "sec_filing") & ~F.coalesce(F.col("source_url").startswith("fixture:"), F.lit(False)) & ~F.coalesce(regulator_host, F.lit(False))),
+        Rule("MISSING_TEXT_EXTRACT", ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S"), "warning"),
         Rule("SEC_FORM_MISSING", (F.col("source_kind") == "sec_filing") & F.col("form_type").isNull(), "warning"),
         Rule("PRIMARY_TIMESTAMP_UNVERIFIED", F.col("source_kind").isin("sec_filing", "company_investor_relations", "exchange_announcement", "regulator_announcement") & ~F.col("source_timestamp_verified"), "warning"),
     ]
 
 
-def model_row_rules(features: list[str], tolerance: float = 1e-8) -> list[Rule]:
-    """Rules on labelled rows: times in order, values in range and finite, costs that add up."""
-    odd = reduce(lambda a, b: a | b, [F.col(f).isNotNull() & ~finite(f) for f in features])
-    return [
-        Rule("OUTCOME_BEFORE_PREDICTION", F.col("outcome_us") < F.col("as_of_us")),
-        Rule("LABEL_NOT_BINARY", F.col("y").isNotNull() & ~F.col("y").isin(0.0, 1.0)),
-        Rule("PROBABILITY_OUT_OF_RANGE", (F.col("p") < 0) | (F.col("p") > 1)),
-        Rule("COSTS_DO_NOT_ADD_UP", F.abs(F.col("net") - F.col("gross") + F.col("cost")) > tolerance),
-        Rule("NEGATIVE_NET", F.col("net") < 0, "warning"),
-        Rule("UNFILLED", F.col("net").isNull(), "warning"),
-        Rule("FEATURE_NOT_FINITE", odd),
-        Rule("FEATURE_MISSING", reduce(lambda a, b: a | b, [F.col(f).isNull() for f in features]), "warning"),
-    ]
-
-
 def split_behaviour(daily: DataFrame, actions: DataFrame, tolerance: float = 0.12) -> DataFrame:
     """(security_id, effective_us, code) of splits across which prices don't behave as their adjustment says.
 
@@ -130,6 +148,11 @@ def split_behaviour(daily: DataFrame, actions: DataFrame, tolerance: float = 0.1
     return g.select("security_id", "effective_us", code.alias("code")).filter("code is not null")
 
 
+def split_issues(daily: DataFrame, actions: DataFrame) -> DataFrame:
+    """split_behaviour as issues."""
+    return split_behaviour(daily, actions).select(F.lit("SPLIT_ADJUSTMENT_ERROR").alias("code"), F.lit("error").alias("severity"), F.col("security_id").alias("entity_id"), F.col("effective_us").alias("us"))
+
+
 def repeated_key(rows: DataFrame, keys: list[str], code: str, us: Column) -> DataFrame:
     """An issue for every second and later row of a key; the counts come from one aggregate, no group is sorted."""
     n = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(us).alias("_us")).filter("_n > 1")

@@ -12,8 +12,10 @@ from tidemark.functions import text as X
 from tidemark.functions.calendar import US_EQUITY
 from tidemark.operators import quality as Q
 from tidemark.operators import similarity
+from tidemark.plans import bars as bar_plans
 from tidemark.plans.tables import table
 
+FETCHED_US = 1_775_000_000_000_000  # 2026-03-31: when the documents' batch was fetched
 WEEK_US = 7 * 86_400_000_000
 AS_OF_US = 1_777_593_600_000_000  # 2026-05-01
 #: Similarity of two documents' token sets from which they are near duplicates.
@@ -106,21 +108,30 @@ def dq_market(spark, d):
     b, i = table(spark, d, "bars"), table(spark, d, "instruments")
     us = F.unix_micros("timestamp")
     halts = table(spark, d, "halt_observations")
+    seen = table(spark, d, "market_observations")
     parts = [
+        Q.batch_issues(spark, {"HISTORICAL_UNIVERSE_INCOMPLETE": True, "QUOTE_COVERAGE_NOT_CONSOLIDATED": True}, ("HISTORICAL_UNIVERSE_INCOMPLETE", "QUOTE_COVERAGE_NOT_CONSOLIDATED")),
         Q.row_issues(b, Q.bar_rules(US_EQUITY.classify(F.col("timestamp"))), F.col("security_id"), us),
         Q.row_issues(i, Q.instrument_rules(AS_OF_US), F.col("version_id"), F.unix_micros("available_at")),
         Q.repeated_key(b, ["security_id", "timeframe", "timestamp"], "DUPLICATE_BAR", us),
         Q.unknown_reference(b, "security_id", i, "security_id", "BAR_SECURITY_UNKNOWN", us),
         Q.row_issues(halts, [Q.Rule("INVALID_HALT_INTERVAL", F.col("resumption_trade_at") <= F.col("halt_at"))], F.col("halt_id"), F.unix_micros("halt_at")),
+        Q.row_issues(seen, [Q.Rule("TIMEZONE_NOT_UTC", Q.not_utc("source_timestamp"))], F.col("observation_id"), F.unix_micros("first_seen_at")),
+        Q.missing_bar_issues(bar_plans.expected_grid_gaps(spark, d)),
+        Q.missing_daily_issues(i, b.filter("timeframe = '1d'")),
+        Q.split_issues(bar_plans._daily(spark, d), bar_plans._actions(spark, d)),
     ]
     return Q.issue_counts(reduce(DataFrame.unionByName, parts))
 
 
 def dq_documents(spark, d):
-    s = table(spark, d, "source_documents")
+    """The text of a document is that of documents under its id, where there is one."""
+    text = table(spark, d, "documents").filter("document_id is not null").groupBy("document_id").agg(F.max("text").alias("_text"))
+    s = table(spark, d, "source_documents").join(text, "document_id", "left")
     us = F.unix_micros("ingested_at")
+    rules = Q.document_rules(X.valid_link(F.col("source_url")), X.host_within(F.col("source_url"), "sec.gov"), FETCHED_US, F.col("_text"))
     parts = [
-        Q.row_issues(s, Q.document_rules(X.valid_link(F.col("source_url"))), F.col("document_id"), us),
+        Q.row_issues(s, rules, F.col("document_id"), us),
         Q.repeated_key(s, ["document_id"], "DUPLICATE_DOCUMENT_ID", us),
         Q.unknown_reference(s.filter("related_primary_document_id is not null"), "related_primary_document_id", s, "document_id", "CORROBORATING_DOCUMENT_MISSING", us, "warning"),
     ]
@@ -163,6 +174,10 @@ _SANE = " AND ".join(f"({c} IS NOT NULL AND NOT isnan({c}) AND NOT isinf({c}) AN
 _STOCK = "security_type = 'common_stock'"
 _DOC = lambda code, cond, sev="error": _rule(code, cond, "document_id", "source_documents", sev)
 
+_SPLIT_ERRORS = f"""WITH {bar_plans._CLEAN}, a AS (SELECT DISTINCT security_id, epoch_us(effective_from) e, 1.0::DOUBLE + version_id % 3 AS ratio FROM instruments),
+j AS (SELECT a.*, dly.us, dly.open, dly.close, dly.adjustment FROM a JOIN dly ON dly.security_id = a.security_id), g AS (SELECT security_id, e, ratio, arg_max(close, us) FILTER (us < e) c, arg_min(open, us) FILTER (us >= e) o, arg_min(adjustment, us) FILTER (us >= e) ad FROM j GROUP BY 1, 2, 3)
+SELECT security_id FROM g WHERE (ad = 'raw' AND abs(o / c - 1) + 0.12 < abs(o / c - 1 / ratio)) OR (ad = 'split_adjusted' AND abs(o / c - 1 / ratio) + 0.12 < abs(o / c - 1))"""
+
 SQL = {
     "norm_text_tokens": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK} t FROM documents)",
     "numeric_extract": f"""WITH x AS (SELECT doc_id, {_num(X.MONEY, "s")} m, {_num(X.PERCENT, "")} p, {_num(X.SHARES, "s")} s FROM documents)
@@ -201,6 +216,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY us, link) k FROM
             _rule("FLOAT_DATE_MISSING", f"{_STOCK} AND free_float IS NOT NULL AND (free_float_as_of IS NULL OR free_float_available_at IS NULL)", "version_id", "instruments"),
             _rule("STALE_FLOAT", f"{_STOCK} AND free_float IS NOT NULL AND {AS_OF_US} - epoch_us(free_float_as_of) > {120 * 86_400_000_000}", "version_id", "instruments", "warning"),
             _rule("FLOAT_EXCEEDS_SHARES", "free_float > shares_outstanding", "version_id", "instruments"),
+            _rule("MISSING_SOURCE_URL", "trim(coalesce(source_url, '')) = ''", "version_id", "instruments"),
+            _rule("TIMEZONE_NOT_UTC", "source_timestamp IS NOT NULL AND NOT regexp_matches(trim(source_timestamp), '([Zz]|[+-]00:?00|\\b[Uu][Tt][Cc]|\\b[Gg][Mm][Tt])$')", "observation_id", "market_observations"),
+            "SELECT 'HISTORICAL_UNIVERSE_INCOMPLETE', 'warning', NULL",
+            "SELECT 'QUOTE_COVERAGE_NOT_CONSOLIDATED', 'warning', NULL",
+            f"SELECT 'MISSING_BARS', 'error', security_id FROM ({bar_plans.SQL['expected_grid_gaps']})",
+            "SELECT 'MISSING_DAILY_BARS', 'error', security_id FROM (SELECT DISTINCT security_id FROM instruments WHERE security_id IS NOT NULL) s WHERE NOT EXISTS (SELECT 1 FROM bars z WHERE z.security_id = s.security_id AND timeframe = '1d')",
+            f"SELECT 'SPLIT_ADJUSTMENT_ERROR', 'error', security_id FROM ({_SPLIT_ERRORS})",
             "SELECT 'DUPLICATE_BAR', 'error', concat_ws('|', security_id, timeframe, CAST(timestamp AS VARCHAR)) FROM db",
             "SELECT 'BAR_SECURITY_UNKNOWN', 'error', security_id FROM bars WHERE NOT EXISTS (SELECT 1 FROM instruments i WHERE i.security_id = bars.security_id)",
             _rule("INVALID_HALT_INTERVAL", "resumption_trade_at <= halt_at", "halt_id", "halt_observations"),
@@ -217,6 +239,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY us, link) k FROM
             _DOC("INVALID_TICKER", "NOT regexp_full_match(coalesce(ticker, ''), '[A-Z][A-Z0-9.]{0,9}')"),
             _DOC("MISSING_TITLE", "trim(coalesce(title, '')) = ''"),
             _DOC("INVALID_SOURCE_URL", "NOT coalesce(regexp_matches(source_url, '^https?://[^/?#]+'), false)"),
+            _DOC("DOCUMENT_AFTER_BATCH_FETCH", f"epoch_us(ingested_at) > {FETCHED_US}"),
+            _DOC("SEC_SOURCE_DOMAIN_MISMATCH", "source_kind = 'sec_filing' AND NOT starts_with(source_url, 'fixture:') AND NOT regexp_matches(source_url, '^[a-z]+://([^/?#]*[.])?sec[.]gov([/?#:]|$)')"),
+            _DOC("MISSING_TEXT_EXTRACT", r"regexp_replace(coalesce((SELECT max(text) FROM documents t WHERE t.document_id = source_documents.document_id), ''), '[\s\p{Z}\x{85}\x1c-\x1f]', '', 'g') = ''", "warning"),
             _DOC("SEC_FORM_MISSING", "source_kind = 'sec_filing' AND form_type IS NULL", "warning"),
             _DOC("PRIMARY_TIMESTAMP_UNVERIFIED", f"source_kind IN {_PRIM} AND NOT source_timestamp_verified", "warning"),
             "SELECT 'DUPLICATE_DOCUMENT_ID', 'error', document_id FROM dd",

@@ -14,7 +14,6 @@ from tidemark.operators import attention as A
 from tidemark.operators import metrics as M
 from tidemark.operators import modelling as L
 from tidemark.operators import monitoring as O
-from tidemark.operators import quality as Q
 from tidemark.operators.asof import asof_last
 from tidemark.operators.clocks import observation_instants
 from tidemark.plans.clocksql import OBSERVATIONS
@@ -60,10 +59,6 @@ def _rows(spark, d):
     )
 
 
-def dq_model_rows(spark, d):
-    return Q.issue_counts(Q.row_issues(_rows(spark, d), Q.model_row_rules(FEATURES), F.col("id"), F.col("as_of_us")))
-
-
 def source_coverage(spark, d):
     m = _mentions(spark, d)
     n = BASELINE + 1
@@ -251,7 +246,7 @@ def price_context_asof(spark, d):
 QUERIES = {
     q.__name__: q
     for q in (
-        dq_model_rows, source_coverage, split_label, walk_forward_folds, impute_standardise, laplace_frequency, brier_logloss, regression_metrics, calibration_curve, topk_metrics, breakdowns, cost_stress, loo_concentration, monotonicity,
+        source_coverage, split_label, walk_forward_folds, impute_standardise, laplace_frequency, brier_logloss, regression_metrics, calibration_curve, topk_metrics, breakdowns, cost_stress, loo_concentration, monotonicity,
         cluster_bootstrap, gd_logistic, gd_ridge, boosted_stumps, platt, mention_buckets, baseline_score, author_independence, hhi_diversity, stale_sources, halt_enrichment, gated_features, alert_outcomes,
         invalidation_antijoin, price_context_asof,
     )
@@ -267,19 +262,7 @@ _B = f"""b AS (SELECT s.security_id, g.bucket, count(m.us) AS mentions FROM (SEL
  LEFT JOIN m ON m.security_id = s.security_id AND m.us >= {AS_OF_US - (BASELINE + 1) * WIDTH_US} AND m.us <= {AS_OF_US} AND least({BASELINE}, (m.us - {AS_OF_US - (BASELINE + 1) * WIDTH_US}) // {WIDTH_US}) = g.bucket GROUP BY 1, 2)"""
 _AL = "al AS (SELECT DISTINCT event_id alert_id, upper(trim(ticker)) ticker, epoch_us(available_at) start_us FROM catalyst_events WHERE ticker IS NOT NULL)"
 
-_ISSUES = {
-    "OUTCOME_BEFORE_PREDICTION": (f"as_of_us + {5 * DAY_US} < as_of_us", "error"),  # an outcome is known five days later
-    "LABEL_NOT_BINARY": ("y NOT IN (0, 1)", "error"),
-    "FEATURE_NOT_FINITE": (" OR ".join(f"isnan({f}) OR isinf({f})" for f in FEATURES), "error"),
-    "COSTS_DO_NOT_ADD_UP": ("abs(net - gross + cost) > 1e-8", "error"),
-    "PROBABILITY_OUT_OF_RANGE": ("p < 0 OR p > 1", "error"),
-    "NEGATIVE_NET": ("net < 0", "warning"),
-    "UNFILLED": ("net IS NULL", "warning"),
-    "FEATURE_MISSING": ("f_qty IS NULL OR f_disc IS NULL OR f_tax IS NULL", "warning"),
-}
-
 SQL = {
-    "dq_model_rows": f"WITH {_R} SELECT code, severity, count(*) AS issues, count(DISTINCT id) AS entities FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS code, '{sev}' AS severity, id FROM r WHERE {c}" for k, (c, sev) in _ISSUES.items()) + ") GROUP BY 1, 2",
     "source_coverage": f"WITH {_M}, s AS (SELECT k % 4 AS source, min(us) a, max(us) z FROM m GROUP BY 1), i AS (SELECT CAST({AS_OF_US - (BASELINE + 1) * WIDTH_US} + r * {WIDTH_US} AS BIGINT) AS start_us FROM (SELECT unnest(range({BASELINE + 1})) r)) SELECT start_us, start_us + {WIDTH_US} AS end_us, (SELECT bool_and(a <= start_us AND z >= start_us + {WIDTH_US}) FROM s) AS complete FROM i",
     "split_label": f"""WITH {_R}, x AS (SELECT as_of_us, CASE WHEN as_of_us <= {TRAIN_END} THEN 'train' WHEN as_of_us BETWEEN {CALIBRATION[0]} AND {CALIBRATION[1]} THEN 'calibration' WHEN as_of_us BETWEEN {FINAL[0]} AND {FINAL[1]} THEN 'final_test' WHEN as_of_us < {FINAL[0]} THEN 'embargo' ELSE 'out_of_range' END split FROM r)
 SELECT split, count(*) AS n, min(as_of_us) AS first_us, max(as_of_us) AS last_us FROM x GROUP BY 1""",
