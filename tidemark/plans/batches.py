@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import quality as Q
 from tidemark.operators import rulebooks as R
+from tidemark.operators import signals as G
 from tidemark.plans.tables import table
 
 FETCHED_US = 1_706_572_800_000_000  # 2024-01-30
@@ -75,7 +76,32 @@ def dq_model_rows(spark, d):
     return Q.issue_counts(issues)
 
 
-QUERIES = {q.__name__: q for q in (dq_attention, dq_model_rows)}
+_SIGNALS = G.Settings(1_706_054_400_000_000, 6 * 3_600_000_000, least_coverage=0.25, notes=("synthetic",))
+_NUMBERS = ["velocity", "acceleration", "baseline_mean", "baseline_score", "author_coverage", "duplicate_ratio", "text_coverage", "independence", "engagement_velocity", "engagement_coverage", "sentiment", "sentiment_coverage", "account_quality", "account_coverage", "original_ratio", "repost_coverage", "concentration", "diversity"]
+
+
+def attention_signals(spark, d):
+    s, as_of = _SIGNALS, _SIGNALS.as_of_us
+    e = table(spark, d, "events").selectExpr("event_id e", "unix_micros(ts) t", "event_type ty", "user_id u", "cast(get_json_object(props, '$.k') as int) % 4 src")
+    words = "concat_ws(' ', 'strong growth in', element_at(array('alpha', 'beta', 'gamma', 'delta', 'omega'), cast(e % 5 as int) + 1), 'unit', if(e % 4 = 0, 'halt', 'plan'), if(e % 9 = 0, concat('x', e), null))"
+    m = e.selectExpr(
+        "ty security_id", "e mention_id", "t published_us", "t + 61000000 available_us", "t + 60000000 first_seen_us", "src source", "if(u % 11 <> 0, u, null) author", f"if(e % 3 = 0, {words}, null) text",
+        "if(e % 5 < 2, (e % 10) / 10, null) quality", "if(e % 4 = 0, null, e % 11 = 0) is_repost", "concat('https://s.example/', e % 40) source_url", "array(concat('https://p.example/', e % 50)) urls",
+        "array(named_struct('observed_us', t, 'available_us', t + 1, 'likes', 1L, 'replies', cast(null as bigint), 'reposts', 0L), named_struct('observed_us', t + 600000000, 'available_us', t + 600000001, 'likes', e % 13, 'replies', 0L, 'reposts', 0L)) snapshots",
+    )
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    securities = spark.createDataFrame([(k,) for k in [*kinds, "quiet"]], "security_id string")
+    descriptors = spark.createDataFrame([(as_of - 15 * s.width_us // 2, None), (0, as_of)], "started_us long, ended_us long")
+    links = [(k, f"https://p.example/{i}", i % 2 == 0, as_of - 3_600_000_000, as_of + (20 if i == 8 else -20)) for k in kinds[:3] for i in range(10)]
+    catalysts = spark.createDataFrame(links, "security_id string, url string, is_primary boolean, public_us long, available_us long")
+    contexts = spark.createDataFrame([("click", as_of - 5), ("view", as_of + 5)], "security_id string, available_us long")
+    g = G.attention_signals(m, securities, descriptors, catalysts, contexts, s)
+    short = lambda c: F.regexp_replace(F.array_join(c, ","), "https://[a-z].example/", "").alias(c)
+    counts = F.array_join(F.transform(F.map_entries("counts"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), ",").alias("counts")
+    return g.select("security_id", "current_count", "previous_count", "baseline_intervals", "unique_authors", "sources", counts, *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in _NUMBERS], short("primary_links"), short("supporting_links"), F.array_join("warnings", ",").alias("warnings"))
+
+
+QUERIES = {q.__name__: q for q in (dq_attention, dq_model_rows, attention_signals)}
 
 
 def _sql(ctes: str, parts: list[tuple[str, str, str, str]], more: list[str] = ()) -> str:
@@ -156,7 +182,34 @@ _MODEL = [
     ("MISSING_CATEGORY_OR_POLICY", "o % 787 = 0"),
 ]
 
+_AS_OF, _W = _SIGNALS.as_of_us, _SIGNALS.width_us
+_POS, _NEG = (", ".join(f"'{w}'" for w in ws) for ws in (G.POSITIVE, G.NEGATIVE))
+_SIGNAL_SQL = f"""WITH x AS (SELECT event_id e, epoch_us(CAST(ts AS TIMESTAMP)) t, event_type k, user_id u, CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 src FROM events),
+m AS (SELECT *, t + 61000000 AS av, CASE WHEN e % 3 = 0 THEN concat_ws(' ', 'strong growth in', ['alpha', 'beta', 'gamma', 'delta', 'omega'][e % 5 + 1], 'unit', CASE WHEN e % 4 = 0 THEN 'halt' ELSE 'plan' END, CASE WHEN e % 9 = 0 THEN 'x' || e END) END AS tx FROM x WHERE t + 61000000 <= {_AS_OF}),
+sec AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'quiet']) AS k),
+bk AS (SELECT sec.k, b, count(m.e) n FROM sec CROSS JOIN (SELECT unnest(range(9)) b) LEFT JOIN m ON m.k = sec.k AND av >= {_AS_OF - 9 * _W} AND least(8, (av - {_AS_OF - 9 * _W}) // {_W}) = b GROUP BY 1, 2),
+h AS (SELECT k, CAST(sum(n) FILTER (b = 7) AS BIGINT) pv, avg(n) FILTER (b BETWEEN 2 AND 7) mu, var_pop(n) FILTER (b BETWEEN 2 AND 7) va FROM bk GROUP BY 1),
+lb AS (SELECT *, list_distinct(regexp_extract_all(lower(tx), '[a-z0-9]+')) tk FROM m WHERE av >= {_AS_OF - 4 * _W} AND tx IS NOT NULL),
+du AS (SELECT a.e, EXISTS (SELECT 1 FROM lb p WHERE p.k = a.k AND (p.av, p.e) < (a.av, a.e) AND len(list_intersect(p.tk, a.tk)) >= {_SIGNALS.similar} * (len(p.tk) + len(a.tk) - len(list_intersect(p.tk, a.tk)))) cp FROM lb a),
+c AS (SELECT m.*, du.cp, CASE WHEN t + 600000001 <= {_AS_OF} THEN greatest(0, (e % 13 - 1) * 6) END AS rate,
+ CASE WHEN tx IS NOT NULL THEN (len(list_filter(regexp_extract_all(lower(tx), '[a-z0-9]+'), lambda w: w IN ({_POS}))) - len(list_filter(regexp_extract_all(lower(tx), '[a-z0-9]+'), lambda w: w IN ({_NEG})))) / (len(list_filter(regexp_extract_all(lower(tx), '[a-z0-9]+'), lambda w: w IN ({_POS}) OR w IN ({_NEG})))) END AS tone,
+ CASE WHEN e % 5 < 2 THEN (e % 10) / 10 END AS ql, CASE WHEN e % 4 <> 0 THEN e % 11 = 0 END AS rp, CASE WHEN u % 11 <> 0 THEN u END AS au FROM m LEFT JOIN du USING (e) WHERE av >= {_AS_OF - _W}),
+p AS (SELECT k, count(*) n, count(cp) cm, count(*) FILTER (cp) dp, sum(rate) rt, count(rate) rn, avg(tone) tn, count(tone) tc, avg(ql) ql, count(ql) qc, count(rp) rc, count(*) FILTER (NOT rp) og FROM c GROUP BY 1),
+a AS (SELECT k, count(*) ua, sum(n) wa, max(n) mx FROM (SELECT k, au, count(*) n FROM c WHERE au IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT k, count(*) sc, string_agg(src || ':' || n, ',' ORDER BY src) cts, sum(n * n) / (sum(n) * sum(n)) hh FROM (SELECT k, src, count(*) n FROM c GROUP BY 1, 2) GROUP BY 1),
+l AS (SELECT k, string_agg(i, ',' ORDER BY 'https://p.example/' || i) pl FROM (SELECT DISTINCT k, e % 50 AS i FROM c WHERE k IN ('click', 'error', 'purchase') AND e % 50 IN (0, 2, 4, 6)) GROUP BY 1),
+f1 AS (SELECT k, e % 40 AS i, min((coalesce(rp, false), t)) o FROM c GROUP BY 1, 2), f AS (SELECT k, string_agg(i, ',' ORDER BY o, 'https://s.example/' || i) sl FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, 'https://s.example/' || i) rk FROM f1) WHERE rk <= 10 GROUP BY 1),
+z AS (SELECT h.*, coalesce(n, 0) n, p.* EXCLUDE (k, n), ua, wa, mx, sc, cts, hh, coalesce(pl, '') pl, coalesce(sl, '') sl, CASE WHEN cm / n >= 0.25 THEN dp / n END dr FROM h LEFT JOIN p USING (k) LEFT JOIN a USING (k) LEFT JOIN s USING (k) LEFT JOIN l USING (k) LEFT JOIN f USING (k)),
+w AS (SELECT *, coalesce(wa / n, 0) ac, coalesce(cm / n, 0) xc, coalesce(rn / n, 0) ec, coalesce(tc / n, 0) sc_, coalesce(qc / n, 0) qc_, coalesce(rc / n, 0) rc_ FROM z)
+SELECT k AS security_id, n AS current_count, pv AS previous_count, 6 AS baseline_intervals, ua AS unique_authors, sc AS sources, cts AS counts, round(n / 6.0 + 1e-7, 4) AS velocity, round((n - pv) / 36.0 + 1e-7, 4) AS acceleration, round(mu + 1e-7, 4) AS baseline_mean, round(greatest(0, least(100, 50 + 10 * (n - mu) / greatest(1, sqrt(va + mu + 1)))) + 1e-7, 4) AS baseline_score,
+ round(ac + 1e-7, 4) AS author_coverage, round(dr + 1e-7, 4) AS duplicate_ratio, round(xc + 1e-7, 4) AS text_coverage, CASE WHEN n > 0 AND ac >= 0.25 AND dr IS NOT NULL THEN round(100 * (ua / wa) * (1 - dr) * (1 - 0.5 * mx / wa) * least(1, ua / 3) + 1e-7, 4) END AS independence,
+ round(rt + 1e-7, 4) AS engagement_velocity, round(ec + 1e-7, 4) AS engagement_coverage, round(tn + 1e-7, 4) AS sentiment, round(sc_ + 1e-7, 4) AS sentiment_coverage, round(ql + 1e-7, 4) AS account_quality, round(qc_ + 1e-7, 4) AS account_coverage, round(og / nullif(rc, 0) + 1e-7, 4) AS original_ratio, round(rc_ + 1e-7, 4) AS repost_coverage,
+ round(hh + 1e-7, 4) AS concentration, round(100 * (1 - hh) + 1e-7, 4) AS diversity, pl AS primary_links, sl AS supporting_links,
+ array_to_string(list_sort(list_filter([CASE WHEN n > 0 AND ac < 0.25 THEN 'UNIQUE_AUTHOR_COVERAGE_LOW' END, CASE WHEN n > 0 AND xc < 0.25 THEN 'TEXT_ANALYSIS_COVERAGE_LOW' END, CASE WHEN n > 0 AND ec < 0.25 THEN 'ENGAGEMENT_VELOCITY_COVERAGE_LOW' END, CASE WHEN n > 0 AND qc_ < 0.25 THEN 'ACCOUNT_QUALITY_COVERAGE_LOW' END,
+ CASE WHEN n > 0 AND rc_ < 0.25 THEN 'REPOST_STATUS_COVERAGE_LOW' END, CASE WHEN n > 0 AND sc < 2 THEN 'SINGLE_SOURCE_ATTENTION' END, CASE WHEN n > 0 AND pl = '' THEN 'NO_VERIFIED_PRIMARY_CATALYST_LINK' END, CASE WHEN n > 0 AND k <> 'click' THEN 'PRICE_MOVE_CONTEXT_UNAVAILABLE' END, 'PROVIDER_NOTE:synthetic'], lambda v: v IS NOT NULL)), ',') AS warnings FROM w"""
+
 SQL = {
+    "attention_signals": _SIGNAL_SQL,
     "dq_attention": _sql(_M, _ATTENTION, [*_OF_BATCH, _again("DUPLICATE_MENTION_ID", "id", "m"), _again("DUPLICATE_SOURCE_RECORD", "src, rec", "m")]),
     "dq_model_rows": _sql(_L, [(c, "id", "r", n) for c, n in _MODEL], [_again("DUPLICATE_OBSERVATION_ID", "id", "r"), *[f"SELECT '{c}', NULL, 1" for c in ("DUPLICATE_FEATURE_NAME", "INVALID_BARRIER_PAIR", "LIMITED_UNIVERSE_NOT_SURVIVORSHIP_SAFE")]]),
 }
