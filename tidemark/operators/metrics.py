@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 from functools import reduce
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Distribution function of Poisson(1) at 0, 1, ...; beyond the last it is 1 to 1e-9.
+POISSON = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(11)]
 #: Ranks among which top-k metrics are taken.
 TOP_K = (1, 3, 5, 10)
 
@@ -118,14 +121,12 @@ def bootstrap_draws(spark, clusters: DataFrame, cluster: str, repetitions: int,
 
 def poisson_draws(sums: DataFrame, cluster: str, repetitions: int, seed: int) -> DataFrame:
     """sums with rep and times, times a seeded Poisson(1) count per cluster and repetition: a bootstrap without a
-    sequential draw, each row on its own."""
+    sequential draw, each row on its own. The uniform number is that of 52 bits of an MD5 digest, so other engines can
+    draw the same."""
     reps = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", cluster), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    times, tail, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 12):  # the inverse of the distribution function, exact to 1e-9
-        tail += term
-        times = times + F.when(u > tail, 1).otherwise(0)
-        term /= k
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "rep", F.col(cluster).cast("string")))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    times = reduce(lambda a, b: a + b, [F.when(u > x, 1).otherwise(0) for x in POISSON])
     return reps.withColumn("times", times).filter("times > 0")
 
 

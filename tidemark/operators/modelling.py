@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import global_row_numbers
+from tidemark.operators.asof import asof_last, global_row_numbers, running_totals
 from tidemark.session import cut
 
 #: Distinct feature rows up to which a fit iterates on the driver; beyond, each iteration is a pass over the table.
@@ -37,27 +37,24 @@ def walk_forward_folds(rows: DataFrame, minimum: int, validation: int, step: int
     """(fold, start_position, first_us, train, validation): purged expanding folds by position in time.
 
     Fold i validates the positions minimum + i * step and on; it trains on earlier rows whose outcome was known before
-    its first validation row. Positions come without a global sort in one task. A row's training folds are a range, so
-    they are counted by prefix sums over folds, not by expanding rows.
+    its first validation row. Positions come without a global sort in one task. The first fold that may train on a row
+    follows from its position and, by an as-of lookup, from when its outcome became known; what a fold trains on is the
+    running total over folds, so neither rows nor folds meet in one task or on the driver.
     """
     numbered = global_row_numbers(rows.select(*dict.fromkeys([*order, as_of, outcome])), order).withColumn("pos", F.col("position") - 1)
     n = numbered.count()
     count = max(0, (n - minimum - validation) // step + 1)
     if not count:
         return rows.sparkSession.createDataFrame([], "fold int, start_position long, first_us long, train long, validation long")
-    start = numbered.filter((F.col("pos") >= minimum) & ((F.col("pos") - minimum) % step == 0)).select(((F.col("pos") - minimum) / step).cast("int").alias("fold"), F.col("pos").alias("start_position"), F.col(as_of).alias("first_us")).filter(F.col("fold") < count)
-    starts = start.orderBy("fold").collect()  # a row per fold
-    firsts = F.array(*[F.lit(r["first_us"]) for r in starts])
-    # the first fold for which a row's outcome is known and its position is earlier; first_us rises with the fold
-    known = F.size(F.filter(firsts, lambda x: x <= F.col(outcome)))
-    early = F.greatest(F.lit(0), F.ceil((F.col("pos") - minimum + 1) / step)).cast("int")
-    per = numbered.groupBy(F.greatest(known, early).alias("fold")).agg(F.count("*").alias("n")).collect()
-    since = {r["fold"]: r["n"] for r in per}
-    out, total = [], 0
-    for i, r in enumerate(starts):
-        total += since.get(i, 0)
-        out.append((i, r["start_position"], r["first_us"], total, min(validation, n - r["start_position"])))
-    return rows.sparkSession.createDataFrame(out, "fold int, start_position long, first_us long, train long, validation long")
+    at = F.col("pos") - minimum
+    starts = numbered.filter((at >= 0) & (at % step == 0)).select((at / step).cast("int").alias("fold"), F.col("pos").alias("start_position"), F.col(as_of).alias("first_us")).filter(F.col("fold") < count)
+    # first_us rises with the fold: folds up to the last one that begins at the outcome's time or before don't know it
+    blind = starts.groupBy("first_us").agg(F.max("fold").alias("_blind"))
+    placed = asof_last(numbered, blind, [], outcome, "first_us", ["_blind"], 86_400_000_000)
+    early = F.greatest(F.lit(0), F.ceil((at + 1) / step)).cast("int")
+    per = placed.groupBy(F.greatest(F.coalesce(F.col("_blind") + 1, F.lit(0)), early).alias("fold")).agg(F.count("*").alias("n"))
+    every = starts.join(per, "fold", "left").fillna(0, ["n"])
+    return running_totals(every, "fold", "n", "train").select("fold", "start_position", "first_us", "train", F.least(F.lit(validation).cast("long"), F.lit(n) - F.col("start_position")).alias("validation"))
 
 
 def feature_statistics(train: DataFrame, features: list[str]) -> DataFrame:
@@ -169,7 +166,12 @@ def fit_ridge(cells: Cells, iterations: int = 360, rate: float = 0.025, decay: f
 def thresholds(cells: Cells, quantiles: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)) -> list[list[float]]:
     """Per feature the midpoints at quantile places of its distinct values."""
     out = []
-    for name in cells.names:
+    for j, name in enumerate(cells.names):
+        if cells.local is not None:  # the distinct values are here
+            v = np.unique(cells.local[0][:, j])
+            at = sorted({min(len(v) - 2, max(0, int(q * (len(v) - 1)))) for q in quantiles}) if len(v) > 1 else []
+            out.append(sorted({(v[a] + v[a + 1]) / 2 for a in at}))
+            continue
         values = cells.table.select(F.col(name).alias("v")).distinct()
         n = values.count()
         if n < 2:

@@ -14,6 +14,7 @@ from tidemark.operators import attention as A
 from tidemark.operators import metrics as M
 from tidemark.operators import modelling as L
 from tidemark.operators import monitoring as O
+from tidemark.operators import research as R
 from tidemark.operators.asof import asof_last
 from tidemark.operators.clocks import observation_instants
 from tidemark.plans.clocksql import OBSERVATIONS
@@ -72,9 +73,7 @@ def split_label(spark, d):
 
 
 def walk_forward_folds(spark, d):
-    r = _rows(spark, d)
-    n = r.count()
-    return L.walk_forward_folds(r, n // 2, n // 10, n // 10, ["as_of_us", "id"])
+    return L.walk_forward_folds(_rows(spark, d), 30, 10, 10, ["as_of_us", "id"])
 
 
 def impute_standardise(spark, d):
@@ -129,7 +128,33 @@ def monotonicity(spark, d):
 
 
 def cluster_bootstrap(spark, d):
-    return M.cluster_bootstrap(_rows(spark, d), "event")
+    return M.cluster_bootstrap(_rows(spark, d), "event").select("metric", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("low", "high")])
+
+
+def _research(spark, d):
+    rows = _rows(spark, d).withColumn("features_available_us", F.col("as_of_us") - DAY_US).withColumn("mfe", F.col("f_disc") + F.col("y"))
+    n = rows.filter(F.col("as_of_us") <= TRAIN_END).count()
+    plan = R.Plan(TRAIN_END - 5 * DAY_US, CALIBRATION, FINAL, n // 2, n // 8, n // 4)
+    rows = rows.filter((F.col("as_of_us") <= plan.train_end) | (F.col("as_of_us") >= CALIBRATION[0])).filter((F.col("as_of_us") <= CALIBRATION[1] - 5 * DAY_US) | (F.col("as_of_us") > CALIBRATION[1]))
+    report, predictions, effects = R.run(rows, FEATURES, [R.Target("y"), R.Target("mfe", "regression")], plan)
+    return rows, report, predictions, effects
+
+
+def model_selection(spark, d):
+    """The report of a run, whether each final loss is reproduced, and how many effects are unstable over the folds."""
+    rows, report, predictions, effects = _research(spark, d)
+    again = R.reproduce(report, predictions, rows, {"y": "r.y", "mfe": "r.mfe"}).select("target", "model", "matches")
+    per = [M.effect_stability(effects.filter(F.col("target") == t)).withColumn("target", F.lit(t)) for t in ("y", "mfe")]
+    shaky = per[0].unionByName(per[1]).groupBy("target", "model").agg(F.count_if("unstable").alias("unstable_effects"))
+    r = report.join(again, ["target", "model"], "left").join(shaky, ["target", "model"], "left")
+    return r.select("target", "model", *[_r(c, 4) for c in ("cv", "train", "final")], "selected", F.array_join("flags", ",").alias("flags"), "matches", "unstable_effects")
+
+
+def audit_findings(spark, d):
+    rows, report, predictions, _ = _research(spark, d)
+    again = R.reproduce(report, predictions, rows, {"y": "r.y", "mfe": "r.mfe"})
+    best = M.top_rows(predictions.filter("target = 'y' and model = 'logistic'").select("id", "p").join(rows.drop("p"), "id"), [], 10)
+    return R.findings(rows, report, predictions, again, best, False)
 
 
 def _cells(spark, d):
@@ -247,7 +272,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         source_coverage, split_label, walk_forward_folds, impute_standardise, laplace_frequency, brier_logloss, regression_metrics, calibration_curve, topk_metrics, breakdowns, cost_stress, loo_concentration, monotonicity,
-        cluster_bootstrap, gd_logistic, gd_ridge, boosted_stumps, platt, mention_buckets, baseline_score, author_independence, hhi_diversity, stale_sources, halt_enrichment, gated_features, alert_outcomes,
+        cluster_bootstrap, model_selection, audit_findings, gd_logistic, gd_ridge, boosted_stumps, platt, mention_buckets, baseline_score, author_independence, hhi_diversity, stale_sources, halt_enrichment, gated_features, alert_outcomes,
         invalidation_antijoin, price_context_asof,
     )
 }
@@ -266,8 +291,9 @@ SQL = {
     "source_coverage": f"WITH {_M}, s AS (SELECT k % 4 AS source, min(us) a, max(us) z FROM m GROUP BY 1), i AS (SELECT CAST({AS_OF_US - (BASELINE + 1) * WIDTH_US} + r * {WIDTH_US} AS BIGINT) AS start_us FROM (SELECT unnest(range({BASELINE + 1})) r)) SELECT start_us, start_us + {WIDTH_US} AS end_us, (SELECT bool_and(a <= start_us AND z >= start_us + {WIDTH_US}) FROM s) AS complete FROM i",
     "split_label": f"""WITH {_R}, x AS (SELECT as_of_us, CASE WHEN as_of_us <= {TRAIN_END} THEN 'train' WHEN as_of_us BETWEEN {CALIBRATION[0]} AND {CALIBRATION[1]} THEN 'calibration' WHEN as_of_us BETWEEN {FINAL[0]} AND {FINAL[1]} THEN 'final_test' WHEN as_of_us < {FINAL[0]} THEN 'embargo' ELSE 'out_of_range' END split FROM r)
 SELECT split, count(*) AS n, min(as_of_us) AS first_us, max(as_of_us) AS last_us FROM x GROUP BY 1""",
-    "walk_forward_folds": f"""WITH {_R}, n AS (SELECT *, row_number() OVER (ORDER BY as_of_us, id) - 1 pos, count(*) OVER () c FROM r), f AS (SELECT CAST((pos - c // 2) // (c // 10) AS INTEGER) fold, pos, as_of_us first_us, c FROM n WHERE pos >= c // 2 AND (pos - c // 2) % (c // 10) = 0 AND pos + c // 10 <= c)
-SELECT f.fold, f.pos AS start_position, f.first_us, (SELECT count(*) FROM n WHERE n.pos < f.pos AND n.as_of_us + {5 * DAY_US} < f.first_us) AS train, c // 10 AS validation FROM f""",
+    "walk_forward_folds": f"""WITH {_R}, n AS (SELECT *, row_number() OVER (ORDER BY as_of_us, id) - 1 pos, count(*) OVER () c FROM r), f AS (SELECT CAST((pos - 30) // 10 AS INTEGER) fold, pos, as_of_us first_us, c FROM n WHERE pos >= 30 AND (pos - 30) % 10 = 0 AND pos + 10 <= c),
+g AS (SELECT f.fold, count(*) train FROM f JOIN n ON n.pos < f.pos AND n.as_of_us + {5 * DAY_US} < f.first_us GROUP BY 1)
+SELECT f.fold, f.pos AS start_position, f.first_us, CASE WHEN train IS NULL THEN 0 ELSE train END AS train, CAST(10 AS BIGINT) AS validation FROM f LEFT JOIN g USING (fold)""",
     "impute_standardise": f"WITH {_R}, u AS (SELECT unnest(['f_qty', 'f_disc', 'f_tax']) AS feature, unnest([f_qty, f_disc, f_tax]) v FROM r), md AS (SELECT feature, median(v) md FROM u GROUP BY 1) SELECT feature, count(*) AS n, count(*) FILTER (v IS NULL) AS missing, any_value(md) AS median, round(avg(coalesce(v, md)), 6) AS mean, round(stddev_pop(coalesce(v, md)), 6) AS deviation FROM u JOIN md USING (feature) GROUP BY 1",
     "laplace_frequency": f"WITH {_R} SELECT priority, round((sum(y) + 1) / (count(*) + 2), 8) AS frequency FROM r GROUP BY 1",
     "brier_logloss": f"WITH {_R} SELECT priority, count(*) AS n, round({_BRIER}, 6) AS brier, round(-avg(y * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12))), 6) AS log_loss, round(avg(y), 6) AS base_rate FROM r GROUP BY 1",
@@ -277,6 +303,10 @@ SELECT f.fold, f.pos AS start_position, f.first_us, (SELECT count(*) FROM n WHER
     "breakdowns": f"WITH {_R}, u AS (SELECT unnest(['flag', 'line', 'priority', 'status', 'security']) AS dimension, unnest([flag, line, priority, status, CAST(security AS VARCHAR)]) AS category, p, y, net FROM r) SELECT dimension, category, count(*) AS n, round({_BRIER}, 6) AS brier, round(avg(coalesce(net, 0)), 6) AS expectancy, count(*) < 10 AS small_sample FROM u GROUP BY 1, 2",
     "cost_stress": f"WITH {_R}, {_TOP} SELECT factor, round(avg(coalesce(gross - factor * cost, 0)), 6) AS expectancy FROM t CROSS JOIN (SELECT unnest([1.0::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE]) factor) WHERE rk <= 10 GROUP BY 1",
     "loo_concentration": f"WITH {_R}, s AS (SELECT security, count(*) n, sum((p - y) * (p - y)) s FROM r GROUP BY 1), t AS (SELECT sum(n) tn, sum(s) ts FROM s) SELECT security, n, round(n / tn, 8) AS share, round((ts - s) / (tn - n), 8) AS left_out_brier FROM s, t",
+    "cluster_bootstrap": f"""WITH {_R}, s AS (SELECT event, count(*) n, sum((p - y) * (p - y)) e, sum(y) y FROM r WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+d AS (SELECT s.*, rep, (('0x' || substr(md5(concat_ws('|', 7, rep, event)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE u FROM s CROSS JOIN (SELECT CAST(unnest(range(100)) AS INTEGER) rep)),
+t AS (SELECT *, {" + ".join(f"(u > {x!r}::DOUBLE)::INTEGER" for x in M.POISSON)} AS k FROM d), q AS (SELECT rep, sum(e * k) / sum(n * k) b, sum(y * k) / sum(n * k) a FROM t GROUP BY 1)
+SELECT 'brier' AS metric, round(quantile_cont(b, 0.025) + 1e-9, 6) AS low, round(quantile_cont(b, 0.975) + 1e-9, 6) AS high FROM q UNION ALL SELECT 'base_rate', round(quantile_cont(a, 0.025) + 1e-9, 6), round(quantile_cont(a, 0.975) + 1e-9, 6) FROM q""",
     "monotonicity": f"WITH {_R} SELECT 'a>=b' AS chain, count(*) FILTER (f_tax > f_disc) AS violations FROM r UNION ALL SELECT 'c>=b>=a', count(*) FILTER (coalesce(f_tax > f_qty, false) OR coalesce(f_disc > f_tax, false)) FROM r",
     "mention_buckets": f"WITH {_M}, {_B} SELECT security_id, CAST(bucket AS INTEGER) AS bucket, mentions FROM b",
     "baseline_score": f"""WITH {_M}, {_B}, s AS (SELECT security_id, CAST(sum(mentions) FILTER (bucket = {BASELINE}) AS BIGINT) AS current, CAST(sum(mentions) FILTER (bucket = {BASELINE - 1}) AS BIGINT) AS previous, avg(mentions) FILTER (bucket < {BASELINE}) mean, var_pop(mentions) FILTER (bucket < {BASELINE}) variance FROM b GROUP BY 1)
