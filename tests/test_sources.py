@@ -64,11 +64,12 @@ def test_document_lines(spark, tmp_path):
 def test_paged_bars_to_rows(spark):
     spark.dataSource.register(rest.PagedBars)
     spark.sparkContext.addPyFile(str(Path(__file__).with_name("fake_transport.py")))
-    raw = spark.read.format("paged_bars").options(endpoint="https://data.example.invalid/v2/bars", allow="https://data.example.invalid/v2", symbols="ZA", transport="fake_transport:make", pages="5").load()
+    raw = spark.read.format("paged_bars").options(endpoint="https://data.example.invalid/v2/bars", allow="https://data.example.invalid/v2", symbols="ZA", start="2026-03-02", end="2026-03-03", pace="0.1", transport="fake_transport:make", pages="5").load()
     names = spark.createDataFrame([("S", "ZA")], "security_id string, ticker string")
-    bars, audit = normalise.normalise_bars(raw, names, "1m")
+    bars, dropped = normalise.normalise_bars(raw, names, "1m", feed="iex")
     assert [(r["session"], r["volume"]) for r in bars.orderBy("timestamp").collect()] == [("premarket", 5), ("regular", 7)]
-    assert tuple(audit.first()) == (3, 2, 1, True)
+    assert {r["feed"] for r in bars.collect()} == {"iex"}
+    assert tuple(normalise.reconcile(3, bars, dropped).first()) == (3, 2, 1, True) and not normalise.reconcile(3, bars.limit(1), dropped).first()["reconciled"]
     with pytest.raises(PySparkException, match="unknown symbol"):
         normalise.normalise_bars(raw, names.limit(0), "1m")[0].collect()
 
@@ -93,6 +94,9 @@ def test_requests():
     assert rest.retry_delay(9, {}, 0.0) == 30.0 and rest.retry_delay(1, {"Retry-After": "Thu, 01 Jan 1970 00:00:05 GMT"}, 1.0) == 4.0
     ok = ("https://a.invalid/v2",)
     assert rest.allowed("https://a.invalid/v2/bars?x", ok)
+    asked = []
+    list(rest.pages(lambda u: asked.append(u) or (200, {}, '{"next_page_token": %s}' % ('"a+/=="' if len(asked) < 2 else "null")), "u?", 9))
+    assert asked[1].endswith("page_token=a%2B%2F%3D%3D")
     assert not any(rest.allowed(u, ok) for u in ("http://a.invalid/v2", "https://a.invalid/v21", "https://b.a.invalid/v2", "https://a.invalid.evil/v2"))
 
 

@@ -110,9 +110,32 @@ def document_directory(spark: SparkSession, root: str) -> Dataset:
 
 
 def mention_directory(spark: SparkSession, root: str) -> Dataset:
+    """Mentions with the monitored securities and the sources' descriptors of the manifest; catalysts and price context if
+    there are any."""
     manifest = read_manifest(spark, root, ("provider", "dataset_kind", "fetched_at", "monitored_securities", "sources"))
     securities = [(s["security_id"], s["ticker"]) for s in manifest["monitored_securities"]]
-    return Dataset({"mentions": read_jsonl(spark, f"{root}/mentions.jsonl", S.MENTION), "securities": spark.createDataFrame(securities, "security_id string, ticker string")}, manifest)
+    rows = [tuple(None if d.get(f.name) is None else str(d[f.name]) for f in S.DESCRIPTOR.fields) for d in manifest["sources"]]
+    texts = spark.createDataFrame(rows, T.StructType([T.StructField(f.name, T.StringType()) for f in S.DESCRIPTOR.fields]))
+    return Dataset(
+        {
+            "mentions": read_jsonl(spark, f"{root}/mentions.jsonl", S.MENTION),
+            "catalysts": read_jsonl(spark, f"{root}/catalysts.jsonl", S.CATALYST, optional=True),
+            "price_context": read_jsonl(spark, f"{root}/price_context.jsonl", S.PRICE_CONTEXT, optional=True),
+            "securities": spark.createDataFrame(securities, "security_id string, ticker string"),
+            "descriptors": texts.select(*[typed(F.col(f.name), f.dataType, f.name).alias(f.name) for f in S.DESCRIPTOR.fields]),
+        },
+        manifest,
+    )
+
+
+def broken_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line, text) of lines that are no object of the schema, for the message after a read has failed: lines are
+    numbered within their file, which is read whole for it."""
+    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split("value", "\n").alias("lines"))
+    each = whole.select("file", F.posexplode("lines").alias("line", "text")).filter(F.trim("text") != "")
+    texts = T.StructType([*[T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in schema.fields], T.StructField("_bad", T.StringType())])
+    parsed = each.withColumn("p", F.from_json("text", texts, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    return parsed.filter(F.col("p._bad").isNotNull()).select("file", (F.col("line") + 1).alias("line"), "text")
 
 
 def model_directory(spark: SparkSession, root: str) -> Dataset:

@@ -9,18 +9,25 @@ from tidemark.functions.calendar import US_EQUITY, SessionCalendar
 from tidemark.sources.files import strict_timestamp
 
 
-def normalise_bars(raw: DataFrame, securities: DataFrame, timeframe: str, calendar: SessionCalendar = US_EQUITY) -> tuple[DataFrame, DataFrame]:
-    """(bars, audit) of provider bars. One-minute bars outside the sessions are dropped and counted; an unknown symbol
-    raises. audit has one row: raw, kept, dropped and whether they add up."""
+def normalise_bars(raw: DataFrame, securities: DataFrame, timeframe: str, calendar: SessionCalendar = US_EQUITY, source: str = "", source_url: str = "", feed: str = "", adjustment: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """(bars, dropped) of provider bars: one-minute bars outside the sessions are dropped; an unknown symbol raises.
+    See reconcile for the count of both against the pages."""
     s = securities.select("security_id", F.col("ticker").alias("symbol"))
     ts = strict_timestamp(F.col("t"), "t")
     x = raw.join(s, "symbol", "left").withColumn("timestamp", ts).withColumn("session", calendar.classify(F.col("timestamp")) if timeframe == "1m" else F.lit("regular"))
     known = F.when(F.col("security_id").isNull(), F.raise_error(F.concat(F.lit("unknown symbol "), F.col("symbol")))).otherwise(F.col("security_id"))
     x = x.withColumn("security_id", known).withColumn("kept", (F.lit(timeframe != "1m")) | (F.col("session") != "outside"))
     available = F.col("timestamp") + F.expr("interval 1 minute") if timeframe == "1m" else F.to_utc_timestamp(F.date_trunc("day", calendar.local(F.col("timestamp"))) + F.expr("interval 961 minutes"), calendar.zone)
-    bars = x.filter("kept").select("security_id", "timestamp", F.lit(timeframe).alias("timeframe"), "session", F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"), F.col("v").alias("volume"), available.alias("available_at"), F.col("vw").alias("vwap"), F.col("n").alias("trade_count"))
-    audit = x.agg(F.count("*").alias("raw"), F.count_if(F.col("kept")).alias("kept"), F.count_if(~F.col("kept")).alias("dropped")).withColumn("reconciled", F.col("raw") == F.col("kept") + F.col("dropped"))
-    return bars, audit
+    bars = x.filter("kept").select("security_id", "timestamp", F.lit(timeframe).alias("timeframe"), "session", F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"), F.col("v").alias("volume"), available.alias("available_at"), F.col("vw").alias("vwap"), F.col("n").alias("trade_count"), F.lit(source).alias("source"), F.lit(source_url).alias("source_url"), F.lit(feed).alias("feed"), F.lit(adjustment).alias("adjustment"))
+    return bars, x.filter(~F.col("kept"))
+
+
+def reconcile(pages: int, written: DataFrame, dropped: DataFrame) -> DataFrame:
+    """(raw, kept, dropped, reconciled): rows the pages had, as the reader counted them, against rows of the written table
+    and dropped ones. They differ where rows were lost or doubled on the way."""
+    kept, gone = written.agg(F.count("*").alias("kept")), dropped.agg(F.count("*").alias("dropped"))
+    one = kept.crossJoin(gone).select(F.lit(pages).cast("long").alias("raw"), "kept", "dropped")  # one row each
+    return one.withColumn("reconciled", F.col("raw") == F.col("kept") + F.col("dropped"))
 
 
 def submissions(raw: DataFrame, forms: tuple[str, ...]) -> DataFrame:

@@ -6,10 +6,12 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
-from urllib.parse import urlparse
+from urllib.parse import quote, urlencode, urlparse
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.sources.settings import Pace
+
 # fixed values: answers after which a request is tried again
 RETRY_STATUS = (429, 500, 502, 503, 504)
 
@@ -62,7 +64,7 @@ def pages(transport: Transport, url: str, most: int, **kw) -> Iterator[dict]:
     seen: set[str] = set()
     token = None
     for _ in range(most):
-        page = fetch(transport, url + (f"&page_token={token}" if token else ""), **kw)
+        page = fetch(transport, url + (f"&page_token={quote(token, safe='')}" if token else ""), **kw)
         yield page
         token = page.get("next_page_token")
         if token is None:
@@ -95,8 +97,9 @@ class _Symbols(InputPartition):
 
 
 class PagedBars(DataSource):
-    """``spark.read.format("paged_bars")`` with options endpoint, allow, symbols, timeframe, pages and transport
-    (``module:function``, called with nothing, gives the transport). One input partition per symbol."""
+    """``spark.read.format("paged_bars")`` with options endpoint, allow, symbols, timeframe, start, end, feed, adjustment,
+    limit, pages, pace (seconds between requests of a task) and transport (``module:function``, called with nothing, gives
+    the transport). start and end bound the scan and must be given. One input partition per symbol."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,6 +117,8 @@ class _Reader(DataSourceReader):
         self.options = dict(options)
         if not allowed(self.options["endpoint"], tuple(self.options["allow"].split(","))):
             raise RequestFailed("endpoint isn't allowed")
+        if not self.options.get("start") or not self.options.get("end"):
+            raise RequestFailed("a scan needs a start and an end")
 
     def partitions(self) -> list[InputPartition]:
         return [_Symbols([s]) for s in sorted(set(self.options["symbols"].split(",")))]
@@ -123,6 +128,10 @@ class _Reader(DataSourceReader):
 
         module, _, name = self.options["transport"].partition(":")
         transport = getattr(importlib.import_module(module), name)()
-        url = f"{self.options['endpoint']}?symbols={','.join(partition.symbols)}&timeframe={self.options.get('timeframe', '1Min')}"
+        asked = {"symbols": ",".join(partition.symbols), "timeframe": self.options.get("timeframe", "1Min")}
+        asked |= {k: self.options[k] for k in ("start", "end", "feed", "adjustment", "limit") if self.options.get(k)}
+        if float(self.options.get("pace", "0")):
+            transport = Pace(float(self.options["pace"])).around(transport)
+        url = f"{self.options['endpoint']}?{urlencode(asked)}"
         for page in pages(transport, url, int(self.options.get("pages", "100"))):
             yield from bar_rows(page)

@@ -26,10 +26,15 @@ DOCUMENT = T.StructType(
 )
 SNAPSHOT = T.ArrayType(fields("observed_at:t available_at:t likes:l replies:l reposts:l views:l"))
 MENTION = T.StructType(
-    fields("mention_id:s security_id:s ticker:s source:s source_record_id:s source_url:s published_at:t first_seen_at:t ingested_at:t available_at:t content_hash:s text:s author_key:s is_repost:b repost_of_source_record_id:s account_quality_score:d").fields
+    fields("mention_id:s security_id:s ticker:s source:s source_record_id:s source_url:s published_at:t first_seen_at:t ingested_at:t available_at:t content_hash:s text:s author_key:s is_repost:b repost_of_source_record_id:s account_quality_score:d account_quality_basis:s affiliate_or_paid_promotion:b language:s").fields
     + [T.StructField("outbound_urls", T.ArrayType(T.StringType())), T.StructField("linked_catalyst_urls", T.ArrayType(T.StringType())), T.StructField("engagement_snapshots", SNAPSHOT)]
 )
-MODEL_ROW = T.StructType(fields("observation_id:s event_id:s security_id:s prediction_as_of:t outcome_available_at:t").fields + [T.StructField("features", T.MapType(T.StringType(), T.DoubleType(), True))])
+CATALYST = fields("catalyst_id:s security_id:s ticker:s source_url:s first_public_at:t available_at:t is_primary_source:b")
+PRICE_CONTEXT = fields("security_id:s ticker:s reference_at:t observed_at:t available_at:t cumulative_return_pct:d source_url:s")
+DESCRIPTOR = fields("source:s access_method:s collection_authorization_confirmed:b terms_url:s terms_reviewed_at:t rate_limit_policy:s coverage_started_at:t coverage_ended_at:t text_analysis_permitted:b content_storage:s author_metrics_permitted:b coverage_note:s")
+_LABELS = "target_before_stop:b touch_up_05:b touch_up_10:b touch_up_20:b touch_down_05:b touch_down_10:b mfe_pct:d mae_pct:d continuation:b fill_status:s gross_return_pct:d spread_cost_pct:d slippage_cost_pct:d net_return_after_cost_pct:d"
+_CATEGORIES = "catalyst_category:s float_category:s market_cap_category:s market_regime:s time_of_day:s gap_size_category:s relative_volume_category:s retail_attention_stage:s data_quality_score:d label_policy_version:s fill_policy_version:s"
+MODEL_ROW = T.StructType(fields(f"observation_id:s event_id:s security_id:s ticker:s prediction_as_of:t features_available_at:t outcome_available_at:t source_url:s {_LABELS} {_CATEGORIES}").fields + [T.StructField("features", T.MapType(T.StringType(), T.DoubleType(), True))])
 RAW_ITEM = fields("source_family:s source_id:s source_url:s source_timestamp:s first_seen_at:t payload:s")
 
 # fixed values: what counts as true in text columns

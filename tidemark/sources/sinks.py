@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,21 @@ def run_summary(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.max(F.struct(*order, *rest)).alias("m")).select(*keys, "rows", "m.*")
 
 
+def write_run(path: str, rows: DataFrame, issues: DataFrame, keys: list[str], order: list[str], at: str) -> dict:
+    """Writes a run's rows, quality report and summary as JSON lines below path, and returns its manifest: counts of rows,
+    errors and warnings, and the number of keys. A path that exists is an error."""
+    counts = issues.groupBy("code", "severity").count()
+    write_jsonl(rows, f"{path}/rows")
+    write_jsonl(issues, f"{path}/quality_report")
+    write_jsonl(run_summary(rows, keys, order), f"{path}/run_summary")
+    by = {(r["code"], r["severity"]): r["count"] for r in counts.collect()}  # a row per code
+    total = lambda kind: sum(n for (_, sev), n in by.items() if sev == kind)
+    manifest = {"at": at, "rows": rows.count(), "keys": rows.select(*keys).distinct().count(), "errors": total("error"), "warnings": total("warning"), "codes": {c: n for (c, _), n in sorted(by.items())}}
+    spark = rows.sparkSession
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/run_manifest")
+    return manifest
+
+
 class ConflictError(ValueError):
     """A record under a known key with another content."""
 
