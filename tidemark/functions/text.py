@@ -83,6 +83,32 @@ def host_within(url: Column, domain: str) -> Column:
     return F.coalesce((host == domain) | F.endswith(host, F.lit("." + domain)), F.lit(False))
 
 
+def stale(first_seen: Column, first_public: Column, hours: int = 24) -> Column:
+    """Whether a document was found more than so many hours after it had become public."""
+    return F.unix_micros(first_seen) - F.unix_micros(first_public) > hours * 3_600_000_000
+
+
+def verification(kind: Column, primary: tuple[str, ...], corroborated: Column) -> Column:
+    """verified for primary kinds and corroborated secondary ones; social posts never are."""
+    return F.when(kind == "social_unverified", "unverified").when(kind.isin(*primary) | F.coalesce(corroborated, F.lit(False)), "verified").otherwise("unverified")
+
+
+def padded_issuer(number: Column) -> Column:
+    """An issuer's number with ten digits, leading zeros; null where it isn't one."""
+    return F.when(number.rlike("^[0-9]{1,10}$"), F.lpad(number, 10, "0"))
+
+
+def filing_index(issuer: Column, accession: Column, root: str = "https://www.sec.gov/Archives/edgar/data") -> Column:
+    """Address of a filing's index: the issuer's number without leading zeros, the accession number without dashes and
+    with them."""
+    return F.concat_ws("/", F.lit(root), issuer.try_cast("bigint").cast("string"), F.replace(accession, F.lit("-"), F.lit("")), F.concat(accession, F.lit("-index.html")))
+
+
+def packed_instant(text: Column) -> Column:
+    """UTC instant of 14 digits yyyyMMddHHmmss; null for anything else."""
+    return F.when(text.rlike("^[0-9]{14}$"), F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss")))
+
+
 def short_id(*parts: Column) -> Column:
     """First 24 hex digits of the SHA-256 of parts joined by a bar."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import previous_row
+from tidemark.operators.asof import asof_last, previous_row
+from tidemark.operators.intervals import merge_intervals
 
 MINUTE_US = 60_000_000
 HORIZONS = (5, 15, 30, 60)
@@ -68,12 +69,17 @@ def outcomes(alerts: DataFrame, observations: DataFrame, horizons: tuple[int, ..
     return out.select("alert_id", "horizon", "observations", "last", "highest", "lowest", complete.alias("complete"), against("last").alias("return_pct"), against("highest").alias("mfe_pct"), against("lowest").alias("mae_pct"))
 
 
-def not_invalidated(alerts: DataFrame, manifests: DataFrame, at: Column) -> DataFrame:
-    """Alerts that no manifest names or covers. manifests (few rows): alert_ids array, from_us, to_us; both ends count."""
-    named = manifests.select(F.explode("alert_ids").alias("alert_id")).distinct()
-    spans = manifests.filter("from_us is not null and to_us is not null").select("from_us", "to_us")
-    merged = [(r["from_us"], r["to_us"]) for r in spans.collect()]  # one row per run invalidated by hand
-    rest = alerts.join(named, "alert_id", "left_anti")
-    for a, z in merged:
-        rest = rest.filter(at.isNull() | ~at.between(a, z))
-    return rest
+def not_invalidated(alerts: DataFrame, manifests: DataFrame, at: Column, named: DataFrame | None = None) -> DataFrame:
+    """Alerts that no manifest names or covers. manifests: alert_ids array, from_us, to_us; both ends count, a span
+    without one end covers nothing. named: further alert_ids, as a table.
+
+    Overlapping spans are merged in Spark, so an alert meets at most one of them: the last that begins by its time, found
+    by an as-of lookup over all manifests, however many there are.
+    """
+    lost = manifests.select(F.explode("alert_ids").alias("alert_id"))
+    lost = (lost.unionByName(named.select("alert_id")) if named is not None else lost).distinct()
+    spans = manifests.filter("from_us is not null and to_us is not null").select(F.lit("").alias("_k"), "from_us", "to_us")
+    merged = merge_intervals(spans, "_k", F.col("from_us"), F.col("to_us") + 1).filter("kind = 'period'").select(F.col("start_us").alias("_from"), F.col("end_us").alias("_to"))
+    rest = alerts.join(lost, "alert_id", "left_anti").withColumn("_at", at)
+    met = asof_last(rest.withColumnRenamed("_at", "_start"), merged, [], "_start", "_from", ["_to"], 1440 * MINUTE_US)
+    return met.filter(F.col("_to").isNull() | F.col("_start").isNull() | (F.col("_start") >= F.col("_to"))).drop("_to", "_start")

@@ -37,8 +37,30 @@ def numeric_extract(spark, d):
 
 
 def link_checks(spark, d):
+    """Links as they come and in five broken forms, by the document's number."""
+    k = F.regexp_extract("document_id", "([0-9]+)$", 1).cast("long") % 6
     t = table(spark, d, "source_documents")
-    return t.groupBy(X.valid_link(F.col("source_url")).alias("valid"), X.host_within(F.col("source_url"), "example.invalid").alias("within")).agg(F.count("*").alias("n"))
+    url = F.when(k == 0, F.col("source_url")).when(k == 1, F.regexp_replace("source_url", "^https?", "ftp")).when(k == 2, "https://").when(k == 3, F.concat(F.lit("HTTPS://News.Example.invalid/"), "document_id")).when(k == 4, None).otherwise("https://example.invalid.evil/x")
+    t = t.withColumns({"k": k, "u": url})
+    return t.groupBy("k", X.valid_link(F.col("u")).alias("valid"), X.host_within(F.col("u"), "example.invalid").alias("within")).agg(F.count("*").alias("n"))
+
+
+def document_scalars(spark, d):
+    """Scalars of documents: plain title, age at discovery, verification, the index's address, and of their text the
+    expected date, the tone and the number of tokens that tell copies apart."""
+    s = table(spark, d, "source_documents").withColumn("cor", F.col("related_primary_document_id").isNotNull())
+    digits = F.regexp_extract("document_id", "([0-9]+)$", 1)
+    acc = F.concat(F.lpad(digits, 10, "0"), F.lit("-26-"), F.lpad(digits, 6, "0"))
+    packed = F.date_format("ingested_at", "yyyyMMddHHmmss")
+    one = s.select(
+        "document_id", F.md5(X.normalised(F.col("title"), F.col("provider"))).alias("plain"), F.coalesce(X.stale(F.col("first_seen_at"), F.col("first_public_at")), F.lit(False)).alias("stale"), X.verification(F.col("source_kind"), PRIMARY, F.col("cor")).alias("verification"),
+        X.padded_issuer(digits).alias("issuer"), X.filing_index(digits, acc).alias("index"), F.unix_micros(X.packed_instant(packed)).alias("packed_us"),
+    ).distinct()
+    t = table(spark, d, "documents").filter("document_id is not null").groupBy("document_id").agg(F.max("text").alias("text"))
+    said = F.concat(F.lit("Results expected about "), F.date_format("ingested_at", "yyyy-MM"), F.lit("-31."))
+    when = s.groupBy("document_id").agg(F.date_format(X.expected_date(F.max(said)), "yyyy-MM-dd").alias("expected"))
+    tone = t.select("document_id", F.round(X.lexicon_score(F.col("text"), ("growth", "strong", "plan"), ("loss", "risk", "halted")) + 1e-7, 4).alias("tone"), F.size(X.mention_tokens(F.col("text"))).alias("tokens"))
+    return one.join(when, "document_id").join(tone, "document_id", "left")
 
 
 def event_ids(spark, d):
@@ -138,7 +160,7 @@ def dq_documents(spark, d):
     return Q.issue_counts(reduce(DataFrame.unionByName, parts))
 
 
-QUERIES = {q.__name__: q for q in (norm_text_tokens, numeric_extract, link_checks, event_ids, document_order, corroboration, recent_same_category, near_dup_jaccard, supporting_links_topn, dq_market, dq_documents)}
+QUERIES = {q.__name__: q for q in (norm_text_tokens, numeric_extract, link_checks, document_scalars, event_ids, document_order, corroboration, recent_same_category, near_dup_jaccard, supporting_links_topn, dq_market, dq_documents)}
 
 _TOK = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: len(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.IGNORED_TOKENS) + "))))"
 _PRIM = "(" + ", ".join(f"'{k}'" for k in PRIMARY) + ")"
@@ -182,7 +204,16 @@ SQL = {
     "norm_text_tokens": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK} t FROM documents)",
     "numeric_extract": f"""WITH x AS (SELECT doc_id, {_num(X.MONEY, "s")} m, {_num(X.PERCENT, "")} p, {_num(X.SHARES, "s")} s FROM documents)
 SELECT doc_id, CAST(len(m) AS INTEGER) AS money_count, round(coalesce(list_sum(m), 0), 2) AS money_sum, CAST(len(p) AS INTEGER) AS percentage_count, round(coalesce(list_sum(p), 0), 2) AS percentage_sum, CAST(len(s) AS INTEGER) AS shares_count, round(coalesce(list_sum(s), 0), 2) AS shares_sum FROM x""",
-    "link_checks": """SELECT regexp_matches(source_url, '^https?://[^/?#]+') AS valid, regexp_matches(regexp_extract(source_url, '^[a-z]+://([^/?#:]+)', 1), '(^|\\.)example\\.invalid$') AS within, count(*) AS n FROM source_documents GROUP BY 1, 2""",
+    "link_checks": """WITH x AS (SELECT CAST(regexp_extract(document_id, '([0-9]+)$', 1) AS BIGINT) % 6 k, source_url FROM source_documents)
+SELECT k, k IN (0, 3, 5) AND (k <> 0 OR regexp_matches(source_url, '^https?://[^/?#]+')) AS valid, k = 3 OR (k IN (0, 1) AND regexp_matches(source_url, '^[a-z]+://([^/?#:]*[.])?example[.]invalid([:/?#]|$)')) AS within, count(*) AS n FROM x GROUP BY ALL""",
+    "document_scalars": f"""WITH s AS (SELECT *, regexp_extract(document_id, '([0-9]+)$', 1) g FROM source_documents),
+o AS (SELECT DISTINCT document_id, md5(trim(regexp_replace(lower(concat_ws(' ', title, provider)), '[\\s\\p{{Z}}\\x{{85}}\\x1c-\\x1f]+', ' ', 'g'))) AS plain, coalesce(epoch_us(first_seen_at) - epoch_us(first_public_at) > 86400000000, false) AS stale,
+ CASE WHEN source_kind = 'social_unverified' THEN 'unverified' WHEN source_kind IN {_PRIM} OR related_primary_document_id IS NOT NULL THEN 'verified' ELSE 'unverified' END AS verification, lpad(g, 10, '0') AS issuer,
+ 'https://www.sec.gov/Archives/edgar/data/' || CAST(CAST(g AS BIGINT) AS VARCHAR) || '/' || lpad(g, 10, '0') || '26' || lpad(g, 6, '0') || '/' || lpad(g, 10, '0') || '-26-' || lpad(g, 6, '0') || '-index.html' AS index, epoch_us(date_trunc('second', ingested_at)) AS packed_us FROM s),
+w AS (SELECT document_id, TRY_CAST(strftime(max(timezone('UTC', date_trunc('month', ingested_at))), '%Y-%m') || '-31' AS DATE) e FROM s GROUP BY 1),
+t AS (SELECT document_id, regexp_extract_all(lower(coalesce(max(text), '')), '[a-z0-9]+') k FROM documents WHERE document_id IS NOT NULL GROUP BY 1),
+c AS (SELECT document_id, len(list_filter(k, lambda x: x IN ('growth', 'strong', 'plan'))) p, len(list_filter(k, lambda x: x IN ('loss', 'risk', 'halted'))) n, len(list_distinct(k)) u FROM t)
+SELECT o.*, strftime(e, '%Y-%m-%d') AS expected, round(CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END + CASE WHEN u IS NULL THEN NULL ELSE 1e-7 END, 4) AS tone, CAST(CASE WHEN u >= 4 THEN u WHEN u IS NOT NULL THEN 0 END AS INTEGER) AS tokens FROM o JOIN w USING (document_id) LEFT JOIN c USING (document_id)""",
     "event_ids": "SELECT DISTINCT event_id, substr(sha256(concat_ws('|', document_id, catalyst_category, 'rules-v1')), 1, 24) AS digest_id FROM catalyst_events",
     "document_order": f"""WITH s AS (SELECT document_id, ticker, source_kind, min(available_at) us FROM source_documents GROUP BY ALL HAVING min(available_at) IS NOT NULL)
 SELECT document_id, ticker, CAST(row_number() OVER (PARTITION BY ticker ORDER BY us, CASE WHEN source_kind IN {_PRIM} THEN 0 ELSE 1 END, document_id) AS INTEGER) AS position FROM s""",

@@ -199,8 +199,10 @@ def _mentions(spark, d):
 
 
 def mention_buckets(spark, d):
+    """Monitored are the securities that are mentioned, and one that never is."""
     m = _mentions(spark, d)
-    return A.buckets(m, m, AS_OF_US, WIDTH_US, BASELINE)
+    monitored = m.select("security_id").distinct().unionByName(spark.createDataFrame([("quiet",)], "security_id string"))
+    return A.buckets(m, monitored, AS_OF_US, WIDTH_US, BASELINE)
 
 
 def baseline_score(spark, d):
@@ -255,9 +257,12 @@ def alert_outcomes(spark, d):
 
 
 def invalidation_antijoin(spark, d):
+    """A manifest names every alert whose number ends in 7; two more cover spans, one of them open and so without effect."""
     a = _alerts(spark, d)
-    m = spark.createDataFrame([(["cev-00-000001", "cev-00-000007"], None, None), ([], 1_764_547_200_000_000, 1_767_225_600_000_000)], "alert_ids array<string>, from_us long, to_us long")
-    return O.not_invalidated(a, m, F.col("start_us")).select("alert_id")
+    named = a.filter(F.col("alert_id").endswith("7")).select("alert_id")
+    spans = [([], 1_764_547_200_000_000, 1_767_225_600_000_000), ([], 1_767_000_000_000_000, 1_768_000_000_000_000), ([], 1_770_000_000_000_000, None)]
+    m = spark.createDataFrame(spans, "alert_ids array<string>, from_us long, to_us long")
+    return O.not_invalidated(a, m, F.col("start_us"), named).select("alert_id")
 
 
 def price_context_asof(spark, d):
@@ -308,7 +313,7 @@ d AS (SELECT s.*, rep, (('0x' || substr(md5(concat_ws('|', 7, rep, event)), 1, 1
 t AS (SELECT *, {" + ".join(f"(u > {x!r}::DOUBLE)::INTEGER" for x in M.POISSON)} AS k FROM d), q AS (SELECT rep, sum(e * k) / sum(n * k) b, sum(y * k) / sum(n * k) a FROM t GROUP BY 1)
 SELECT 'brier' AS metric, round(quantile_cont(b, 0.025) + 1e-9, 6) AS low, round(quantile_cont(b, 0.975) + 1e-9, 6) AS high FROM q UNION ALL SELECT 'base_rate', round(quantile_cont(a, 0.025) + 1e-9, 6), round(quantile_cont(a, 0.975) + 1e-9, 6) FROM q""",
     "monotonicity": f"WITH {_R} SELECT 'a>=b' AS chain, count(*) FILTER (f_tax > f_disc) AS violations FROM r UNION ALL SELECT 'c>=b>=a', count(*) FILTER (coalesce(f_tax > f_qty, false) OR coalesce(f_disc > f_tax, false)) FROM r",
-    "mention_buckets": f"WITH {_M}, {_B} SELECT security_id, CAST(bucket AS INTEGER) AS bucket, mentions FROM b",
+    "mention_buckets": f"WITH {_M}, {_B.replace('(SELECT DISTINCT security_id FROM m) s', "(SELECT security_id FROM m UNION SELECT 'quiet') s")} SELECT security_id, CAST(bucket AS INTEGER) AS bucket, mentions FROM b",
     "baseline_score": f"""WITH {_M}, {_B}, s AS (SELECT security_id, CAST(sum(mentions) FILTER (bucket = {BASELINE}) AS BIGINT) AS current, CAST(sum(mentions) FILTER (bucket = {BASELINE - 1}) AS BIGINT) AS previous, avg(mentions) FILTER (bucket < {BASELINE}) mean, var_pop(mentions) FILTER (bucket < {BASELINE}) variance FROM b GROUP BY 1)
 SELECT security_id, current, previous, round(current / 6.0, 4) AS velocity, round((current - previous) / 36.0, 4) AS acceleration, round(mean, 4) AS mean, round(variance, 4) AS variance, round(greatest(0, least(100, 50 + 10 * (current - mean) / greatest(1, sqrt(variance + mean + 1)))), 4) AS score FROM s""",
     "author_independence": f"""WITH {_M}, a AS (SELECT security_id, author, count(*) n, count(*) FILTER (k % 9 = 0) c FROM m GROUP BY 1, 2), s AS (SELECT security_id, CAST(sum(n) AS BIGINT) AS mentions, count(author) AS authors, sum(n) FILTER (author IS NOT NULL) kn, max(n) FILTER (author IS NOT NULL) mx, sum(c) c FROM a GROUP BY 1)
@@ -323,7 +328,7 @@ f AS (SELECT al.alert_id, arg_max(q.close, (q.us, q.close)) ref FROM al JOIN q O
 o AS (SELECT al.alert_id, h.horizon, count(q.us) AS observations, arg_max(q.close, (q.us, q.close)) AS last, max(q.close) AS highest, min(q.close) AS lowest FROM al CROSS JOIN h LEFT JOIN q ON q.ticker = al.ticker AND q.us > start_us AND q.us <= start_us + horizon::BIGINT * 60000000 WHERE start_us IS NOT NULL GROUP BY 1, 2),
 z AS (SELECT o.*, ref, observations > 0 AND coalesce(ref <> 0, false) AS complete FROM o LEFT JOIN f USING (alert_id))
 SELECT alert_id, horizon, observations, last, highest, lowest, complete, round(CASE WHEN complete THEN (last / ref - 1) * 100 END, 4) AS return_pct, round(CASE WHEN complete THEN (highest / ref - 1) * 100 END, 4) AS mfe_pct, round(CASE WHEN complete THEN (lowest / ref - 1) * 100 END, 4) AS mae_pct FROM z""",
-    "invalidation_antijoin": f"WITH {_AL} SELECT alert_id FROM al WHERE alert_id NOT IN ('cev-00-000001', 'cev-00-000007') AND NOT (start_us BETWEEN 1764547200000000 AND 1767225600000000)",
+    "invalidation_antijoin": f"WITH {_AL} SELECT alert_id FROM al WHERE alert_id NOT LIKE '%7' AND NOT (start_us BETWEEN 1764547200000000 AND 1767225600000000) AND NOT (start_us BETWEEN 1767000000000000 AND 1768000000000000)",
     "price_context_asof": f"""WITH e AS (SELECT DISTINCT event_id id, upper(trim(ticker)) ticker, epoch_us(first_public_at) ev, epoch_us(available_at) kn FROM catalyst_events WHERE ticker IS NOT NULL AND first_public_at IS NOT NULL), o AS (SELECT ticker, epoch_us(first_seen_at) ob, epoch_us(processing_timestamp) av, close FROM market_observations WHERE ticker IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)),
 b AS (SELECT e.id, arg_max(close, (ob, close)) v, max(ob) ob FROM e JOIN o ON o.ticker = e.ticker AND ob <= ev AND av <= kn GROUP BY 1) SELECT e.id, b.ob AS observed_us, b.v AS value FROM e LEFT JOIN b USING (id)""",
 }
