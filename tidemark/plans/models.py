@@ -164,7 +164,8 @@ def _cells(spark, d):
 
 
 def _weights(spark, names, values):
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(["intercept", *names], values)], "feature string, weight double")
+    w = spark.createDataFrame([(n, float(v)) for n, v in zip(["intercept", *names], values)], "feature string, weight double")
+    return w.select("feature", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
 
 
 def gd_logistic(spark, d):
@@ -333,4 +334,31 @@ SELECT alert_id, horizon, observations, last, highest, lowest, complete, round(C
 b AS (SELECT e.id, arg_max(close, (ob, close)) v, max(ob) ob FROM e JOIN o ON o.ticker = e.ticker AND ob <= ev AND av <= kn GROUP BY 1) SELECT e.id, b.ob AS observed_us, b.v AS value FROM e LEFT JOIN b USING (id)""",
 }
 
-SQL = {k: re.sub(r", (\d)\) AS ", lambda m: f" + 1e-{int(m[1]) + 3}::DOUBLE, {m[1]}) AS ", q).replace("/*OBSERVATIONS*/", OBSERVATIONS) for k, q in SQL.items()}
+_Z = ", ".join(f"round((coalesce({f}, md_{f}) - mu_{f}) / sd_{f}, 12) z_{f}, ({f} IS NULL)::INTEGER::DOUBLE m_{f}" for f in FEATURES)
+_ZN = [x for f in FEATURES for x in (f"z_{f}", f"m_{f}")]
+_CELLS = f"""{_R}, tr AS (SELECT * FROM r WHERE as_of_us <= {TRAIN_END}), md AS (SELECT {", ".join(f"median({f}) md_{f}" for f in FEATURES)} FROM tr),
+st AS (SELECT {", ".join(f"any_value(md_{f}) md_{f}, avg(coalesce({f}, md_{f})) mu_{f}, CASE WHEN var_pop(coalesce({f}, md_{f})) <= 1e-12 THEN 1 ELSE stddev_pop(coalesce({f}, md_{f})) END sd_{f}" for f in FEATURES)} FROM tr, md),
+z AS (SELECT {_Z}, y FROM tr, st), c AS (SELECT {", ".join(_ZN)}, CAST(count(*) AS DOUBLE) w, sum(y) s FROM z GROUP BY {", ".join(_ZN)}), t AS (SELECT sum(w) n, sum(s) s FROM c)"""
+
+
+def _descent(cells: str, names: list[str], first: list[str], error: str, shrink: list[str], steps: int, rate: float, decay: float) -> str:
+    """Weights after gradient descent over the cells c(names, w, s) of total t(n, s), as a recursion over its steps."""
+    value = " + ".join(["k[1]", *[f"k[{j + 2}] * {x}" for j, x in enumerate(names)]])
+    slopes = ", ".join(f"k[{j + 1}] - {rate} / sqrt(1 + i / {decay}) * (g[{j + 1}] / n + {p})" for j, p in enumerate(shrink))
+    sums = ", ".join(["sum(e)", *[f"sum(e * {x})" for x in names]])
+    return f"""WITH RECURSIVE {cells}, it AS (SELECT 0 AS i, [{", ".join(first)}] AS k FROM t UNION ALL
+SELECT i + 1, [{slopes}] FROM (SELECT i, k, any_value(n) n, [{sums}] g FROM (SELECT i, k, t.n, {", ".join(names)}, {error.format(value)} e FROM it, c, t WHERE i < {steps}) GROUP BY i, k)),
+u AS (SELECT unnest({["intercept", *names]}) AS feature, unnest(k) AS v FROM it WHERE i = {steps}) SELECT feature, round(v + 1e-9, 6) AS weight FROM u"""
+
+
+_SIG = "w / (1 + exp(-greatest(-40, least(40, {})))) - c.s"
+_DESCENTS = {
+    "gd_logistic": _descent(_CELLS, _ZN, ["ln((t.s + 1) / (n + 2) / (1 - (t.s + 1) / (n + 2)))", *["0.0::DOUBLE"] * 6], _SIG, ["0", *[f"0.08 * k[{j}]" for j in range(2, 8)]], 280, 0.08, 100.0),
+    "gd_ridge": _descent(_CELLS, _ZN, ["t.s / n", *["0.0::DOUBLE"] * 6], "w * ({}) - c.s", ["0", *[f"0.10 * k[{j}]" for j in range(2, 8)]], 360, 0.025, 150.0),
+    "platt": _descent(
+        f"{_R}, q AS (SELECT least(greatest(p, 1e-8), 1 - 1e-8) q, y FROM r WHERE as_of_us BETWEEN {CALIBRATION[0]} AND {CALIBRATION[1]}), c AS (SELECT round(ln(q / (1 - q)), 12) slope, CAST(count(*) AS DOUBLE) w, sum(y) s FROM q GROUP BY 1), t AS (SELECT sum(w) n, sum(s) s FROM c)",
+        ["slope"], ["0.0::DOUBLE", "1.0::DOUBLE"], _SIG, ["0", "0.02 * (k[2] - 1)"], 220, 0.05, 100.0,
+    ),
+}
+
+SQL = {k: re.sub(r", (\d)\) AS ", lambda m: f" + 1e-{int(m[1]) + 3}::DOUBLE, {m[1]}) AS ", q).replace("/*OBSERVATIONS*/", OBSERVATIONS) for k, q in SQL.items()} | _DESCENTS
