@@ -314,8 +314,9 @@ def test_replay_replaces_and_late_rows_leave_final_files_alone(spark, tmp_path):
 # --- 7: known at
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_known_attributes_over_partition_edges(many_parts, seed):
+@pytest.mark.parametrize("seed, bits", [(0, 44), (1, 8), (2, 9), (3, 5)])
+def test_known_attributes_over_partition_edges(many_parts, monkeypatch, seed, bits):
+    monkeypatch.setattr(knownat, "SHARD_BITS", bits)
     rng = random.Random(seed)
     ent = lambda: rng.choice(["hot"] * 5 + ["a", "b"])
     versions = []

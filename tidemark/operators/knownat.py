@@ -17,12 +17,14 @@ from tidemark.operators.intervals import OPEN, merge_intervals
 
 #: Order of rows of one entity and instant: attribute changes come before the events they apply to.
 VERSION, STATUS, EVENT = 0, 1, 2
+SHARD_BITS = 44
 _COLS = ["entity", "t", "kind", "id", "num", "flag"]
 
 
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Best version of each entity through time, from versions sorted by (entity, start); holds only the live ones."""
-    entity, live, best, pushed = None, [], None, 0
+    """Best version of each entity through time, from versions sorted by (entity, shard, start) and cut to their shard;
+    holds only the live ones. A shard's last change is that nothing is live at its end; the next shard begins anew."""
+    entity, place, live, best, pushed = None, None, [], None, 0
     out: list[tuple] = []
 
     def step(until: int | None) -> None:
@@ -38,12 +40,12 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((entity, at, None if top is None else top[1], None if top is None else top[2]))
 
     for b in batches:
-        for ent, start, end, eff, known, version, value in zip(
-            b["entity"], b["start"], b["end"], b["eff"], b["known"], b["version_id"], b["value"].astype(object).where(b["value"].notna(), None)
+        for ent, shard, start, end, eff, known, version, value in zip(
+            b["entity"], b["shard"], b["start"], b["end"], b["eff"], b["known"], b["version_id"], b["value"].astype(object).where(b["value"].notna(), None)
         ):
-            if ent != entity:
+            if (ent, shard) != (entity, place):
                 step(None)
-                entity, live, best = ent, [], None
+                entity, place, live, best = ent, shard, [], None
             step(start)
             pushed += 1
             heapq.heappush(live, ((-eff, -known, -version, pushed), (end, version, value)))
@@ -70,6 +72,11 @@ def version_timeline(versions: DataFrame, value: str, known_at: str) -> DataFram
 
     At t the version is, among those with effective_from <= t < effective_to (or null) and known_at <= t, the one with
     the greatest effective_from, then known_at, then version_id. Versions without known_at are never known.
+
+    Time is cut into shards of 2**SHARD_BITS microseconds (203 days), and the sweep sees one security's shard: a security
+    that holds a third of all versions is as many tasks' work as it has shards. A version is looked at in the shards it
+    begins and ends in; of those that cover a shard whole only the best is, found by an aggregate that combines in the
+    map tasks.
     """
     v = versions.select(
         F.col("security_id").alias("entity"),
@@ -80,11 +87,26 @@ def version_timeline(versions: DataFrame, value: str, known_at: str) -> DataFram
         F.col(value).cast("long").alias("value"),
     ).withColumn("start", F.greatest("eff", "known"))
     v = v.filter("entity is not null and eff is not null and known is not null and version_id is not null and start < end")
+    last = v.agg(F.max(F.greatest("start", F.when(F.col("end") < OPEN, F.col("end"))))).first()[0]
+    if last is None:
+        return v.select("entity", F.col("start").alias("t"), "version_id", "value")  # no rows
+    final = (last >> SHARD_BITS) + 1
+    of = lambda c: F.shiftright(c, SHARD_BITS)
+    begin = lambda c: F.shiftleft(c, SHARD_BITS)
+    v = v.withColumns({"a": of(F.col("start")), "z": F.least(of(F.col("end") - 1), F.lit(final))})
+    until = lambda c: F.when(F.col(c) == final, F.lit(OPEN)).otherwise(begin(F.col(c) + 1))
+    kept = ["eff", "known", "version_id", "value"]
+    first = v.select("entity", F.col("a").alias("shard"), "start", F.least("end", until("a")).alias("end"), *kept)
+    ends = v.filter((F.col("z") > F.col("a")) & (F.col("end") < until("z"))).select("entity", F.col("z").alias("shard"), begin(F.col("z")).alias("start"), "end", *kept)
+    # shards that a version covers from edge to edge: of those covering one, the best is enough
+    to = F.when(F.col("end") < until("z"), F.col("z") - 1).otherwise(F.col("z"))
+    covered = v.withColumn("_to", to).filter(F.col("_to") > F.col("a")).select("entity", F.explode(F.sequence(F.col("a") + 1, F.col("_to"))).alias("shard"), F.struct(*kept).alias("m"))
+    covered = covered.groupBy("entity", "shard").agg(F.max("m").alias("m")).select("entity", "shard", begin(F.col("shard")).alias("start"), until("shard").alias("end"), "m.*")
     return (
-        v.repartition("entity")
-        .sortWithinPartitions("entity", "start", "eff", "known", "version_id")
+        first.unionByName(ends).unionByName(covered).repartition("entity", "shard")
+        .sortWithinPartitions("entity", "shard", "start", "eff", "known", "version_id")
         .mapInPandas(_sweep, "entity string, t long, version_id long, value long")
-    )
+    )
 
 
 def known_halts(halts: DataFrame) -> DataFrame:
