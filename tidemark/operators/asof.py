@@ -60,6 +60,19 @@ def previous_row(df: DataFrame, by: list[str], at: str, tie: str, values: list[s
     return out.select(*df.columns, *[F.col(f"_p.{c}").alias(prefix + c) for c in dict.fromkeys([at, *values])])
 
 
+def numbered(df: DataFrame, by: list[str], at: str, order: list[Column], bucket: int, name: str = "position") -> DataFrame:
+    """df with the number from 1 of each row in its key's order, which begins with at (a whole number, not null).
+
+    A key is cut into buckets of time that are numbered on their own; the rows before each are a running count over one
+    row per key and bucket.
+    """
+    b = df.withColumn("_b", F.floor(F.col(at) / F.lit(bucket)).cast("long"))
+    over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = b.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.col(at), *order))
+    return b.withColumn("_k", local).join(before, [*by, "_b"]).withColumn(name, F.col("_k") + F.col("_before")).drop("_b", "_k", "_before")
+
+
 def islands(df: DataFrame, by: list[str], at: str, step: int) -> DataFrame:
     """(by..., first, last, n): runs of values that are exactly a step apart. Values must be distinct per key."""
     w = Window.partitionBy(*by).orderBy(at)

@@ -12,6 +12,7 @@ from tidemark.functions import text as X
 from tidemark.functions.calendar import US_EQUITY
 from tidemark.operators import quality as Q
 from tidemark.operators import similarity
+from tidemark.operators.asof import numbered
 from tidemark.plans import bars as bar_plans
 from tidemark.plans.tables import table
 
@@ -72,8 +73,7 @@ def document_order(spark, d):
     """Processing order within a ticker: available, then kinds by priority, then id."""
     s = table(spark, d, "source_documents").groupBy("document_id", "ticker", "source_kind").agg(F.min(F.unix_micros("available_at")).alias("us")).filter("us is not null")
     rank = F.when(F.col("source_kind").isin(*PRIMARY), 0).otherwise(1)
-    w = Window.partitionBy("ticker").orderBy("us", rank, "document_id")
-    return s.select("document_id", "ticker", F.row_number().over(w).alias("position"))
+    return numbered(s, ["ticker"], "us", [rank, F.col("document_id")], WEEK_US).select("document_id", "ticker", F.col("position").cast("int").alias("position"))
 
 
 def corroboration(spark, d):
@@ -88,12 +88,16 @@ def corroboration(spark, d):
 def recent_same_category(spark, d):
     """Events with an event of the same ticker and category, known before, at most a week earlier.
 
-    A range frame over public time; the frame's first in processing order tells whether any was known before.
+    A range frame over public time; the frame's first in processing order tells whether any was known before. Time is cut
+    into weeks: an event is laid into its own week and, for those that look back, into the next, so a hot ticker and
+    category is spread over its weeks.
     """
     e = table(spark, d, "catalyst_events").select(F.upper(F.trim("ticker")).alias("ticker"), "catalyst_category", "event_id", F.unix_micros("first_public_at").alias("fp"), F.unix_micros("available_at").alias("av")).filter("fp is not null").distinct()
-    w = Window.partitionBy("ticker", "catalyst_category").orderBy("fp").rangeBetween(-WEEK_US, 0)
+    week = F.floor(F.col("fp") / WEEK_US)
+    laid = e.withColumn("_w", F.explode(F.array(week, week + 1))).withColumn("_own", F.col("_w") == week)
+    w = Window.partitionBy("ticker", "catalyst_category", "_w").orderBy("fp").rangeBetween(-WEEK_US, 0)
     first = F.min(F.struct("av", "event_id")).over(w)
-    return e.select("event_id", (first < F.struct("av", "event_id")).alias("recent"))
+    return laid.withColumn("_f", first).filter("_own").select("event_id", (F.col("_f") < F.struct("av", "event_id")).alias("recent"))
 
 
 def near_dup_jaccard(spark, d):
