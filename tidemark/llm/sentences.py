@@ -29,6 +29,7 @@ from math import exp, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,9 +228,9 @@ def bare_word(word: str) -> str:
     return word.strip(OPENERS + CLOSERS + ",;:.")
 
 
-def _small(word: str) -> str | None:
+def _small(word: Column) -> Column:
     """How a word is written small; none for single letters, whose case says little."""
-    return word.lower() if len(word) > 1 else None
+    return F.when(F.length(word) > 1, F.lower(word))
 
 
 def open_gaps(text: str, span: list[tuple[int, int]]) -> list[Gap]:
@@ -272,18 +273,18 @@ def _gap(text: str, span: list[tuple[int, int]], i: int) -> Gap:
 
 #: Kinds of rows: a candidate, the start of a paragraph (with its first words and last word), counts of words.
 GAP, START, WORD = 0, 1, 2
-_TEXT_KEYS = ["left", "right", "pair", "word", "low"]
-_ROW = "kind byte, rid long, doc_id long, para int, idx int, e int, s int, left string, lc string, right string, rc string, pair string, word string, low string, words int, inside boolean, strong boolean, n long"
-_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+_TEXT_KEYS = ["left", "right", "pair", "word"]
+_ROW = "kind byte, rid long, doc_id long, para int, idx int, e int, s int, left string, lc string, right string, rc string, pair string, word string, words int, inside boolean, strong boolean, n long"
+_ARROW = pa.schema([(c.split()[0], {"byte": pa.int8(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in _ROW.split(", ")])
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _ROW for each document: a START per paragraph, its GAPs in order, and WORDs per batch."""
     rid = TaskContext.get().partitionId() << 33  # names a row of the input, also where doc_id repeats
     for b in batches:
         rows: list[tuple] = []
         plain: Counter = Counter()
-        for doc, text in zip(b["doc_id"], b["text"]):
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             rid += 1
             for para, (begin, stop) in enumerate(paragraphs(text or "")):
                 span = words(text, begin, stop)
@@ -292,10 +293,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 right, rc, pair, word = _right(text[span[0][0] : span[0][1]], after)
                 end = text[span[-1][0] : span[-1][1]]
                 marked = _OPEN_GAP.search(end) is not None
-                rows.append((START, rid, doc, para, -1, stop, begin, None if marked else bare_word(end), None, right, rc, pair, word, _small(word), 0, False, marked and _left(end)[2], 1))
+                rows.append((START, rid, doc, para, -1, stop, begin, None if marked else bare_word(end), None, right, rc, pair, word, 0, False, marked and _left(end)[2], 1))
                 behind = {0}
                 for k, g in enumerate(gaps):
-                    rows.append((GAP, rid, doc, para, k, span[g.at][1], span[g.at + 1][0], g.left, g.left_class, g.right, g.right_class, g.pair, g.word, _small(g.word), g.words, g.inside, g.strong, 1))
+                    rows.append((GAP, rid, doc, para, k, span[g.at][1], span[g.at + 1][0], g.left, g.left_class, g.right, g.right_class, g.pair, g.word, g.words, g.inside, g.strong, 1))
                     if g.left_class != "none":
                         behind.add(g.at + 1)
                 plain.update([text[x:y] for i, (x, y) in enumerate(span) if i not in behind])
@@ -304,14 +305,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bare = bare_word(w)
             if bare.isalpha():
                 total[bare] += n
-        rows += [(WORD, 0, None, 0, 0, 0, 0, None, None, None, None, None, w, None, 0, False, False, n) for w, n in total.items()]
-        yield pd.DataFrame(rows, columns=_NAMES)
+        rows += [(WORD, 0, None, 0, 0, 0, 0, None, None, None, None, None, w, 0, False, False, n) for w, n in total.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def gap_table(documents: DataFrame) -> DataFrame:
     """What the model needs of the texts, as a written table; words and n-grams are 64-bit hashes in it."""
-    rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(_read, _ROW)
-    hashed = rows.withColumns({c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in _TEXT_KEYS})
+    rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(_read, _ROW)
+    hashed = rows.withColumn("low", _small(F.col("word"))).withColumns({c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in [*_TEXT_KEYS, "low"]})
     return stored(hashed, "gaps", ["kind"])  # most readers need one kind
 
 
