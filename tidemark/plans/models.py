@@ -19,6 +19,7 @@ from tidemark.operators.asof import asof_last
 from tidemark.operators.clocks import observation_instants
 from tidemark.plans.clocksql import OBSERVATIONS
 from tidemark.plans.tables import spread, table
+from tidemark.session import stored
 
 DAY_US = 86_400_000_000
 FEATURES = ["f_qty", "f_disc", "f_tax"]
@@ -224,10 +225,12 @@ def hhi_diversity(spark, d):
 
 
 def _obs(spark, d):
-    """One row per observation with the instant its clock text denotes, whatever the text's form."""
+    """One row per observation with the instant its clock text denotes, whatever the text's form: a written table, so that
+    texts are read once."""
     cols = ["observation_id", "security_id", "ticker", "source_timestamp", "first_seen_at", "feed", "close", "volume", "bid", "ask", "free_float", "missing_flags"]
     o = table(spark, d, "market_observations").select(*cols).dropDuplicates(["observation_id"])
-    return observation_instants(spread(o), table(spark, d, "feed_zones")).withColumnRenamed("utc_us", "us")
+    seen = observation_instants(spread(o), table(spark, d, "feed_zones")).withColumnRenamed("utc_us", "us")
+    return stored(seen.drop("source_timestamp", "first_seen_at", "feed"), "observations")
 
 
 def stale_sources(spark, d):
