@@ -66,3 +66,37 @@ def test_outcomes_are_frozen_and_equal_the_batch(spark, tmp_path):
 
 def test_restart_delay():
     assert [M.restart_delay(k, 1.0, 10.0) for k in (1, 2, 3, 9)] == [1.0, 2.0, 4.0, 10.0]
+
+
+def test_supervisor_restarts_and_says_so(spark, tmp_path):
+    a, b = {"family": "f", "id": "1", "us": 100}, {"family": "g", "id": "2", "us": 5}
+    (tmp_path / "c.json").write_text(json.dumps({"cycles": [[a, b]]}))
+    spark.dataSource.register(M.ReplayCycles)
+    m, waits, runs = M.Monitor(spark, str(tmp_path / "out"), stale_us=50, clock_us=lambda: 120), [], []
+
+    def broken(df, n):
+        raise RuntimeError("lost")
+
+    def start():
+        runs.append(1)
+        stream = spark.readStream.format("replay_cycles").option("path", str(tmp_path / "c.json")).load()
+        if len(runs) < 3:
+            return stream.writeStream.foreachBatch(broken).option("checkpointLocation", str(tmp_path / f"cp{len(runs)}")).trigger(availableNow=True).start()
+        return m.start(stream, str(tmp_path / "cp"))
+
+    assert M.supervise(m, start, cycles=2, sleep=waits.append) == 2 and waits == [1.0, 2.0] and len(runs) == 4
+    bodies = [json.loads(r["body"]) for r in m.beats.table().collect()]
+    assert sorted(x["status"] for x in bodies if x["status"] != "running") == ["degraded", "reconnecting", "reconnecting", "stopped"]
+    assert next(x for x in bodies if x["status"] == "degraded")["stale"] == ["g"]
+
+    class Interrupted:
+        stopped = False
+
+        def awaitTermination(self):  # noqa: N802
+            raise KeyboardInterrupt
+
+        def stop(self):
+            self.stopped = True
+
+    q = Interrupted()
+    assert M.supervise(m, lambda: q) == 0 and q.stopped

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -130,11 +133,18 @@ class Monitor:
     """Runs cycles: raw capture once per content, normalised records once per id, and a heartbeat per cycle.
 
     write(batch, number) is a foreachBatch function; stores replace what a repeated batch wrote, so a restart is safe.
+    A heartbeat says how many records and families a cycle had, and its status: ``degraded`` with the families that are
+    stale, whose latest record (us in the record) is more than stale_us older than the clock; else ``running``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, enrich: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, root: str, enrich: Callable[[DataFrame], DataFrame] | None = None, stale_us: int | None = None, clock_us: Callable[[], int] = lambda: time.time_ns() // 1000):
         self.raw, self.normalised, self.beats = (RecordStore(spark, f"{root}/{n}") for n in ("raw", "normalised", "heartbeats"))
-        self.enrich = enrich
+        self.spark, self.enrich, self.stale_us, self.clock_us = spark, enrich, stale_us, clock_us
+
+    def beat(self, key: str, number: int, **body) -> None:
+        """Writes a heartbeat; one of a batch written again replaces its own."""
+        text = json.dumps(body, sort_keys=True)
+        self.beats.append(self.spark.createDataFrame([(key, text)], "key string, body string"), number)
 
     def write(self, batch: DataFrame, number: int) -> None:
         held = batch.persist()
@@ -143,8 +153,11 @@ class Monitor:
             rows = self.enrich(held) if self.enrich else held
             ident = F.coalesce(F.get_json_object("record", "$.id"), F.sha2("record", 256))
             self.normalised.append(rows.select(F.concat_ws("|", "family", ident).alias("key"), F.col("record").alias("body")), number)
-            beat = held.groupBy().agg(F.count("*").alias("n"), F.count_distinct("family").alias("f"))
-            self.beats.append(beat.select(F.lit(f"cycle-{number}").alias("key"), F.to_json(F.struct("n", "f")).alias("body")), number)
+            # a row per family
+            seen = held.groupBy("family").agg(F.count("*").alias("n"), F.max(F.get_json_object("record", "$.us").try_cast("long")).alias("us")).collect()
+            now = self.clock_us()
+            stale = sorted(r["family"] for r in seen if self.stale_us is not None and r["us"] is not None and now - r["us"] > self.stale_us)
+            self.beat(f"cycle-{number}", number, n=sum(r["n"] for r in seen), f=len(seen), status="degraded" if stale else "running", stale=stale)
         finally:
             held.unpersist()
 
@@ -153,6 +166,41 @@ class Monitor:
         return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
+#: Numbers of heartbeats that belong to no batch: they count down from here.
+SUPERVISOR = -1
+
+
+def supervise(monitor: Monitor, start: Callable[[], object], cycles: int | None = None, first: float = 1.0, most: float = 60.0, failures: int = 10, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Runs start() (which gives a started query) again and again, and gives the number of cycles that ended well.
+
+    A query that ends is a cycle (an availableNow query has read what there was); after so many it stops, without a number it
+    goes on for ever. A query that fails leaves a heartbeat ``reconnecting`` and is started again after restart_delay;
+    that many failures in a row are raised. An interrupt stops the query. The last heartbeat is always ``stopped``.
+    """
+    done = lost = beats = 0
+    query = None
+    try:
+        while cycles is None or done < cycles:
+            try:
+                query = start()
+                query.awaitTermination()
+                done, lost = done + 1, 0
+            except StreamingQueryException as e:
+                lost += 1
+                if lost >= failures:
+                    raise
+                wait = restart_delay(lost, first, most)
+                monitor.beat(f"reconnecting-{uuid.uuid4().hex}", SUPERVISOR - beats, status="reconnecting", attempt=lost, wait=wait, reason=str(e).splitlines()[0][:200])
+                beats += 1
+                sleep(wait)
+    except KeyboardInterrupt:
+        if query is not None:
+            query.stop()
+    finally:
+        monitor.beat(f"stopped-{uuid.uuid4().hex}", SUPERVISOR - beats, status="stopped", cycles=done)
+    return done
+
+
 def restart_delay(failures: int, first: float, most: float) -> float:
     """Seconds before the restart after so many failures in a row: doubling, up to most."""
     return min(most, first * 2.0 ** (failures - 1))
