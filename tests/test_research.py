@@ -1,11 +1,13 @@
 """The modelling run on a small table: order in time, selection, reproduction, findings."""
 
+import math
 import random
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, research
+from tidemark.operators import metrics, modelling, research
 from tidemark.operators.modelling import walk_forward_folds
 
 DAY = 86_400_000_000
@@ -78,3 +80,21 @@ def test_folds_against_plain_counting(spark):
     ordered = sorted(data, key=lambda r: (r[1], r[0]))
     want = [(k, p, ordered[p][1], sum(r[2] < ordered[p][1] for r in ordered[:p]), 10) for k, p in enumerate(range(30, 131, 10))]
     assert sorted(map(tuple, walk_forward_folds(df, 30, 10, 10, ["as_of_us", "id"]).collect())) == want
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_statistics_by_either_way(spark, monkeypatch, limit):
+    monkeypatch.setattr(modelling, "MEDIAN_ROWS", limit)
+    rng = random.Random(8)
+    cols = {"a": [float(rng.randrange(9)) for _ in range(101)], "b": [rng.choice([None, rng.random()]) for _ in range(101)], "c": [2.0] * 101, "d": [None] * 101}
+    rows = list(zip(*cols.values()))
+    got = {r["feature"]: r for r in modelling.feature_statistics(spark.createDataFrame(rows, "a double, b double, c double, d double"), list(cols)).collect()}
+    for f in "abc":
+        known = [x for x in cols[f] if x is not None]
+        mid = median(known)
+        full = known + [mid] * (101 - len(known))
+        mean = sum(full) / 101
+        dev = math.sqrt(sum((x - mean) ** 2 for x in full) / 101)
+        assert (got[f]["n"], got[f]["missing"]) == (101, 101 - len(known)) and abs(got[f]["median"] - mid) < 1e-12
+        assert abs(got[f]["mean"] - mean) < 1e-9 and abs(got[f]["deviation"] - (dev if dev > 1e-6 else 1.0)) < 1e-9
+    assert got["d"]["median"] is None

@@ -103,15 +103,15 @@ def global_row_numbers(df: DataFrame, order: list[str], name: str = "position")
     return parts.withColumn("_n", local).join(F.broadcast(start), "_p").withColumn(name, F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
 
 
-def running_totals(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+def running_totals(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """df with name, the sum of value up to and including each row in order, without sorting everything in one task:
     range partitions add up locally, what comes before each is added from its total (a row per partition)."""
-    parts = cut(df.repartitionByRange(order).sortWithinPartitions(order)).withColumn("_p", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_p", F.spark_partition_id())
     sums = {r["_p"]: r["s"] for r in parts.groupBy("_p").agg(F.sum(value).alias("s")).collect()}
     before, total = [], 0
     for p in sorted(sums):
         before.append((p, total))
         total += sums[p]
     start = df.sparkSession.createDataFrame(before, "_p int, _before long")
-    w = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return parts.withColumn("_s", F.sum(value).over(w)).join(F.broadcast(start), "_p").withColumn(name, F.col("_s") + F.col("_before")).drop("_p", "_s", "_before")

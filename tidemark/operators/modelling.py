@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_last, global_row_numbers, running_totals
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 #: Distinct feature rows up to which a fit iterates on the driver; beyond, each iteration is a pass over the table.
 LOCAL_ROWS = 50_000
+#: Distinct values of all features up to which medians are one aggregate's work.
+MEDIAN_ROWS = 1_000_000
 
 
 def split_label(as_of_us: Column, train_end: int, calibration: tuple[int, int], final: tuple[int, int]) -> Column:
@@ -54,20 +56,45 @@ def walk_forward_folds(rows: DataFrame, minimum: int, validation: int, step: int
     early = F.greatest(F.lit(0), F.ceil((at + 1) / step)).cast("int")
     per = placed.groupBy(F.greatest(F.coalesce(F.col("_blind") + 1, F.lit(0)), early).alias("fold")).agg(F.count("*").alias("n"))
     every = starts.join(per, "fold", "left").fillna(0, ["n"])
-    return running_totals(every, "fold", "n", "train").select("fold", "start_position", "first_us", "train", F.least(F.lit(validation).cast("long"), F.lit(n) - F.col("start_position")).alias("validation"))
+    return running_totals(every, ["fold"], "n", "train").select("fold", "start_position", "first_us", "train", F.least(F.lit(validation).cast("long"), F.lit(n) - F.col("start_position")).alias("validation"))
 
 
 def feature_statistics(train: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, n, missing, median, mean, deviation): exact median, mean and population deviation after imputing it."""
+    """(feature, n, missing, median, mean, deviation): exact median, mean and population deviation after imputing it.
+
+    The rows become counts of distinct values first. Up to MEDIAN_ROWS of these the median is an aggregate; more are ranked
+    in range partitions, so that no task sees all values of a feature.
+    """
     long = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
-    s = train.select(long.alias("x")).select("x.*").groupBy("feature")
-    a = s.agg(F.count("*").alias("n"), F.count_if(F.expr("v is null")).alias("missing"), F.percentile("v", F.lit(0.5)).alias("median"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    counts = stored(train.select(long.alias("x")).select("x.*").groupBy("feature", "v").agg(F.count("*").alias("k")), "values")
+    some, v, k = counts.filter("v is not null"), F.col("v"), F.col("k")
+    sums = counts.groupBy("feature").agg(F.sum("k").alias("n"), F.sum(F.when(v.isNull(), k).otherwise(0)).alias("missing"), F.sum(v * k).alias("s"), F.sum(v * v * k).alias("q"))
+    if counts.count() <= MEDIAN_ROWS:
+        medians = some.groupBy("feature").agg(F.percentile("v", F.lit(0.5), F.col("k")).alias("median"))
+    else:
+        medians = _ranked_medians(some)
+    a = sums.join(F.broadcast(medians), "feature", "left")  # a row per feature
     mean = (F.col("s") + F.col("missing") * F.col("median")) / F.col("n")
     square = (F.col("q") + F.col("missing") * F.col("median") * F.col("median")) / F.col("n")
-    var = F.greatest(F.lit(0.0), square - mean * mean)
+    mean = F.when(F.col("missing") == 0, F.col("s") / F.col("n")).otherwise(mean)
+    var = F.greatest(F.lit(0.0), F.when(F.col("missing") == 0, F.col("q") / F.col("n")).otherwise(square) - mean * mean)
     return a.select("feature", "n", "missing", "median", mean.alias("mean"), F.when(var <= 1e-12, 1.0).otherwise(F.sqrt(var)).alias("deviation"))
 
 
+def _ranked_medians(counts: DataFrame) -> DataFrame:
+    """(feature, median) from (feature, v, k), by the running count over all features in order of (feature, v)."""
+    totals = counts.groupBy("feature").agg(F.sum("k").alias("_n")).orderBy("feature").collect()  # a row per feature
+    offset, rows = 0, []
+    for r in totals:
+        rows.append((r["feature"], offset + (r["_n"] - 1) // 2, offset + r["_n"] // 2))
+        offset += r["_n"]
+    wanted = counts.sparkSession.createDataFrame(rows, "feature string, _lo long, _hi long")
+    placed = running_totals(counts, ["feature", "v"], "k", "_to").withColumn("_from", F.col("_to") - F.col("k")).join(F.broadcast(wanted), "feature")
+    inside = lambda c: (F.col(c) >= F.col("_from")) & (F.col(c) < F.col("_to"))
+    pick = lambda c: F.max(F.when(inside(c), F.col("v")))
+    return placed.filter(inside("_lo") | inside("_hi")).groupBy("feature").agg(((pick("_lo") + pick("_hi")) / 2).alias("median"))
+
+
 def standardised(rows: DataFrame, statistics: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
     """rows with z_<feature>, imputed and standardised, and m_<feature>, 1 where missing; and their names."""
     s = {r["feature"]: r for r in statistics.collect()}  # a row per feature
