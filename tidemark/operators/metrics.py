@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
-from math import exp, factorial
+from math import exp, factorial, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.digests import leading_bits
+
 #: Distribution function of Poisson(1) at 0, 1, ...; beyond the last it is 1 to 1e-9.
 POISSON = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(11)]
+#: The least 52 bits b whose uniform number, (b + 0.5) / 2^52, is over each of these.
+TIMES_FROM = [floor(Fraction(x) * (1 << 52) - Fraction(1, 2)) + 1 for x in POISSON]
+#: Clusters that are hashed together, so that NumPy's calls cost little beside what they do.
+TOGETHER = 30_000
 #: Ranks among which top-k metrics are taken.
 TOP_K = (1, 3, 5, 10)
 
@@ -102,11 +112,11 @@ def monotonicity_violations(wide: DataFrame, chains: list[list[str]]) -> DataFra
 def bootstrap_draws(spark, clusters: DataFrame, cluster: str, repetitions: int, seed: int) -> DataFrame:
     """(rep, cluster, times): clusters drawn with replacement, as many as there are, with Python's own generator.
 
-    For cluster lists of up to a million; the draw is sequential by its definition. poisson_draws is for more.
+    For cluster lists of up to a million; the draw is sequential by its definition. poisson_sums is for more.
     """
     ids = [r[0] for r in clusters.select(cluster).distinct().orderBy(cluster).limit(1_000_001).collect()]
     if len(ids) > 1_000_000:
-        raise ValueError("too many clusters for a sequential draw; use poisson_draws")
+        raise ValueError("too many clusters for a sequential draw; use poisson_sums")
     rng = random.Random(seed)
     rows = []
     for rep in range(repetitions):
@@ -119,15 +129,63 @@ def bootstrap_draws(spark, clusters: DataFrame, cluster: str, repetitions: int,
     return spark.createDataFrame(rows, f"rep int, {cluster} {kind}, times int")
 
 
-def poisson_draws(sums: DataFrame, cluster: str, repetitions: int, seed: int) -> DataFrame:
-    """sums with rep and times, times a seeded Poisson(1) count per cluster and repetition: a bootstrap without a
-    sequential draw, each row on its own. The uniform number is that of 52 bits of an MD5 digest, so other engines can
-    draw the same."""
-    reps = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), "rep", F.col(cluster).cast("string")))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    times = reduce(lambda a, b: a + b, [F.when(u > x, 1).otherwise(0) for x in POISSON])
-    return reps.withColumn("times", times).filter("times > 0")
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _times(bits: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts of 52 bits each."""
+    times = np.zeros(len(bits), np.uint8)
+    for least in TIMES_FROM:
+        more = bits >= np.uint64(least)
+        if not more.any():
+            break
+        times += more
+    return times
+
+
+def _drawn(names: list[str], repetitions: int, seed: int):
+    """Sums per repetition over a task's (_key, names...); a row for each repetition that draws any of its clusters."""
+    prefixes = [f"{seed}|{rep}" for rep in range(repetitions)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, drawn = np.zeros((repetitions, len(names))), np.zeros(repetitions, bool)
+        for t in _together(batches):
+            values = np.column_stack([t.column(c).to_numpy() for c in names])
+            finite = np.isfinite(values).all()
+            keys = pa.concat_arrays(t.column("_key").cast(pa.string()).chunks)
+            for rep, at, bits in leading_bits(keys, prefixes):
+                times, of = _times(bits), values if len(at) == len(values) else values[at]
+                if not finite:  # what isn't drawn doesn't count, but zero times infinity would
+                    times, of = times[times > 0], of[times > 0]
+                total[rep] += times.astype(float) @ of
+                drawn[rep] |= times.any()
+        reps = np.flatnonzero(drawn)
+        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int32()), *[pa.array(v) for v in total[reps].T]], ["rep", *names])
+
+    return run
+
+
+def poisson_sums(sums: DataFrame, cluster: str, repetitions: int, seed: int) -> DataFrame:
+    """(rep, values...): the other columns of sums, which has a row a cluster, each added as often as its cluster is drawn:
+    a seeded Poisson(1) count per cluster and repetition, a bootstrap without a sequential draw. The uniform number is that
+    of 52 bits of the MD5 digest of 'seed|rep|cluster', so other engines can draw the same. Nulls add nothing; a repetition
+    that draws no cluster has no row.
+
+    Each task hashes its clusters in arrays and gives a row a repetition, so that a draw is neither a row nor an expression.
+    """
+    values = [c for c in sums.columns if c != cluster]
+    key = F.coalesce(F.concat(F.lit("|"), F.col(cluster).cast("string")), F.lit("")).alias("_key")  # concat_ws skips nulls
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in values]
+    parts = sums.select(key, *numbers).mapInArrow(_drawn(values, repetitions, seed), ", ".join(["rep int", *[f"{c} double" for c in values]]))
+    return parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in values])
 
 
 def cluster_bootstrap(scored: DataFrame, cluster: str, repetitions: int = 100, seed: int = 7) -> DataFrame:
@@ -136,10 +194,8 @@ def cluster_bootstrap(scored: DataFrame, cluster: str, repetitions: int = 100, s
     Sums per cluster are resampled, not rows, so the repetitions cost clusters, however many rows those have.
     """
     e = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-    sums = scored.filter("p is not null and y is not null").groupBy(cluster).agg(F.count("*").alias("n"), F.sum(e).alias("e"), F.sum("y").alias("y"))
-    drawn = poisson_draws(sums, cluster, repetitions, seed)
-    t = F.col("times")
-    per = drawn.groupBy("rep").agg((F.sum(F.col("e") * t) / F.sum(F.col("n") * t)).alias("brier"), (F.sum(F.col("y") * t) / F.sum(F.col("n") * t)).alias("base_rate"))
+    sums = scored.filter("p is not null and y is not null").groupBy(F.col(cluster).alias("_cluster")).agg(F.count("*").alias("n"), F.sum(e).alias("e"), F.sum("y").alias("y"))
+    per = poisson_sums(sums, "_cluster", repetitions, seed).select((F.col("e") / F.col("n")).alias("brier"), (F.col("y") / F.col("n")).alias("base_rate"))
     q = per.agg(*[F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias(m) for m in ("brier", "base_rate")])
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m)[0].alias("low"), F.col(m)[1].alias("high")) for m in ("brier", "base_rate")]))
     return q.select(rows.alias("r")).select("r.*")
